@@ -1,25 +1,33 @@
-"""Cutting lineage on shared storage."""
+"""Shared storage: cutting lineage and scratch folders."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only local mode may go without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="tabulyze-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for every call."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local-mode
-    session that names none gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write the frame once to the shared checkpoint folder and read it from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabulyze-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -16,11 +16,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_NUDGE = "1.0000000000002"   # settles exact ties the same way on both engines
+
+
 def _settled(name: str) -> str:
     unit = f"pow(10.0D, floor(log10(abs(`{name}`))))"
-    return (f"case when `{name}` is null then null when abs(`{name}`) < 10 then round(`{name}`, 6) + 0.0D "
-            f"when abs(`{name}`) < 1e6 then round(`{name}`, 4) "
-            f"else round(`{name}` / {unit}, 8) * {unit} end as `{name}`")
+    x = f"(`{name}` * {_NUDGE}D)"
+    return (f"case when `{name}` is null then null when abs(`{name}`) < 10 then round({x}, 6) + 0.0D "
+            f"when abs(`{name}`) < 1e6 then round({x}, 4) "
+            f"else round({x} / {unit}, 8) * {unit} end as `{name}`")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -31,10 +35,10 @@ def settle(df: DataFrame) -> DataFrame:
 
 def _settled_sql(name: str) -> str:
     unit = f'pow(10.0::DOUBLE, floor(log10(abs("{name}"))))'
-    return (f'case when "{name}" is null then null when abs("{name}") < 10 '
-            f'then round("{name}"::DOUBLE, 6) + 0.0::DOUBLE '
-            f'when abs("{name}") < 1e6 then round("{name}"::DOUBLE, 4) '
-            f'else round("{name}"::DOUBLE / {unit}, 8) * {unit} end as "{name}"')
+    x = f'("{name}"::DOUBLE * {_NUDGE}::DOUBLE)'
+    return (f'case when "{name}" is null then null when abs("{name}") < 10 then round({x}, 6) + 0.0::DOUBLE '
+            f'when abs("{name}") < 1e6 then round({x}, 4) '
+            f'else round({x} / {unit}, 8) * {unit} end as "{name}"')
 
 
 def register(name: str, sql: str | None = None, floats: str = ""):
