@@ -6,6 +6,8 @@ NaN counts as missing everywhere, so floating columns are read through
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -25,7 +27,7 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def col(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def kind(field: T.StructField) -> str:
@@ -74,20 +76,24 @@ def number(df: DataFrame, name: str) -> Column:
     return value(df, name).cast("double")
 
 
-def compact(df: DataFrame, name: str) -> Column:
-    """A grouping key equal exactly when the cells are equal.
+def compact_sql(df: DataFrame, name: str) -> str:
+    """SQL text of a grouping key equal exactly when the cells are equal.
 
     Long strings are replaced by their SHA-256 (marked with ``#`` so that it
     cannot meet a short cell), which keeps shuffles of text columns narrow.
     """
-    cell = value(df, name)
+    cell = value_sql(df, name)
     if kind(df.schema[name]) == "string":
-        return F.when(F.length(cell) > 64, F.concat(F.lit("#"), F.sha2(cell, 256))).otherwise(cell)
+        return f"if(length({cell}) > 64, concat('#', sha2({cell}, 256)), {cell})"
     if kind(df.schema[name]) == "other":
-        return F.sha2(F.to_json(F.struct(cell.alias("cell"))), 256)
+        return f"if({cell} is null, null, sha2(to_json(struct({cell} as cell)), 256))"
     return cell
 
 
+def compact(df: DataFrame, name: str) -> Column:
+    return F.expr(compact_sql(df, name))
+
+
 def clip(cell: Column, low: Column, high: Column) -> Column:
     """Clamp that keeps NULL (``greatest``/``least`` alone would skip it)."""
     return F.when(cell.isNotNull(), F.least(F.greatest(cell, low), high))
@@ -97,14 +103,54 @@ def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)) * 100
 
 
-def pick(names: list, ordinal: Column) -> Column:
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def literal(x) -> str:
+    """A Python scalar as SQL text."""
+    if x is None:
+        return "null"
+    if isinstance(x, bool):
+        return "true" if x else "false"
+    if isinstance(x, int):
+        return str(x)
+    if isinstance(x, float):
+        return f"{x!r}D" if math.isfinite(x) else f"double('{x!r}')"
+    return "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def number_sql(df: DataFrame, name: str) -> str:
+    """SQL text of ``number()``. Wide expressions are built as text: one parse
+    instead of a driver round trip per node."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.DoubleType):
+        return f"nanvl({quoted(name)}, cast(null as double))"
+    if isinstance(dtype, T.FloatType):
+        return f"cast(nanvl({quoted(name)}, cast(null as float)) as double)"
+    return f"cast({quoted(name)} as double)"
+
+
+def value_sql(df: DataFrame, name: str) -> str:
+    """SQL text of ``value()``."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, FLOAT_TYPES):
+        return f"nanvl({quoted(name)}, cast(null as {dtype.simpleString()}))"
+    return quoted(name)
+
+
+def pick(values: list, ordinal: str = "ordinal") -> Column:
     """Map a column's ordinal back to its name (or another per-column literal)."""
-    return F.element_at(F.array(*[F.lit(n) for n in names]), ordinal + 1)
+    return F.expr(f"element_at(array({', '.join(map(literal, values))}), {ordinal} + 1)")
 
 
 def side_by_side(*frames: DataFrame) -> DataFrame:
     """Put one-row frames next to each other without a join."""
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame, allowMissingColumns=True)
-    return rows.agg(*[F.max(col(c)).alias(c) for c in rows.columns])
+    types = {f.name: f.dataType.simpleString() for frame in frames for f in frame.schema.fields}
+    rows = None
+    for frame in frames:
+        own = set(frame.columns)
+        aligned = frame.selectExpr(*[quoted(c) if c in own else f"cast(null as {t}) as {quoted(c)}"
+                                     for c, t in types.items()])
+        rows = aligned if rows is None else rows.unionAll(aligned)
+    return rows.selectExpr(*[f"max({quoted(c)}) as {quoted(c)}" for c in types])

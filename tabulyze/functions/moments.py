@@ -1,21 +1,15 @@
-"""Bias-corrected shape statistics from Spark's population forms."""
+"""Bias-corrected shape statistics from Spark's population forms, as SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def adjusted_skewness(n: Column, g1: Column, low: Column, high: Column) -> Column:
+def adjusted_skewness_sql(n: str, g1: str, low: str, high: str) -> str:
     """Sample skewness G1; NULL below 3 values, 0 for a constant column."""
-    size = n.cast("double")
-    return (F.when(n < 3, None)
-            .when(low == high, 0.0)
-            .otherwise(g1 * F.sqrt(size * (size - 1)) / (size - 2)))
+    return (f"case when {n} < 3 then null when {low} = {high} then 0.0D "
+            f"else {g1} * sqrt(cast({n} as double) * ({n} - 1)) / ({n} - 2) end")
 
 
-def adjusted_kurtosis(n: Column, g2: Column, low: Column, high: Column) -> Column:
+def adjusted_kurtosis_sql(n: str, g2: str, low: str, high: str) -> str:
     """Sample excess kurtosis G2; NULL below 4 values, 0 for a constant column."""
-    size = n.cast("double")
-    return (F.when(n < 4, None)
-            .when(low == high, 0.0)
-            .otherwise((size - 1) / ((size - 2) * (size - 3)) * ((size + 1) * g2 + 6)))
+    return (f"case when {n} < 4 then null when {low} = {high} then 0.0D "
+            f"else ({n} - 1) / (cast({n} - 2 as double) * ({n} - 3)) * (({n} + 1) * {g2} + 6) end")

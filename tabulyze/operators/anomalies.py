@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulyze.functions.columns import col, number, numeric_columns, percent, pick
+from tabulyze.functions.columns import col, literal, number, number_sql, numeric_columns, percent, pick
 from tabulyze.operators.kernel import numeric_cells, numeric_profile
 from tabulyze.operators.quantiles import iqr_fences
 
@@ -47,12 +47,16 @@ def _flagged(df: DataFrame, columns: list[str], key: str, test) -> DataFrame:
     """(key, column, value, z) of cells where ``test(name, v)`` gives (flag, z); no other cell is emitted."""
     structs = []
     for i, c in enumerate(columns):
-        v = number(df, c)
+        v = number_sql(df, c)
         flag, z = test(c, v)
-        structs.append(F.when(flag, F.struct(F.lit(i).alias("ordinal"), v.alias("value"), z.alias("z"))))
-    hits = F.filter(F.array(*structs), lambda s: s.isNotNull())
-    return df.select(col(key).alias("key"), F.inline(hits)).select(
-        "key", pick(columns, F.col("ordinal")).alias("column"), "ordinal", "value", "z")
+        structs.append(f"if({flag}, struct({i} as ordinal, {v} as value, cast({z} as double) as z), null)")
+    return df.select(col(key).alias("key"), F.expr(
+        f"inline(filter(array({', '.join(structs)}), s -> s is not null))")).select(
+        "key", pick(columns).alias("column"), "ordinal", "value", "z")
+
+
+def _z(v: str, fact, std: str) -> str:
+    return f"abs({v} - {literal(fact['mean'])}) / {literal(fact[std])}"
 
 
 def anomaly_rows(df: DataFrame, key: str, columns: list[str] | None = None, threshold: float = 3.0,
@@ -64,24 +68,31 @@ def anomaly_rows(df: DataFrame, key: str, columns: list[str] | None = None, thre
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, value double, z double").withColumn("key", F.lit(None))
     def test(c, v):
-        z = F.abs(v - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std_pop"])
-        return z > threshold, z
+        z = _z(v, facts[c], "std_pop")
+        return f"{z} > {threshold}", z
     return _flagged(df, columns, key, test).drop("ordinal")
 
 
+def over_threshold(facts: dict, threshold: float = 3.0, min_n: int = 10):
+    """Cell flag: 1 beyond ``threshold`` population deviations of a column with more than ``min_n`` values."""
+    def flag(c, v):
+        usable = facts[c]["n"] > min_n and facts[c]["std_pop"]
+        test = f"{_z(v, facts[c], 'std_pop')} > {threshold}" if usable else "false"
+        return f"if({test}, 1, 0) as over"
+    return flag
+
+
 def anomaly_counts(df: DataFrame, columns: list[str] | None = None, threshold: float = 3.0,
-                   min_n: int = 10) -> DataFrame:
-    """(column, ordinal, count, n_rows) of the cells ``anomaly_rows`` would list."""
+                   min_n: int = 10, facts: dict | None = None) -> DataFrame:
+    """(column, ordinal, count, n_rows) of the cells ``anomaly_rows`` would list.
+
+    ``facts`` hands in column statistics already gathered.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    facts = _facts(df, columns)
-    def over(c, v):
-        f = facts[c]
-        usable = f["n"] > min_n and f["std_pop"]
-        z = F.abs(v - F.lit(f["mean"])) / F.lit(f["std_pop"]) if usable else F.lit(0.0)
-        return F.when(z > threshold, 1).otherwise(0).alias("over")
-    return (numeric_cells(df, columns, over).groupBy("ordinal")
+    facts = _facts(df, columns) if facts is None else facts
+    return (numeric_cells(df, columns, over_threshold(facts, threshold, min_n)).groupBy("ordinal")
             .agg(F.sum("over").alias("count"), F.count("*").alias("n_rows"))
-            .select(pick(columns, F.col("ordinal")).alias("column"), "ordinal", "count", "n_rows"))
+            .select(pick(columns).alias("column"), "ordinal", "count", "n_rows"))
 
 
 def anomaly_summary(df: DataFrame, key: str, method: str = "zscore", samples: int = 5) -> DataFrame:
@@ -92,12 +103,12 @@ def anomaly_summary(df: DataFrame, key: str, method: str = "zscore", samples: in
     if method == "zscore":
         columns = [c for c in columns if facts[c]["std"]]
         def test(c, v):
-            z = F.abs(v - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std"])
-            return z > 3, z
+            z = _z(v, facts[c], "std")
+            return f"{z} > 3", z
     else:
         fences = iqr_fences(df, columns)
         def test(c, v):
-            return (v < fences[c][2]) | (v > fences[c][3]), F.lit(None).cast("double")
+            return f"{v} < {literal(fences[c][2])} or {v} > {literal(fences[c][3])}", "null"
     hits = _flagged(df, columns, key, test)
     counts = hits.groupBy("column").agg(F.count("*").alias("count"))
     # row_number() <= k is cut to k rows per task before the shuffle
@@ -149,11 +160,13 @@ def anomaly_watch(df: DataFrame) -> DataFrame:
     facts = _facts(df, columns)
     columns = [c for c in columns if facts[c]["n"] >= 4 and facts[c]["std"]]
     def z(c, v):
-        return (F.abs(v - F.lit(facts[c]["mean"])) / F.lit(facts[c]["std"])).alias("z")
+        return f"{_z(v, facts[c], 'std')} as z"
     def far(c, v):
-        return F.when(F.abs(v - F.lit(facts[c]["mean"])) > F.lit(3 * facts[c]["std"]), 1).otherwise(0).alias("far")
+        return f"if(abs({v} - {literal(facts[c]['mean'])}) > {literal(3 * facts[c]['std'])}, 1, 0) as far"
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n_anomalies long, pct double, max_z double")
     out = numeric_cells(df, columns, z, far).groupBy("ordinal").agg(
         F.sum("far").alias("n_anomalies"), F.count("v").alias("n"), F.max("z").alias("max_z"))
     return out.filter(F.col("n_anomalies") > 0).select(
-        pick(columns, F.col("ordinal")).alias("column"), "n_anomalies",
+        pick(columns).alias("column"), "n_anomalies",
         F.round(percent(F.col("n_anomalies"), F.col("n")), 2).alias("pct"), F.round("max_z", 1).alias("max_z"))

@@ -6,19 +6,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import col, number, numeric_columns, pick, string_columns
+from tabulyze.functions.columns import col, number, number_sql, numeric_columns, pick
 from tabulyze.operators.kernel import numeric_profile
 
 
-def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+def pair_moments(df: DataFrame, columns: list[str], means: dict[str, float | None] | None = None) -> DataFrame:
     """Sums over the rows where both columns are filled, one row per pair a < b.
 
     Every pair needs its own row mask, which as SQL aggregates means thousands
     of buffer slots for a wide table. Each Arrow batch gives the same sums as
     four matrix products, and tasks emit one small row per pair. Values are
-    shifted by the column means first, so the sums do not cancel.
+    shifted by the column means first (``means`` if known), so the sums do not cancel.
     """
-    centre = df.agg(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = ([means[c] for c in columns] if means is not None else
+              df.selectExpr(*[f"avg({number_sql(df, c)}) as m{i}" for i, c in enumerate(columns)]).first())
     shift = np.array([0.0 if m is None else m for m in centre])
     a, b = np.triu_indices(len(columns), k=1)
     names = ["n", "sa", "sb", "saa", "sbb", "sab"]
@@ -38,10 +39,10 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
                 names=["a_ordinal", "b_ordinal", *names])
 
     schema = "a_ordinal int, b_ordinal int, " + ", ".join(f"{n} double" for n in names)
-    cells = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    cells = df.selectExpr(*[f"{number_sql(df, c)} as c{i}" for i, c in enumerate(columns)])
     return (cells.mapInArrow(products, schema).groupBy("a_ordinal", "b_ordinal")
             .agg(*[F.sum(n).alias(n) for n in names])
-            .select(pick(columns, F.col("a_ordinal")).alias("a"), pick(columns, F.col("b_ordinal")).alias("b"),
+            .select(pick(columns, "a_ordinal").alias("a"), pick(columns, "b_ordinal").alias("b"),
                     "a_ordinal", "b_ordinal", F.col("n").cast("long").alias("n"),
                     (F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), "n")).alias("xx"),
                     (F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), "n")).alias("yy"),
@@ -54,7 +55,8 @@ def _spread(part: str, raw: str):
     return F.when(F.col(part) > F.col(raw) * 1e-14, F.col(part))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int | None = None) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int | None = None,
+                      means: dict[str, float | None] | None = None) -> DataFrame:
     """(a, b, r) over pairwise-complete rows; pairs with a constant side have no r.
 
     ``cap`` keeps that many columns, the ones with the largest variance.
@@ -68,7 +70,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int
         return df.sparkSession.createDataFrame(
             [], "a string, b string, a_ordinal int, b_ordinal int, n long, r double")
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
-    return (pair_moments(df, columns)
+    return (pair_moments(df, columns, means)
             .select("a", "b", "a_ordinal", "b_ordinal", "n",
                     F.when(F.col("n") > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
             .filter(F.col("r").isNotNull()))

@@ -7,19 +7,29 @@ one partial row per column and task in the shuffle, however wide the table is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    INTEGER_TYPES, col, compact, kind, number, numeric_columns, pick, string_columns, value)
-from tabulyze.functions.moments import adjusted_kurtosis, adjusted_skewness
+    INTEGER_TYPES, col, compact_sql, kind, literal, number_sql, numeric_columns, pick, string_columns, value, value_sql)
+from tabulyze.functions.moments import adjusted_kurtosis_sql, adjusted_skewness_sql
 
 
 def numeric_cells(df: DataFrame, columns: list[str], *extra) -> DataFrame:
-    """(ordinal, v, …) for every row and column; ``extra(name, v)`` adds fields."""
-    return df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), number(df, c).alias("v"),
-                 *[e(c, number(df, c)) for e in extra])
-        for i, c in enumerate(columns)])))
+    """(ordinal, v, …) for every row and column; ``extra(name, v)`` gives SQL text of more fields."""
+    structs = []
+    for i, c in enumerate(columns):
+        v = number_sql(df, c)
+        structs.append("struct(" + ", ".join([f"{i} as ordinal", f"{v} as v", *[e(c, v) for e in extra]]) + ")")
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
+def outside_fences(fences: dict):
+    """Cell flag: 1 beyond the column's fences."""
+    def flag(name, v):
+        f = fences.get(name)
+        test = "false" if f is None else f"{v} < {literal(f[2])} or {v} > {literal(f[3])}"
+        return f"if({test}, 1, 0) as outside"
+    return flag
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dict | None = None,
@@ -32,31 +42,21 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dic
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
-    extra = []
-    if fences is not None:
-        def outside(name, v):
-            f = fences[name]
-            flag = F.lit(0) if f is None else F.when((v < f[2]) | (v > f[3]), 1).otherwise(0)
-            return flag.alias("outside")
-        extra.append(outside)
-    stats = [F.count("*").alias("n_rows"), F.count("v").alias("n"), F.avg("v").alias("mean"),
-             F.var_samp("v").alias("variance"), F.min("v").alias("min"), F.max("v").alias("max")]
-    if shape:
-        stats += [F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2")]
-    if fences is not None:
-        stats.append(F.sum("outside").alias("outliers"))
-    long = numeric_cells(df, columns, *extra).groupBy("ordinal").agg(*stats)
-    out = [pick(columns, F.col("ordinal")).alias("column"), "ordinal", "n_rows", "n", "mean",
-           F.sqrt("variance").alias("std"), "variance",
-           F.sqrt(F.col("variance") * (F.col("n") - 1) / F.col("n")).alias("std_pop"), "min", "max"]
+    stats = ["count(1) as n_rows", "count(v) as n", "avg(v) as mean", "var_samp(v) as variance",
+             "min(v) as min", "max(v) as max"]
+    out = ["ordinal", "n_rows", "n", "mean", "sqrt(variance) as std", "variance",
+           "sqrt(variance * (n - 1) / n) as std_pop", "min", "max"]
     if shape:
-        ends = (F.col("min"), F.col("max"))
-        out += [adjusted_skewness(F.col("n"), F.col("g1"), *ends).alias("skewness"),
-                adjusted_kurtosis(F.col("n"), F.col("g2"), *ends).alias("kurtosis")]
-    out.append(((F.col("n_rows") - F.col("n")) * 100.0 / F.col("n_rows")).alias("missing_pct"))
+        stats += ["skewness(v) as g1", "kurtosis(v) as g2"]
+        out += [f"{adjusted_skewness_sql('n', 'g1', 'min', 'max')} as skewness",
+                f"{adjusted_kurtosis_sql('n', 'g2', 'min', 'max')} as kurtosis"]
+    out.append("(n_rows - n) * 100.0D / n_rows as missing_pct")
     if fences is not None:
+        stats.append("sum(outside) as outliers")
         out.append("outliers")
-    return long.select(*out)
+    cells = numeric_cells(df, columns, *([outside_fences(fences)] if fences is not None else []))
+    long = cells.groupBy("ordinal").agg(*[F.expr(e) for e in stats])
+    return long.select(pick(columns).alias("column"), *[F.expr(e) for e in out])
 
 
 _PROFILE_SCHEMA = (
@@ -67,34 +67,27 @@ _PROFILE_SCHEMA = (
 
 def with_quantiles(profile: DataFrame, quantiles: dict[str, list], names: list[str]) -> DataFrame:
     """Attach driver-held quantiles (one list per column) to a profile."""
-    columns = list(quantiles)
-    for i, name in enumerate(names):
-        if columns:
-            lookup = F.create_map(*[x for c in columns
-                                    for x in (F.lit(c), F.lit(quantiles[c][i]).cast("double"))])
-            profile = profile.withColumn(name, lookup[F.col("column")])
-        else:
-            profile = profile.withColumn(name, F.lit(None).cast("double"))
-    return profile
+    def lookup(i):
+        pairs = ", ".join(f"{literal(c)}, cast({literal(q[i])} as double)" for c, q in quantiles.items())
+        return f"element_at(map({pairs}), column)" if quantiles else "cast(null as double)"
+    return profile.selectExpr("*", *[f"{lookup(i)} as {name}" for i, name in enumerate(names)])
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: n_rows and non-null n, from one scan of cheap counters."""
     columns = df.columns if columns is None else columns
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  *[F.count(value(df, c)).alias(f"n{i}") for i, c in enumerate(columns)])
-    return wide.select("n_rows", F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(columns))]))
-                       .alias("ordinal", "n")).select(
-        pick(columns, F.col("ordinal")).alias("column"), "ordinal", "n_rows", "n")
+    wide = df.selectExpr("count(1) as n_rows", *[f"count({value_sql(df, c)}) as n{i}" for i, c in enumerate(columns)])
+    listed = ", ".join(f"n{i}" for i in range(len(columns)))
+    return (wide.selectExpr("n_rows", f"posexplode(array({listed})) as (ordinal, n)")
+            .select(pick(columns).alias("column"), "ordinal", "n_rows", "n"))
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None,
                  include_null: bool = False) -> DataFrame:
     """(ordinal, value, n) over string columns, counted in one shuffle."""
     columns = string_columns(df) if columns is None else columns
-    cells = df.select(F.inline(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), value(df, c).cast("string").alias("value"))
-        for i, c in enumerate(columns)])))
+    structs = [f"struct({i} as ordinal, cast({value_sql(df, c)} as string) as value)" for i, c in enumerate(columns)]
+    cells = df.selectExpr(f"inline(array({', '.join(structs)}))")
     if not include_null:
         cells = cells.filter(F.col("value").isNotNull())
     return cells.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
@@ -116,7 +109,7 @@ def top_values(df: DataFrame, columns: list[str] | None = None,
                  F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
                  F.count("value").alias("n_distinct"),
                  F.min(rank).alias("top"))
-            .select(pick(columns, F.col("ordinal")).alias("column"), "ordinal", "n_rows", "n",
+            .select(pick(columns).alias("column"), "ordinal", "n_rows", "n",
                     "n_distinct", F.col("top.value").alias("top_value"),
                     F.coalesce(-F.col("top.neg"), F.lit(0)).alias("top_n")))
 
@@ -132,31 +125,29 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
     text. A value that fills most of a column collapses in the map-side combine.
     """
     columns = [f.name for f in df.schema.fields if kind(f) != "other"] if columns is None else columns
+    truthy_words = ", ".join(map(literal, TRUTHY))
     structs = []
     for i, c in enumerate(columns):
         k, dtype = kind(df.schema[c]), df.schema[c].dataType
-        cell = value(df, c)
-        whole = real = text = None
-        length, truthy = F.lit(None), F.lit(False)
+        cell = value_sql(df, c)
+        whole = real = text = length = "null"
+        truthy = "false"
         if isinstance(dtype, INTEGER_TYPES):
-            whole, truthy = cell, cell.isin(0, 1)
+            whole, truthy = cell, f"{cell} in (0, 1)"
+        elif isinstance(dtype, T.DecimalType):
+            text, truthy = f"cast({cell} as string)", f"{cell} in (0, 1)"
         elif k == "numeric":
-            real, truthy = cell, cell.isin(0, 1)
-            if dtype.typeName() == "decimal":
-                real, text = None, cell.cast("string")
+            real, truthy = cell, f"{cell} in (0, 1)"
         elif k == "boolean":
-            whole, truthy = cell.cast("int"), F.lit(True)
+            whole, truthy = f"cast({cell} as int)", "true"
         elif k == "datetime":
-            whole = F.unix_micros(cell.cast("timestamp"))
+            whole = f"unix_micros(cast({cell} as timestamp))"
         else:
-            text, length, truthy = compact(df, c), F.length(cell), cell.isin(*TRUTHY)
-        structs.append(F.struct(
-            F.lit(i).alias("ordinal"),
-            (F.lit(None) if whole is None else whole).cast("long").alias("whole"),
-            (F.lit(None) if real is None else real).cast("double").alias("real"),
-            (F.lit(None) if text is None else text).cast("string").alias("text"),
-            length.cast("long").alias("len"), F.coalesce(truthy, F.lit(False)).alias("truthy")))
-    cells = df.select(F.inline(F.array(*structs)))
+            text, length, truthy = compact_sql(df, c), f"length({cell})", f"{cell} in ({truthy_words})"
+        structs.append(f"struct({i} as ordinal, cast({whole} as long) as whole, cast({real} as double) as real, "
+                       f"cast({text} as string) as text, cast({length} as long) as len, "
+                       f"coalesce({truthy}, false) as truthy)")
+    cells = df.selectExpr(f"inline(array({', '.join(structs)}))")
     # a typed null is a group of its own, so it has no key
     present = (F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull())
     keys = cells.groupBy("ordinal", "whole", "real", "text", "len", "truthy").agg(F.count("*").alias("n"))
@@ -167,14 +158,14 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
                  F.try_divide(F.sum(F.when(present, F.col("n") * F.col("len"))).cast("double"),
                               F.sum(F.when(F.col("len").isNotNull(), F.col("n")))).alias("avg_len"),
                  F.coalesce(F.bool_and(F.when(present, F.col("truthy"))), F.lit(True)).alias("all_truthy"))
-            .select(pick(columns, F.col("ordinal")).alias("column"),
-                    pick([df.columns.index(c) for c in columns], F.col("ordinal")).alias("ordinal"),
+            .select(pick(columns).alias("column"),
+                    pick([df.columns.index(c) for c in columns]).alias("ordinal"),
                     "n_rows", "n", "n_distinct", "avg_len", "all_truthy"))
 
 
 def row_counts(df: DataFrame) -> DataFrame:
     """One row: n_rows and distinct_rows, nulls comparing equal."""
-    keys = df.select(*[compact(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)])
+    keys = df.selectExpr(*[f"{compact_sql(df, c)} as k{i}" for i, c in enumerate(df.columns)])
     return (keys.groupBy(*keys.columns).agg(F.count("*").alias("n"))
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("distinct_rows")))
 
@@ -204,9 +195,8 @@ def edge_values(df: DataFrame, columns: list[str], order: list[str], k: int,
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)
-    from pyspark.sql import Window
     names = [f"o{j}" for j in range(len(order))]
     # at most probe_rows rows per column reach this window
     window = Window.partitionBy("ordinal").orderBy(*[F.col(o).desc() if last else F.col(o) for o in names])
     return (rows.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
-            .select(pick(columns, F.col("ordinal")).alias("column"), "ordinal", "rn", "v"))
+            .select(pick(columns).alias("column"), "ordinal", "rn", "v"))

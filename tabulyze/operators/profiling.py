@@ -66,7 +66,7 @@ def cardinality(df: DataFrame, count_null: bool = True) -> DataFrame:
 def dtype_summary(df: DataFrame) -> DataFrame:
     """Type string per column, next to its number of filled cells."""
     names = [t for _, t in df.dtypes]
-    return null_counts(df).select("column", "ordinal", pick(names, F.col("ordinal")).alias("dtype"),
+    return null_counts(df).select("column", "ordinal", pick(names).alias("dtype"),
                                   F.col("n").alias("filled"))
 
 
@@ -106,7 +106,7 @@ def outlier_cells(df: DataFrame) -> DataFrame:
     fences = iqr_fences(df, columns)
     spread = [bool(fences[c] and fences[c][1] - fences[c][0] > 0) for c in columns]
     wide = F.col("n") >= 4
-    open_ = wide & pick(spread, F.col("ordinal"))
+    open_ = wide & pick(spread)
     return numeric_profile(df, columns, fences, shape=False).agg(
         F.sum("outliers").alias("outliers"), F.sum("n_rows").alias("cells"),
         F.coalesce(F.sum(F.when(wide, F.col("n"))), F.lit(0)).alias("cells_n4"),

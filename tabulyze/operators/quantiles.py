@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulyze.functions.columns import col, number
+from tabulyze.functions.columns import col, literal, number_sql, quoted
 
 BUFFER_ROWS = 100_000     # longest column handed to percentile()
 PICK_ROWS = 10_000        # longest interval sorted in one piece
@@ -22,20 +22,25 @@ BUCKETS = 16_384          # histogram width per narrowing pass
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     buffer_rows: int | None = None, pick_rows: int | None = None,
-                    buckets: int | None = None) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles per column, ``None`` for an empty column."""
+                    buckets: int | None = None,
+                    sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles per column, ``None`` for an empty column.
+
+    ``sizes`` hands in the filled cells per column when they are already known.
+    """
     if not columns:
         return {}
     buffer_rows = BUFFER_ROWS if buffer_rows is None else buffer_rows
-    sizes = df.agg(*[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    size = {c: sizes[i] for i, c in enumerate(columns)}
+    if sizes is None:
+        row = df.selectExpr(*[f"count({number_sql(df, c)}) as n{i}" for i, c in enumerate(columns)]).first()
+        sizes = {c: row[i] for i, c in enumerate(columns)}
+    size = {c: sizes[c] for c in columns}
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
 
     short = [c for c in columns if 0 < size[c] <= buffer_rows]
     if short:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(number(df, c), wanted).alias(f"q{i}")
-                       for i, c in enumerate(short)]).first()
+        wanted = f"array({', '.join(literal(float(p)) for p in probs)})"
+        row = df.selectExpr(*[f"percentile({number_sql(df, c)}, {wanted}) as q{i}" for i, c in enumerate(short)]).first()
         for i, c in enumerate(short):
             found[c] = list(row[i])
 
@@ -63,8 +68,8 @@ def _order_statistics(df: DataFrame, targets: list[tuple[str, int]], pick_rows:
                       buckets: int) -> dict[tuple[str, int], float]:
     """The value at each (column, zero-based rank)."""
     names = sorted({c for c, _ in targets})
-    ends = df.agg(*[f(number(df, c)).alias(f"{f.__name__}{i}")
-                    for i, c in enumerate(names) for f in (F.min, F.max)]).first()
+    ends = df.selectExpr(*[f"{f}({number_sql(df, c)}) as {f}{i}"
+                           for i, c in enumerate(names) for f in ("min", "max")]).first()
     # rank -> (low, high, rows below low, rows inside)
     span = {(c, k): (ends[f"min{names.index(c)}"], ends[f"max{names.index(c)}"], 0, None)
             for c, k in targets}
@@ -88,35 +93,36 @@ def _intervals(span: dict) -> list[tuple[str, float, float]]:
     return sorted({(c, s[0], s[1]) for (c, _), s in span.items()})
 
 
-def _cells(df: DataFrame, intervals: list, extra) -> DataFrame:
+def _cells(df: DataFrame, intervals: list, extra=lambda v, low, high: "") -> DataFrame:
     """Values inside any interval as (interval, v, …); other values are never emitted."""
-    structs = []
+    structs, tests = [], []
     for i, (c, low, high) in enumerate(intervals):
-        v = number(df, c)
-        structs.append(F.when(v.between(low, high),
-                              F.struct(F.lit(i).alias("interval"), v.alias("v"), *extra(v, low, high))))
+        v, bounds = number_sql(df, c), f"between {literal(low)} and {literal(high)}"
+        structs.append(f"if({v} {bounds}, struct({i} as interval, {v} as v{extra(v, low, high)}), null)")
+        tests.append(f"{quoted(c)} {bounds}")
     names = sorted({c for c, _, _ in intervals})
-    inside = None
-    for c, low, high in intervals:
-        test = col(c).between(low, high)
-        inside = test if inside is None else inside | test
-    return (df.filter(inside).select(*[col(c) for c in names])
-            .select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-            .select("s.*"))
+    return (df.filter(" or ".join(tests)).select(*[col(c) for c in names])
+            .selectExpr(f"inline(filter(array({', '.join(structs)}), s -> s is not null))"))
+
+
+def _wanted(intervals: list, span: dict) -> dict[int, list[int]]:
+    """Ranks looked for per interval, counted from its own start."""
+    return {i: sorted({k - s[2] for (c, k), s in span.items() if (c, s[0], s[1]) == iv})
+            for i, iv in enumerate(intervals)}
+
+
+def _rank_map(wanted: dict[int, list[int]]) -> str:
+    pairs = ", ".join(f"{i}, array({', '.join(f'{k}L' for k in ks)})" for i, ks in wanted.items())
+    return f"element_at(map({pairs}), interval)"
 
 
 def _pick(df: DataFrame, span: dict) -> dict:
     """Sort intervals already known to be short and read the ranks off."""
     intervals = _intervals(span)
-    rows = (_cells(df, intervals, lambda v, low, high: ())
-            .groupBy("interval").agg(F.sort_array(F.collect_list("v")).alias("vs")))
-    wanted = {i: sorted({k - s[2] for (c, k), s in span.items() if (c, s[0], s[1]) == iv})
-              for i, iv in enumerate(intervals)}
-    chosen = F.create_map(*[x for i, ks in wanted.items()
-                            for x in (F.lit(i), F.array(*[F.lit(k) for k in ks]))])
-    picked = {r["interval"]: dict(zip(wanted[r["interval"]], r["found"])) for r in rows.select(
-        "interval", F.transform(chosen[F.col("interval")],
-                                lambda k: F.get("vs", k.cast("int"))).alias("found")).collect()}
+    wanted = _wanted(intervals, span)
+    rows = _cells(df, intervals).groupBy("interval").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+    found = rows.selectExpr("interval", f"transform({_rank_map(wanted)}, k -> get(vs, cast(k as int))) as found").collect()
+    picked = {r["interval"]: dict(zip(wanted[r["interval"]], r["found"])) for r in found}
     return {(c, k): picked[intervals.index((c, s[0], s[1]))][k - s[2]] for (c, k), s in span.items()}
 
 
@@ -124,23 +130,19 @@ def _narrow(df: DataFrame, span: dict, buckets: int) -> dict:
     """One counting pass; returns the bucket that holds each rank."""
     intervals = _intervals(span)
 
+    wanted = _wanted(intervals, span)
+
     def bucket(v, low, high):
         # halves keep the width finite for the widest doubles
-        place = (v / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
-        return (F.floor(place * (buckets - 1)).cast("int").alias("bucket"),)
+        place = f"({v} / 2 - {literal(low / 2)}) / {literal(high / 2 - low / 2)}"
+        return f", cast(floor({place} * {buckets - 1}) as int) as bucket"
 
     counts = (_cells(df, intervals, bucket).groupBy("interval", "bucket")
               .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
     # at most `buckets` rows per interval
     running = counts.withColumn("upto", F.sum("n").over(
         Window.partitionBy("interval").orderBy("bucket")))
-    wanted = {i: sorted({k - s[2] for (c, k), s in span.items() if (c, s[0], s[1]) == iv})
-              for i, iv in enumerate(intervals)}
-    ranks = F.create_map(*[x for i, ks in wanted.items()
-                           for x in (F.lit(i), F.array(*[F.lit(k) for k in ks]))])
-    hits = (running.filter(F.exists(ranks[F.col("interval")],
-                                    lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))))
-            .collect())
+    hits = running.filter(f"exists({_rank_map(wanted)}, k -> k < upto and k >= upto - n)").collect()
     narrowed = {}
     for (c, k), s in span.items():
         i = intervals.index((c, s[0], s[1]))
@@ -150,8 +152,8 @@ def _narrow(df: DataFrame, span: dict, buckets: int) -> dict:
 
 
 def iqr_fences(df: DataFrame, columns: list[str], multiplier: float = 1.5,
-               ) -> dict[str, tuple[float, float, float, float] | None]:
+               sizes: dict[str, int] | None = None) -> dict[str, tuple[float, float, float, float] | None]:
     """(q1, q3, lower fence, upper fence) per column, ``None`` for an empty column."""
     return {c: None if q[0] is None else
             (q[0], q[1], q[0] - multiplier * (q[1] - q[0]), q[1] + multiplier * (q[1] - q[0]))
-            for c, q in exact_quantiles(df, columns, [0.25, 0.75]).items()}
+            for c, q in exact_quantiles(df, columns, [0.25, 0.75], sizes=sizes).items()}

@@ -61,7 +61,7 @@ def report_tables(df: DataFrame, risks: DataFrame) -> DataFrame:
                       col("severity"), F.lit(None)))
     numeric = numeric_columns(df)
     place = [numeric.index(c) if c in numeric else len(df.columns) + i for i, c in enumerate(df.columns)]
-    inventory = null_counts(df).select("column", pick(place, col("ordinal")).alias("place"), "n").withColumn(
+    inventory = null_counts(df).select("column", pick(place).alias("place"), "n").withColumn(
         "kind", F.when(col("place") < len(df.columns), "Numeric").otherwise("Categorical"))
     frames.append(cut(inventory, "inventory", [col("place")], 24, col("column"), col("kind"), col("n")))
     out = frames[0]

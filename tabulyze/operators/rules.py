@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import numeric_columns, percent, side_by_side, string_columns
-from tabulyze.operators import anomalies, correlation, profiling, segments, timeseries
-from tabulyze.operators.kernel import null_counts, numeric_profile, with_quantiles
-from tabulyze.operators.quantiles import exact_quantiles
+from tabulyze.functions.columns import literal, numeric_columns, percent, side_by_side, string_columns
+from tabulyze.operators import anomalies, correlation, segments, timeseries
+from tabulyze.operators.kernel import (
+    null_counts, numeric_cells, numeric_profile, outside_fences, row_counts, with_quantiles)
+from tabulyze.operators.quantiles import exact_quantiles, iqr_fences
 from tabulyze.operators.typing import Detection, detect, promote_datetime_hint
 
 
@@ -34,38 +35,47 @@ def ranked(name: str, order: list[str]) -> Column:
 # --- executive KPIs and alerts ------------------------------------------------------------
 
 def dashboard_facts(df: DataFrame, found: Detection | None = None) -> DataFrame:
-    """One row with every measure the KPIs and alerts read."""
+    """One row with every measure the KPIs and alerts read.
+
+    What the detection already gathered per column enters as literals; outliers and
+    anomalies share one scan.
+    """
     found = detect(df) if found is None else found
     df = promote_datetime_hint(df)
-    numeric = found.of("numeric")
-    frames = [profiling.quality_report(df, numeric)]
+    numeric, facts = found.of("numeric"), found.facts
+    n_rows = next(iter(facts.values()))["n_rows"]
+    gaps = [(f["n_rows"] - f["filled"]) / f["n_rows"] for f in facts.values()]
+    missing = sum(gaps) / len(gaps) * 100
+    skewed = sum(1 for c in numeric if facts[c]["n"] > 3 and abs(round(facts[c]["skewness"], 4)) > 2)
+    frames = [row_counts(df).selectExpr(
+        "n_rows as row_count", f"{len(df.columns)} as col_count", f"round({literal(missing)}, 2) as missing_pct",
+        "round((n_rows - distinct_rows) * 100.0D / n_rows, 2) as duplicate_pct", f"{skewed}L as severe_skews")]
     if numeric:
-        frames.append(anomalies.anomaly_counts(df, numeric).agg(
-            F.least(F.sum("count") / F.max("n_rows").cast("double"), F.lit(1.0)).alias("pressure")))
-        frames.append(numeric_profile(df, numeric).filter(F.col("n") > 3).agg(
-            F.count(F.when(F.abs(F.round("skewness", 4)) > 2, 1)).alias("severe_skews")))
+        filled = {c: facts[c]["n"] for c in numeric}
+        fences = iqr_fences(df, numeric, sizes=filled)
+        open_ = {c: f for c, f in fences.items() if f and f[1] > f[0] and filled[c] >= 4}
+        cells = sum(filled[c] for c in numeric if filled[c] >= 4)
+        frames.append(numeric_cells(df, numeric, outside_fences(open_), anomalies.over_threshold(facts)).selectExpr(
+            f"round(sum(outside) * 100.0D / {max(cells, 1)}, 2) as outlier_pct",
+            f"least(sum(over) / {float(n_rows)}D, 1.0D) as pressure"))
     if len(numeric) >= 2:
-        frames.append(correlation.correlation_pairs(df, numeric, cap=25).agg(
-            F.count(F.when(F.abs("r") >= 0.75, 1)).alias("high_pairs")))
-    if found.metric:
-        frames.append(numeric_profile(df, [found.metric], shape=False).filter(F.col("n") > 1).select(
-            F.round(F.least(F.col("std") / (F.abs("mean") + 1e-9), F.lit(1.0)), 4).alias("volatility")))
+        frames.append(correlation.correlation_pairs(df, numeric, cap=25, means={c: facts[c]["mean"] for c in numeric})
+                      .selectExpr("count_if(abs(r) >= 0.75) as high_pairs"))
     if found.metric and found.segment:
         frames.append(segments.segment_concentration(df, found.segment, found.metric))
     if found.metric and found.time:
         frames.append(timeseries.trend_direction(timeseries.time_trend(df, found.time, found.metric)).select(
             "pct_change", "direction"))
-    facts = side_by_side(*frames)
-    for name, dtype in (("pressure", "double"), ("severe_skews", "long"), ("high_pairs", "long"),
-                        ("volatility", "double"), ("concentration_risk", "double"),
-                        ("segment_dominance", "double"), ("pct_change", "double"), ("direction", "string")):
-        if name not in facts.columns:
-            facts = facts.withColumn(name, F.lit(None).cast(dtype))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return facts.select(
-        *[c for c in ("row_count", "col_count", "missing_pct", "duplicate_pct", "outlier_pct", "completeness_score")],
-        *[zero(c).alias(c) for c in ("pressure", "severe_skews", "high_pairs", "volatility", "concentration_risk",
-                                     "segment_dominance", "pct_change")], "direction")
+    out = side_by_side(*frames)
+    absent = {"outlier_pct": "double", "pressure": "double", "high_pairs": "long", "concentration_risk": "double",
+              "segment_dominance": "double", "pct_change": "double"}
+    zero = lambda c: f"coalesce({c}, 0) as {c}" if c in out.columns else f"cast(0 as {absent[c]}) as {c}"
+    m = facts[found.metric] if found.metric else None
+    volatility = min(m["std"] / (abs(m["mean"]) + 1e-9), 1.0) if m and m["n"] > 1 else 0.0
+    return out.selectExpr(
+        "row_count", "col_count", "missing_pct", "duplicate_pct", "round(100 - missing_pct, 2) as completeness_score",
+        "severe_skews", *[zero(c) for c in absent], f"round({literal(volatility)}, 4) as volatility",
+        "direction" if "direction" in out.columns else "cast(null as string) as direction")
 
 
 def executive_kpis(df: DataFrame, found: Detection | None = None) -> DataFrame:

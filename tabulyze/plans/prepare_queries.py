@@ -128,7 +128,7 @@ def roles_sql(table):
           when avg_len > 20 and n_distinct > 100 then 'text'
           when n_distinct <= 50 or is_segment then 'categorical' else 'text' end as role,
         n_distinct as cardinality, round((n_rows - n) * 100.0::double / n_rows, 2) as missing_pct,
-        (n_rows - n)::double / n_rows as missing_share
+        (n_rows - n)::double / n_rows as missing_share, n_rows, n as filled
       from (select *, n_distinct::double / n_rows as ratio,
               regexp_matches("column", '{typ.ID_NAMES}', 'i') as is_id,
               regexp_matches("column", '{seg}', 'i') as is_segment
