@@ -99,6 +99,12 @@ def clip(cell: Column, low: Column, high: Column) -> Column:
     return F.when(cell.isNotNull(), F.least(F.greatest(cell, low), high))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """Round as scaled integers, so a double just under a tie is not read as the tie it prints like."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.round(x * float(10 ** places)) / float(10 ** places)
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0)) * 100
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulyze.functions.columns import col, literal, number, number_sql, numeric_columns, percent, pick
+from tabulyze.functions.columns import col, literal, number, number_sql, numeric_columns, percent, pick, rounded
 from tabulyze.operators.kernel import numeric_cells, numeric_profile
 from tabulyze.operators.quantiles import iqr_fences
 
@@ -25,7 +25,7 @@ def iqr_outlier_rows(df: DataFrame, name: str, multiplier: float = 1.5) -> DataF
     if fence is None:
         return df.limit(0)
     c = col(name)
-    return df.filter((c < F.lit(fence[2])) | ((c > F.lit(fence[3])) & ~F.isnan(number(df, name))))
+    return df.filter(((c < F.lit(fence[2])) | (c > F.lit(fence[3]))) & number(df, name).isNotNull())
 
 
 def _facts(df: DataFrame, columns: list[str]) -> dict:
@@ -45,14 +45,15 @@ def zscore_outlier_rows(df: DataFrame, name: str, threshold: float = 3.0, ddof:
 
 def _flagged(df: DataFrame, columns: list[str], key: str, test) -> DataFrame:
     """(key, column, value, z) of cells where ``test(name, v)`` gives (flag, z); no other cell is emitted."""
-    structs = []
+    structs, tests = [], []
     for i, c in enumerate(columns):
         v = number_sql(df, c)
         flag, z = test(c, v)
+        tests.append(f"({flag})")
         structs.append(f"if({flag}, struct({i} as ordinal, {v} as value, cast({z} as double) as z), null)")
-    return df.select(col(key).alias("key"), F.expr(
-        f"inline(filter(array({', '.join(structs)}), s -> s is not null))")).select(
-        "key", pick(columns).alias("column"), "ordinal", "value", "z")
+    # rows without a flagged cell are gone before any is unfolded
+    return (df.filter(" or ".join(tests)).select(col(key).alias("key"), F.expr(f"inline(array({', '.join(structs)}))"))
+            .filter("ordinal is not null").select("key", pick(columns).alias("column"), "ordinal", "value", "z"))
 
 
 def _z(v: str, fact, std: str) -> str:
@@ -115,11 +116,11 @@ def anomaly_summary(df: DataFrame, key: str, method: str = "zscore", samples: in
     first = (hits.withColumn("rn", F.row_number().over(Window.partitionBy("column").orderBy("key")))
              .filter(F.col("rn") <= samples).groupBy("column")
              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))),
-                              lambda s: F.round(s["value"], 4)).alias("sample_values")))
+                              lambda s: rounded(s["value"], 4)).alias("sample_values")))
     fact = lambda name: F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(facts[c][name]))])[F.col("column")]
     return counts.join(F.broadcast(first), "column").select(   # one row per column
-        "column", "count", "sample_values", F.round(fact("mean"), 4).alias("column_mean"),
-        F.round(fact("std"), 4).alias("column_std"), F.round(percent(F.col("count"), fact("n")), 2).alias("pct_anomalous"))
+        "column", "count", "sample_values", rounded(fact("mean"), 4).alias("column_mean"),
+        rounded(fact("std"), 4).alias("column_std"), rounded(percent(F.col("count"), fact("n")), 2).alias("pct_anomalous"))
 
 
 def anomaly_totals(summary: DataFrame, method: str) -> DataFrame:
@@ -169,4 +170,4 @@ def anomaly_watch(df: DataFrame) -> DataFrame:
         F.sum("far").alias("n_anomalies"), F.count("v").alias("n"), F.max("z").alias("max_z"))
     return out.filter(F.col("n_anomalies") > 0).select(
         pick(columns).alias("column"), "n_anomalies",
-        F.round(percent(F.col("n_anomalies"), F.col("n")), 2).alias("pct"), F.round("max_z", 1).alias("max_z"))
+        rounded(percent(F.col("n_anomalies"), F.col("n")), 2).alias("pct"), rounded("max_z", 1).alias("max_z"))

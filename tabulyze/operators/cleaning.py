@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabulyze.functions.columns import (
-    clip, col, columns_of, number, numeric_columns, side_by_side, string_columns, value)
+    rounded, clip, col, columns_of, number, numeric_columns, side_by_side, string_columns, value)
 from tabulyze.functions.storage import materialise
 from tabulyze.operators import profiling
 from tabulyze.operators.kernel import null_counts, row_counts, top_values
@@ -58,8 +58,8 @@ def dedupe(df: DataFrame) -> DataFrame:
 def cap_outliers(df: DataFrame, iqr_multiplier: float = 1.5) -> DataFrame:
     """Clamp numeric columns with a spread to their IQR fences."""
     columns = numeric_columns(df)
-    fences = iqr_fences(df, columns, iqr_multiplier)
-    counts = {r["column"]: r["n"] for r in null_counts(df, columns).collect()} if columns else {}
+    counts = {r["column"]: r["n"] for r in null_counts(df, columns).collect()} if columns else {}   # one row per column
+    fences = iqr_fences(df, columns, iqr_multiplier, sizes=counts)
     def cell(c):
         f = fences.get(c)
         if f and f[1] - f[0] > 0 and counts[c] >= 4:
@@ -98,7 +98,7 @@ def quality_before_after(df: DataFrame) -> DataFrame:
             F.struct(F.lit(m).alias("metric"), F.col(m).alias(name), F.lit(better).alias("lower_is_better"))
             for m, better in lower.items()])))
     after = long(materialise(clean_app(df)), "after").drop("lower_is_better")
-    delta = F.round(F.col("after") - F.col("before"), 2)
+    delta = rounded(F.col("after") - F.col("before"), 2)
     return (long(df, "before").join(F.broadcast(after), "metric")   # four rows
             .select("metric", "before", "after", delta.alias("delta"),
                     F.when(F.abs(delta) < 0.005, "no change")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import col, number, number_sql, numeric_columns, pick
+from tabulyze.functions.columns import clip, col, number, number_sql, numeric_columns, pick, rounded
 from tabulyze.operators.kernel import numeric_profile
 
 
@@ -72,7 +72,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
     return (pair_moments(df, columns, means)
             .select("a", "b", "a_ordinal", "b_ordinal", "n",
-                    F.when(F.col("n") > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
+                    F.when(F.col("n") > 1, clip(r, F.lit(-1.0), F.lit(1.0))).alias("r"))
             .filter(F.col("r").isNotNull()))
 
 
@@ -99,20 +99,20 @@ def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int =
     best = _strongest(pairs, top).select("a", "b", F.lit(True).alias("is_top"))
     return (pairs.join(F.broadcast(best), ["a", "b"], "left")   # at most `top` rows
             .filter(F.col("is_top") | F.col("is_high"))
-            .select("a", "b", F.round("r", 4).alias("r"), F.coalesce("is_top", F.lit(False)).alias("is_top"),
+            .select("a", "b", rounded("r", 4).alias("r"), F.coalesce("is_top", F.lit(False)).alias("is_top"),
                     "is_high"))
 
 
 def corr_top(df: DataFrame, top: int = 5, cap: int | None = 50) -> DataFrame:
     """The strongest pairs by the size of r rounded to four places."""
-    pairs = correlation_pairs(df, cap=cap).withColumn("r", F.round("r", 4))
+    pairs = correlation_pairs(df, cap=cap).withColumn("r", rounded("r", 4))
     return _strongest(pairs, top).select(F.col("a").alias("col_a"), F.col("b").alias("col_b"),
                                          F.col("r").alias("correlation"))
 
 
 def corr_labelled(df: DataFrame, top: int = 15) -> DataFrame:
     """The strongest pairs with a strength label."""
-    pairs = correlation_pairs(df).withColumn("r", F.round("r", 4))
+    pairs = correlation_pairs(df).withColumn("r", rounded("r", 4))
     size = F.abs("r")
     return _strongest(pairs, top).select(
         F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), F.col("r").alias("correlation"),
@@ -124,7 +124,7 @@ def corr_heatmap(df: DataFrame, pairs: int = 15, features: int = 12) -> DataFram
     """Square matrix over the features named by the strongest pairs, 0 where a pair is not listed."""
     listed = corr_labelled(df, pairs).collect()   # at most `pairs` rows
     names = list(dict.fromkeys(n for r in listed[:20] for n in (r["feature_a"], r["feature_b"])))[:features]
-    long = (correlation_pairs(df).withColumn("r", F.round("r", 4)))
+    long = (correlation_pairs(df).withColumn("r", rounded("r", 4)))
     long = _strongest(long, pairs).select(F.inline(F.array(
         F.struct(F.col("a"), F.col("b"), F.col("r")),
         F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r")),
@@ -136,12 +136,12 @@ def corr_heatmap(df: DataFrame, pairs: int = 15, features: int = 12) -> DataFram
 
 def corr_top_abs(df: DataFrame, top: int = 5) -> DataFrame:
     return _strongest(correlation_pairs(df), top).select(
-        F.col("a").alias("col_a"), F.col("b").alias("col_b"), F.round(F.abs("r"), 4).alias("abs_r"))
+        F.col("a").alias("col_a"), F.col("b").alias("col_b"), rounded(F.abs("r"), 4).alias("abs_r"))
 
 
 def multicollinearity(df: DataFrame, above: float = 0.92) -> DataFrame:
     return correlation_pairs(df).filter(F.abs("r") > above).select(
-        "a", "b", F.round(F.abs("r"), 4).alias("abs_r"))
+        "a", "b", rounded(F.abs("r"), 4).alias("abs_r"))
 
 
 def key_drivers(df: DataFrame, target: str) -> DataFrame:
@@ -152,9 +152,9 @@ def key_drivers(df: DataFrame, target: str) -> DataFrame:
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
     slope = F.coalesce(F.try_divide(F.col("xy"), _spread("yy", "raw_yy")), F.lit(0.0))
     out = pairs.select(F.col("b").alias("column"), F.col("b_ordinal"), r.alias("r"), slope.alias("slope"))
-    return (out.select("column", "b_ordinal", F.round("r", 4).alias("correlation"),
-                       F.round(F.abs("r"), 4).alias("abs_correlation"),
-                       F.round("slope", 6).alias("regression_coef"),
+    return (out.select("column", "b_ordinal", rounded("r", 4).alias("correlation"),
+                       rounded(F.abs("r"), 4).alias("abs_correlation"),
+                       rounded("slope", 6).alias("regression_coef"),
                        F.when(F.col("r") >= 0, "positive").otherwise("negative").alias("direction"))
             .orderBy(F.col("abs_correlation").desc_nulls_last(), "b_ordinal").drop("b_ordinal"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import numeric_columns
+from tabulyze.functions.columns import numeric_columns, rounded
 from tabulyze.functions.lookup import attach
 from tabulyze.operators.forecast import volatility
 from tabulyze.operators.kernel import numeric_profile
@@ -97,7 +97,7 @@ def sensitivity(risk: DataFrame, delta: float = 10.0) -> DataFrame:
     for i, name in enumerate(SENSITIVITY):
         order = F.when(F.col("scenario") == name, i).otherwise(order)
     # the four levers tie in pairs: rank by rounded size, then lever order
-    listed = grid.select("series", F.struct((-F.round(F.abs(e), 9)).alias("size"), order.alias("o"),
+    listed = grid.select("series", F.struct((-rounded(F.abs(e), 9)).alias("size"), order.alias("o"),
                                             F.col("scenario").alias("lever"), e.alias("elasticity")).alias("s"))
     return (listed.groupBy("series").agg(F.sort_array(F.collect_list("s")).alias("levers"))   # four per series
             .select("series", F.posexplode("levers").alias("place", "s"))
@@ -143,9 +143,9 @@ def scorecard(risk: DataFrame, signals: DataFrame) -> DataFrame:
     scored = (risk.join(counts, "series").withColumn("g", growth).withColumn("r", exposure)
               .withColumn("ready", _within(raw, 0, 10)))
     return scored.select(
-        "series", F.round("g", 2).alias("growth_strength"), F.round("r", 2).alias("risk_exposure"),
-        F.round("stability_score", 2).alias("stability_score"), F.round("confidence", 1).alias("forecast_confidence"),
-        F.round("ready", 2).alias("strategic_readiness"),
+        "series", rounded("g", 2).alias("growth_strength"), rounded("r", 2).alias("risk_exposure"),
+        rounded("stability_score", 2).alias("stability_score"), rounded("confidence", 1).alias("forecast_confidence"),
+        rounded("ready", 2).alias("strategic_readiness"),
         F.when(F.col("ready") >= 7, "strong").when(F.col("ready") >= 4, "moderate").otherwise("elevated risk")
         .alias("summary"))
 
@@ -153,18 +153,18 @@ def scorecard(risk: DataFrame, signals: DataFrame) -> DataFrame:
 def decision_context(risk: DataFrame, scenario: DataFrame, levers_ranked: DataFrame) -> DataFrame:
     """One rounded record per series; ``scenario`` is one row per series of a ``scenario_grid``."""
     top = levers_ranked.groupBy("series").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "lever", F.round("elasticity", 4).alias("elasticity"))))
+        F.sort_array(F.collect_list(F.struct("rank", "lever", rounded("elasticity", 4).alias("elasticity"))))
         .alias("sensitivity_ranking"))   # four per series
     picked = scenario.select("series", "revenue_delta", "risk_impact")
     return (risk.join(picked, "series").join(top, "series").select(
-        "series", F.round(growth_rate() * 100, 2).alias("forecast_growth_pct"),
-        F.round("confidence", 1).alias("forecast_confidence_pct"), F.col("model").alias("best_model"),
-        F.round("rmse", 4).alias("model_rmse"), F.round(F.col("volatility") * 10, 2).alias("risk_score"),
-        F.round("concentration_risk", 3).alias("concentration_risk"),
-        F.round(F.col("anomaly_pressure") * 100, 2).alias("anomaly_pressure_pct"),
-        F.round("stability_score", 2).alias("stability_score"),
-        F.round("revenue_delta", 2).alias("scenario_revenue_delta"),
-        F.round("risk_impact", 4).alias("scenario_risk_impact"),
+        "series", rounded(growth_rate() * 100, 2).alias("forecast_growth_pct"),
+        rounded("confidence", 1).alias("forecast_confidence_pct"), F.col("model").alias("best_model"),
+        rounded("rmse", 4).alias("model_rmse"), rounded(F.col("volatility") * 10, 2).alias("risk_score"),
+        rounded("concentration_risk", 3).alias("concentration_risk"),
+        rounded(F.col("anomaly_pressure") * 100, 2).alias("anomaly_pressure_pct"),
+        rounded("stability_score", 2).alias("stability_score"),
+        rounded("revenue_delta", 2).alias("scenario_revenue_delta"),
+        rounded("risk_impact", 4).alias("scenario_risk_impact"),
         F.element_at("sensitivity_ranking", 1)["lever"].alias("top_sensitivity_driver"),
         F.transform("sensitivity_ranking", lambda s: F.struct(s["lever"].alias("variable"), s["elasticity"]))
         .alias("sensitivity_ranking")))

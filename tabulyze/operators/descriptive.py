@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import numeric_columns, percent, string_columns
+from tabulyze.functions.columns import numeric_columns, percent, string_columns, rounded
 from tabulyze.operators.kernel import edge_values, numeric_profile, top_values, with_quantiles
 from tabulyze.operators.quantiles import exact_quantiles
 
@@ -19,7 +19,7 @@ def numerical_summary(df: DataFrame) -> DataFrame:
     """count, mean, median, std, variance, min, max, skewness, kurtosis, missing %."""
     return _with_median(df).select(
         "column", F.col("n").alias("count"), "mean", "median", "std", "variance", "min", "max",
-        "skewness", "kurtosis", F.round("missing_pct", 2).alias("missing_percentage"))
+        "skewness", "kurtosis", rounded("missing_pct", 2).alias("missing_percentage"))
 
 
 def categorical_summary(df: DataFrame) -> DataFrame:
@@ -27,13 +27,13 @@ def categorical_summary(df: DataFrame) -> DataFrame:
     return top_values(df).select(
         "column", F.col("n").alias("count"), F.col("n_distinct").alias("unique_count"), "top_value",
         F.col("top_n").alias("top_frequency"),
-        F.round(percent(F.col("top_n"), F.col("n")), 2).alias("top_percentage"),
-        F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_percentage"))
+        rounded(percent(F.col("top_n"), F.col("n")), 2).alias("top_percentage"),
+        rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_percentage"))
 
 
 def shape_stats(df: DataFrame) -> DataFrame:
     return numeric_profile(df).select(
-        "column", *[F.round(c, 4).alias(a) for c, a in
+        "column", *[rounded(c, 4).alias(a) for c, a in
                     (("mean", "mean"), ("std", "std"), ("skewness", "skew"), ("kurtosis", "kurtosis"))])
 
 
@@ -49,22 +49,22 @@ def distribution_summary(df: DataFrame, columns: list[str] | None = None) -> Dat
     profile = with_quantiles(profile, {c: [q[2], q[0], q[4]] for c, q in qs.items()},
                              ["median", "p5", "p95"])
     return profile.filter(F.col("n") > 3).select(
-        "column", "ordinal", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"),
-        F.round("std", 6).alias("std"), F.round("skewness", 4).alias("skew"),
-        F.round("kurtosis", 4).alias("kurtosis"), F.round("p5", 6).alias("p5"),
-        F.round("p95", 6).alias("p95"), F.col("outliers").alias("outlier_count"))
+        "column", "ordinal", rounded("mean", 6).alias("mean"), rounded("median", 6).alias("median"),
+        rounded("std", 6).alias("std"), rounded("skewness", 4).alias("skew"),
+        rounded("kurtosis", 4).alias("kurtosis"), rounded("p5", 6).alias("p5"),
+        rounded("p95", 6).alias("p95"), F.col("outliers").alias("outlier_count"))
 
 
 def skew_ranking(df: DataFrame, columns: list[str] | None = None, top: int | None = None) -> DataFrame:
     """Columns with more than three values by absolute skew."""
     ranked = (numeric_profile(df, columns).filter(F.col("n") > 3)
-              .select("column", "ordinal", F.round("skewness", 4).alias("skew"))
+              .select("column", "ordinal", rounded("skewness", 4).alias("skew"))
               .orderBy(F.abs("skew").desc(), "ordinal"))
     return (ranked.limit(top) if top else ranked).select("column", "skew")
 
 
 def variance_summary(df: DataFrame) -> DataFrame:
-    return numeric_profile(df, shape=False).select("column", F.round("variance", 4).alias("variance"))
+    return numeric_profile(df, shape=False).select("column", rounded("variance", 4).alias("variance"))
 
 
 def report_descriptives(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import col, datetime_columns, is_integer, number, numeric_columns, percent, string_columns
+from tabulyze.functions.columns import col, datetime_columns, is_integer, number, numeric_columns, percent, string_columns, rounded
 from tabulyze.operators.kernel import null_counts, numeric_profile, top_values, with_quantiles
 from tabulyze.operators.quantiles import exact_quantiles, iqr_fences
 
@@ -142,19 +142,19 @@ def column_diagnostics(df: DataFrame) -> DataFrame:
     frames = []
     if numeric_columns(df):
         frames.append(_numeric_diagnostics(df).select(
-            "column", F.lit("numeric").alias("dtype"), F.round("skew", 4).alias("skewness"),
-            F.round("pct", 2).alias("outlier_pct"), distribution_class(F.col("skew")).alias("distribution"),
-            F.round("missing_pct", 2).alias("missing_pct"), outlier_risk(F.col("pct")).alias("outlier_risk"),
+            "column", F.lit("numeric").alias("dtype"), rounded("skew", 4).alias("skewness"),
+            rounded("pct", 2).alias("outlier_pct"), distribution_class(F.col("skew")).alias("distribution"),
+            rounded("missing_pct", 2).alias("missing_pct"), outlier_risk(F.col("pct")).alias("outlier_risk"),
             skew_risk(F.col("skew")).alias("skew_risk")))
     if string_columns(df):
         frames.append(top_values(df, include_null=True).select(
             "column", F.lit("categorical").alias("dtype"), F.col("n_distinct").alias("cardinality"),
-            F.round(percent(F.col("top_n"), F.col("n_rows")), 2).alias("dominance_pct"),
-            F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct")))
+            rounded(percent(F.col("top_n"), F.col("n_rows")), 2).alias("dominance_pct"),
+            rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct")))
     if datetime_columns(df):
         frames.append(null_counts(df, datetime_columns(df)).select(
             "column", F.lit("datetime").alias("dtype"),
-            F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct")))
+            rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame, allowMissingColumns=True)
@@ -172,7 +172,7 @@ def column_diagnostic(df: DataFrame, name: str) -> DataFrame:
 
 
 def most_skewed(df: DataFrame) -> DataFrame:
-    return (_numeric_diagnostics(df).select("column", "ordinal", F.round("skew", 4).alias("skewness"))
+    return (_numeric_diagnostics(df).select("column", "ordinal", rounded("skew", 4).alias("skewness"))
             .orderBy(F.abs("skewness").desc(), "ordinal").limit(1).select("column", "skewness"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    columns_of, kind, numeric_columns, percent, pick, side_by_side, string_columns, value)
+    rounded, columns_of, kind, numeric_columns, percent, pick, side_by_side, string_columns, value)
 from tabulyze.operators.kernel import (
     distinct_profile, null_counts, numeric_profile, row_counts, top_values)
 from tabulyze.operators.quantiles import iqr_fences
@@ -31,7 +31,7 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total).alias("bytes")).select(
         "rows", F.lit(len(df.columns)).alias("columns"),
         *[F.lit(",".join(v)).alias(k) for k, v in names.items()],
-        F.round(F.col("bytes") / F.lit(1024.0 * 1024.0), 4).alias("memory_usage_mb"))
+        rounded(F.col("bytes") / F.lit(1024.0 * 1024.0), 4).alias("memory_usage_mb"))
 
 
 def structure_summary(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def missing_by_column(df: DataFrame, only_missing: bool = False, top: int | None
     """Missing count and percent per column, in column order or the worst first."""
     out = null_counts(df).select(
         "column", "ordinal", (F.col("n_rows") - F.col("n")).alias("missing_count"),
-        F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct"))
+        rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("missing_pct"))
     if only_missing:
         out = out.filter(F.col("missing_count") > 0)
     if top is not None:
@@ -79,9 +79,9 @@ def missing_cells(df: DataFrame) -> DataFrame:
 def metadata_summary(df: DataFrame) -> DataFrame:
     """One row: mean cardinality (1 dp) and missing density (2 dp)."""
     mean = cardinality(df, count_null=False).agg(
-        F.round(F.avg("cardinality"), 1).alias("avg_cardinality"))
+        rounded(F.avg("cardinality"), 1).alias("avg_cardinality"))
     density = missing_cells(df).select(
-        F.round(percent(F.col("missing_cells"), F.col("cells")), 2).alias("missing_density"))
+        rounded(percent(F.col("missing_cells"), F.col("cells")), 2).alias("missing_density"))
     return side_by_side(mean, density)
 
 
@@ -135,10 +135,10 @@ def quality_score_app(df: DataFrame) -> DataFrame:
     parts = side_by_side(quality_missing(df), quality_duplicates(df), outliers)
     score = F.greatest(F.lit(0.0), 100 - F.col("missing_pct") - F.col("duplicate_pct") * 0.5
                        - F.col("outlier_pct") * 0.3)
-    return parts.select(F.round("missing_pct", 2).alias("missing_pct"),
-                        F.round("duplicate_pct", 2).alias("duplicate_pct"),
-                        F.round("outlier_pct", 2).alias("outlier_pct"),
-                        F.round(score, 2).alias("quality_score"))
+    return parts.select(rounded("missing_pct", 2).alias("missing_pct"),
+                        rounded("duplicate_pct", 2).alias("duplicate_pct"),
+                        rounded("outlier_pct", 2).alias("outlier_pct"),
+                        rounded(score, 2).alias("quality_score"))
 
 
 def quality_report(df: DataFrame, numeric: list[str] | None = None) -> DataFrame:
@@ -152,14 +152,14 @@ def quality_report(df: DataFrame, numeric: list[str] | None = None) -> DataFrame
     missing = null_counts(df)
     means = missing.agg(
         F.max("n_rows").alias("row_count"),
-        F.round(F.avg((F.col("n_rows") - F.col("n")) / F.col("n_rows")) * 100, 2).alias("missing_pct"),
+        rounded(F.avg((F.col("n_rows") - F.col("n")) / F.col("n_rows")) * 100, 2).alias("missing_pct"),
         F.count(F.when(F.col("n") < F.col("n_rows"), 1)).alias("columns_with_missing"))
-    duplicates = quality_duplicates(df).select(F.round("duplicate_pct", 2).alias("duplicate_pct"))
+    duplicates = quality_duplicates(df).select(rounded("duplicate_pct", 2).alias("duplicate_pct"))
     outliers = outlier_cells(df.select(*[c for c in df.columns if c in kept])).select(
-        F.round(percent(F.col("outliers_spread"), F.col("cells_n4")), 2).alias("outlier_pct"))
+        rounded(percent(F.col("outliers_spread"), F.col("cells_n4")), 2).alias("outlier_pct"))
     return side_by_side(means, duplicates, outliers).select(
         "row_count", F.lit(len(df.columns)).alias("col_count"), "missing_pct", "duplicate_pct",
-        "outlier_pct", F.round(100 - F.col("missing_pct"), 2).alias("completeness_score"),
+        "outlier_pct", rounded(100 - F.col("missing_pct"), 2).alias("completeness_score"),
         "columns_with_missing")
 
 
@@ -171,21 +171,21 @@ def dataset_profile(df: DataFrame, numeric_cap: int = 8, string_cap: int = 5) ->
         _entry("shape", None, "rows", F.col("n_rows")),
         _entry("shape", None, "columns", F.lit(len(df.columns))),
         _entry("shape", None, "duplicate_pct",
-               F.round(percent(F.col("n_rows") - F.col("distinct_rows"), F.col("n_rows")), 2)))))
+               rounded(percent(F.col("n_rows") - F.col("distinct_rows"), F.col("n_rows")), 2)))))
     missing = null_counts(df).agg(
-        F.round(F.avg((F.col("n_rows") - F.col("n")) / F.col("n_rows")) * 100, 2).alias("m")).select(
+        rounded(F.avg((F.col("n_rows") - F.col("n")) / F.col("n_rows")) * 100, 2).alias("m")).select(
         F.inline(F.array(_entry("shape", None, "missing_pct", F.col("m")))))
     frames = [shape, missing]
     if numeric:
         profile = numeric_profile(df, numeric)
         frames.append(profile.filter(F.col("ordinal") < numeric_cap).select(F.inline(F.array(*[
-            _entry("descriptive", F.col("column"), m, F.round(F.col(source), 4))
+            _entry("descriptive", F.col("column"), m, rounded(F.col(source), 4))
             for m, source in (("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"),
                               ("skew", "skewness"))]))))
         frames.append(profile.agg(F.max_by("column", F.struct(
             F.coalesce("variance", F.lit(0.0)), -F.col("ordinal"))).alias("c"),
             F.max("variance").alias("v")).select(F.inline(F.array(
-                _entry("primary_metric", F.col("c"), "variance", F.round("v", 4))))))
+                _entry("primary_metric", F.col("c"), "variance", rounded("v", 4))))))
     if strings:
         frames.append(top_values(df, strings[:string_cap]).select(F.inline(F.array(
             _entry("cardinality", F.col("column"), "n_distinct", F.col("n_distinct"))))))
@@ -205,7 +205,7 @@ def mini_profile(df: DataFrame, top: int = 5) -> DataFrame:
     """Means of the first numeric columns with the table's shape."""
     return numeric_profile(df, numeric_columns(df)[:top], shape=False).select(
         "column", F.col("n_rows").alias("rows"), F.lit(len(df.columns)).alias("columns"),
-        F.round("mean", 4).alias("mean"))
+        rounded("mean", 4).alias("mean"))
 
 
 def dataset_digest(df: DataFrame) -> DataFrame:

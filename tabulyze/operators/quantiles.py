@@ -31,9 +31,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if not columns:
         return {}
     buffer_rows = BUFFER_ROWS if buffer_rows is None else buffer_rows
+    ends: dict[str, tuple[float, float]] = {}
     if sizes is None:
-        row = df.selectExpr(*[f"count({number_sql(df, c)}) as n{i}" for i, c in enumerate(columns)]).first()
-        sizes = {c: row[i] for i, c in enumerate(columns)}
+        row = df.selectExpr(*[f"{f}({number_sql(df, c)})" for c in columns for f in ("count", "min", "max")]).first()
+        sizes = {c: row[3 * i] for i, c in enumerate(columns)}
+        ends = {c: (row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(columns)}
     size = {c: sizes[c] for c in columns}
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
 
@@ -44,7 +46,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         for i, c in enumerate(short):
             found[c] = list(row[i])
 
-    long = [c for c in columns if size[c] > buffer_rows]
+    long = [c for c in columns if size[c] > max(buffer_rows, 0)]
     if long:
         ranks = {}
         for c in long:
@@ -52,7 +54,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 below = math.floor(p * (size[c] - 1))
                 ranks[(c, below)] = None
                 ranks[(c, min(below + 1, size[c] - 1))] = None
-        values = _order_statistics(df, list(ranks), PICK_ROWS if pick_rows is None else pick_rows,
+        if not ends:
+            row = df.selectExpr(*[f"{f}({number_sql(df, c)})" for c in long for f in ("min", "max")]).first()
+            ends = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(long)}
+        values = _order_statistics(df, list(ranks), ends, PICK_ROWS if pick_rows is None else pick_rows,
                                    BUCKETS if buckets is None else buckets)
         for c in long:
             for i, p in enumerate(probs):
@@ -64,15 +69,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return found
 
 
-def _order_statistics(df: DataFrame, targets: list[tuple[str, int]], pick_rows: int,
-                      buckets: int) -> dict[tuple[str, int], float]:
+def _order_statistics(df: DataFrame, targets: list[tuple[str, int]], ends: dict[str, tuple[float, float]],
+                      pick_rows: int, buckets: int) -> dict[tuple[str, int], float]:
     """The value at each (column, zero-based rank)."""
-    names = sorted({c for c, _ in targets})
-    ends = df.selectExpr(*[f"{f}({number_sql(df, c)}) as {f}{i}"
-                           for i, c in enumerate(names) for f in ("min", "max")]).first()
-    # rank -> (low, high, rows below low, rows inside)
-    span = {(c, k): (ends[f"min{names.index(c)}"], ends[f"max{names.index(c)}"], 0, None)
-            for c, k in targets}
+    # target -> (low, high, rows below low, rows inside)
+    span = {(c, k): (*ends[c], 0, None) for c, k in targets}
     solved: dict[tuple[str, int], float] = {}
     while True:
         for t, (low, high, _, _) in span.items():
@@ -102,7 +103,7 @@ def _cells(df: DataFrame, intervals: list, extra=lambda v, low, high: "") -> Dat
         tests.append(f"{quoted(c)} {bounds}")
     names = sorted({c for c, _, _ in intervals})
     return (df.filter(" or ".join(tests)).select(*[col(c) for c in names])
-            .selectExpr(f"inline(filter(array({', '.join(structs)}), s -> s is not null))"))
+            .selectExpr(f"inline(array({', '.join(structs)}))").filter("interval is not null"))
 
 
 def _wanted(intervals: list, span: dict) -> dict[int, list[int]]:

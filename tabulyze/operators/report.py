@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabulyze.functions.columns import numeric_columns, percent, pick, side_by_side, string_columns
+from tabulyze.functions.columns import numeric_columns, percent, pick, side_by_side, string_columns, rounded
 from tabulyze.operators import anomalies, correlation, descriptive, rules, segments, timeseries
 from tabulyze.operators.kernel import null_counts, row_counts
 from tabulyze.operators.profiling import missing_by_column
@@ -143,7 +143,7 @@ def dashboard_context(df: DataFrame, found: Detection | None = None) -> DataFram
     if found.metric and found.segment:
         for name, bottom in (("top_segment", False), ("bottom_segment", True)):
             best = segments.segment_ranking(df, found.segment, found.metric, 1, bottom)
-            frames.append(best.select(F.col("segment").cast("string").alias(name), F.round("value", 4).alias(f"{name}_value")))
+            frames.append(best.select(F.col("segment").cast("string").alias(name), rounded("value", 4).alias(f"{name}_value")))
     return side_by_side(*frames).select(
         "*", F.lit(len(numeric)).alias("numeric"), F.lit(len(found.of("categorical"))).alias("categorical"),
         F.lit(found.metric).alias("primary_metric"), F.lit(found.segment).alias("segment_col"))
@@ -163,7 +163,7 @@ def opportunity_context(df: DataFrame, segment: str | None = None) -> DataFrame:
     if segment:
         stats = segments.segment_stats(df, segment, target)
         frames.append(stats.agg(
-            F.round(F.max("avg") - F.min("avg"), 4).alias("segment_gap"),
+            rounded(F.max("avg") - F.min("avg"), 4).alias("segment_gap"),
             F.max_by(F.col("segment").cast("string"), F.when(F.col("side") == "top", F.col("avg"))).alias("top_segment")))
     return side_by_side(*frames).select("*", F.lit(len(df.columns)).alias("columns"), F.lit(target).alias("primary_metric"),
                                         F.lit(segment).alias("segment_col"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import literal, numeric_columns, percent, side_by_side, string_columns
+from tabulyze.functions.columns import literal, numeric_columns, percent, side_by_side, string_columns, rounded
 from tabulyze.operators import anomalies, correlation, segments, timeseries
 from tabulyze.operators.kernel import (
     null_counts, numeric_cells, numeric_profile, outside_fences, row_counts, with_quantiles)
@@ -48,15 +48,15 @@ def dashboard_facts(df: DataFrame, found: Detection | None = None) -> DataFrame:
     missing = sum(gaps) / len(gaps) * 100
     skewed = sum(1 for c in numeric if facts[c]["n"] > 3 and abs(round(facts[c]["skewness"], 4)) > 2)
     frames = [row_counts(df).selectExpr(
-        "n_rows as row_count", f"{len(df.columns)} as col_count", f"round({literal(missing)}, 2) as missing_pct",
-        "round((n_rows - distinct_rows) * 100.0D / n_rows, 2) as duplicate_pct", f"{skewed}L as severe_skews")]
+        "n_rows as row_count", f"{len(df.columns)} as col_count", f"{literal(round(missing, 2))} as missing_pct",
+        "round((n_rows - distinct_rows) * 100.0D / n_rows * 100) / 100 as duplicate_pct", f"{skewed}L as severe_skews")]
     if numeric:
         filled = {c: facts[c]["n"] for c in numeric}
         fences = iqr_fences(df, numeric, sizes=filled)
         open_ = {c: f for c, f in fences.items() if f and f[1] > f[0] and filled[c] >= 4}
         cells = sum(filled[c] for c in numeric if filled[c] >= 4)
         frames.append(numeric_cells(df, numeric, outside_fences(open_), anomalies.over_threshold(facts)).selectExpr(
-            f"round(sum(outside) * 100.0D / {max(cells, 1)}, 2) as outlier_pct",
+            f"round(sum(outside) * 100.0D / {max(cells, 1)} * 100) / 100 as outlier_pct",
             f"least(sum(over) / {float(n_rows)}D, 1.0D) as pressure"))
     if len(numeric) >= 2:
         frames.append(correlation.correlation_pairs(df, numeric, cap=25, means={c: facts[c]["mean"] for c in numeric})
@@ -73,8 +73,8 @@ def dashboard_facts(df: DataFrame, found: Detection | None = None) -> DataFrame:
     m = facts[found.metric] if found.metric else None
     volatility = min(m["std"] / (abs(m["mean"]) + 1e-9), 1.0) if m and m["n"] > 1 else 0.0
     return out.selectExpr(
-        "row_count", "col_count", "missing_pct", "duplicate_pct", "round(100 - missing_pct, 2) as completeness_score",
-        "severe_skews", *[zero(c) for c in absent], f"round({literal(volatility)}, 4) as volatility",
+        "row_count", "col_count", "missing_pct", "duplicate_pct", "round((100 - missing_pct) * 100) / 100 as completeness_score",
+        "severe_skews", *[zero(c) for c in absent], f"{literal(round(volatility, 4))} as volatility",
         "direction" if "direction" in out.columns else "cast(null as string) as direction")
 
 
@@ -87,10 +87,10 @@ def kpis_from(facts: DataFrame) -> DataFrame:
     penalty = (F.col("missing_pct") * 0.40 + F.col("duplicate_pct") * 0.25 + F.col("outlier_pct") * 0.20
                + F.col("pressure") * 100 * 0.15)
     return facts.select(
-        F.round(F.greatest(F.lit(0.0), 100 - penalty), 1).alias("health_score"),
-        F.round("concentration_risk", 4).alias("concentration_risk"), F.col("volatility").alias("volatility_score"),
-        F.round("pct_change", 2).alias("growth_signal"), "segment_dominance",
-        F.round("pressure", 4).alias("anomaly_pressure"), F.col("completeness_score").alias("data_completeness"))
+        rounded(F.greatest(F.lit(0.0), 100 - penalty), 1).alias("health_score"),
+        rounded("concentration_risk", 4).alias("concentration_risk"), F.col("volatility").alias("volatility_score"),
+        rounded("pct_change", 2).alias("growth_signal"), "segment_dominance",
+        rounded("pressure", 4).alias("anomaly_pressure"), F.col("completeness_score").alias("data_completeness"))
 
 
 def health_class(score: Column) -> Column:
@@ -100,7 +100,7 @@ def health_class(score: Column) -> Column:
 def volatility_by_column(df: DataFrame, top: int | None = 3) -> DataFrame:
     """|std / mean| per numeric column, 0 for a zero mean, largest first."""
     score = F.coalesce(F.abs(F.try_divide("std", "mean")), F.lit(0.0))
-    out = (numeric_profile(df, shape=False).select("column", "ordinal", F.round(score, 4).alias("volatility"))
+    out = (numeric_profile(df, shape=False).select("column", "ordinal", rounded(score, 4).alias("volatility"))
            .orderBy(F.col("volatility").desc(), "ordinal"))
     return (out.limit(top) if top else out).select("column", "volatility")
 
@@ -111,7 +111,7 @@ def alerts(df: DataFrame, found: Detection | None = None) -> DataFrame:
 
 
 def alerts_from(facts: DataFrame) -> DataFrame:
-    facts = facts.withColumn("pressure", F.round("pressure", 4))
+    facts = facts.withColumn("pressure", rounded("pressure", 4))
     c = F.col
     def alert(test, severity, category, metric, value, text):
         return test, {"severity": F.lit(severity), "category": F.lit(category), "metric": F.lit(metric),
@@ -154,7 +154,7 @@ def risk_signals(df: DataFrame, quality_score: float | None = None, prior: DataF
     """
     missing = (null_counts(df)
                .select("column", "ordinal",
-                       F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("pct"))
+                       rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("pct"))
                .filter(F.col("pct") >= 20)
                .select(F.lit(0).alias("part"), "ordinal", F.lit("Data Quality").alias("category"), "column",
                        F.col("pct").alias("value"),
@@ -212,7 +212,7 @@ def hidden_patterns(df: DataFrame, top: int = 12) -> DataFrame:
             F.abs("r").alias("value"), F.lit("high").alias("severity"))
         out = out.unionByName(copies)
     return (out.orderBy(ranked("severity", ["high", "medium", "low"]), "type", "ordinal", "rule_no").limit(top)
-            .select("type", "column", "metric", F.round("value", 4).alias("value"), "severity"))
+            .select("type", "column", "metric", rounded("value", 4).alias("value"), "severity"))
 
 
 def risk_watchlist(df: DataFrame, top: int = 15, text_columns: int = 5) -> DataFrame:
@@ -221,7 +221,7 @@ def risk_watchlist(df: DataFrame, top: int = 15, text_columns: int = 5) -> DataF
         F.when(v > limits[2], limits[3]).otherwise("medium") if len(limits) > 2 else F.lit("medium"))
     def risk(frame, part, name, value, severity):
         return frame.select(F.lit(part).alias("part"), "ordinal", F.lit(name).alias("risk"), "column",
-                            F.round(value, 4).alias("value"), severity.alias("severity"))
+                            rounded(value, 4).alias("value"), severity.alias("severity"))
     frames = []
     if string_columns(df):
         share = segments.top_value_share(df, text_columns).filter(F.col("top_share") > 0.5)
@@ -253,14 +253,14 @@ def risk_profile(df: DataFrame, anomaly_columns: int | DataFrame = 0) -> DataFra
 
     ``anomaly_columns`` is the number of columns with anomalies, or an ``anomaly_totals`` frame.
     """
-    profile = numeric_profile(df).select("column", "ordinal", F.round("skewness", 4).alias("skew"))
+    profile = numeric_profile(df).select("column", "ordinal", rounded("skewness", 4).alias("skew"))
     skewed = profile.filter(F.abs("skew") > 2).select(
         F.lit("high_skew").alias("indicator"), "column", F.col("skew").alias("value"))
     volatile = volatility_by_column(df, 3).select(
         F.lit("high_volatility").alias("indicator"), "column", F.col("volatility").alias("value"))
     missing = null_counts(df).filter(F.col("n") < F.col("n_rows")).select(
         F.lit("missing").alias("indicator"), "column",
-        F.round(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("value"))
+        rounded(percent(F.col("n_rows") - F.col("n"), F.col("n_rows")), 2).alias("value"))
     listed = skewed.unionByName(missing)
     extra = (F.lit(anomaly_columns) if isinstance(anomaly_columns, int)
              else anomaly_columns.select("columns_with_anomalies").scalar())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import col, number, percent, string_columns
+from tabulyze.functions.columns import col, number, percent, string_columns, rounded
 from tabulyze.operators.kernel import top_values
 from tabulyze.operators.timeseries import span_days
 
@@ -18,7 +18,7 @@ def segment_sums(df: DataFrame, segment: str, metric: str) -> DataFrame:
 def _with_share(sums: DataFrame) -> DataFrame:
     # a scalar subquery: the total never meets the segments in one window partition
     total = sums.agg(F.sum("value").alias("total")).scalar()
-    return sums.withColumn("share_pct", F.round(F.col("value") / F.greatest(total, F.lit(1e-9)) * 100, 2))
+    return sums.withColumn("share_pct", rounded(F.col("value") / F.greatest(total, F.lit(1e-9)) * 100, 2))
 
 
 def segment_ranking(df: DataFrame, segment: str, metric: str, top: int = 10, bottom: bool = False) -> DataFrame:
@@ -42,21 +42,21 @@ def segment_stats(df: DataFrame, segment: str, metric: str, top: int = 5) -> Dat
     worst = stats.orderBy(F.col("mean").asc_nulls_first(), F.col("segment").desc()).limit(top).withColumn(
         "side", F.lit("bottom"))
     return best.unionByName(worst).select(
-        "side", "segment", F.round("mean", 4).alias("avg"), "n", F.round("std", 4).alias("std_dev"),
-        F.round(overall.select("m").scalar(), 4).alias("overall_mean"),
-        F.round(overall.select("s").scalar(), 4).alias("overall_std"),
+        "side", "segment", rounded("mean", 4).alias("avg"), "n", rounded("std", 4).alias("std_dev"),
+        rounded(overall.select("m").scalar(), 4).alias("overall_mean"),
+        rounded(overall.select("s").scalar(), 4).alias("overall_std"),
         stats.agg(F.count("*").alias("k")).scalar().alias("total_segments"))
 
 
 def segment_gap(df: DataFrame, segment: str, metric: str, warn_above: int = 120) -> DataFrame:
     """Deviation of every segment mean from the overall mean, and the best-to-worst gap."""
-    stats = _averages(df, segment, metric).select("segment", F.round("mean", 4).alias("avg"))
-    overall = F.round(df.agg(F.avg(number(df, metric)).alias("m")).scalar(), 4)
+    stats = _averages(df, segment, metric).select("segment", rounded("mean", 4).alias("avg"))
+    overall = rounded(df.agg(F.avg(number(df, metric)).alias("m")).scalar(), 4)
     extremes = stats.agg((F.max("avg") - F.min("avg")).alias("gap")).scalar()
     count = stats.agg(F.count("*").alias("k")).scalar()
     return stats.select(
         "segment", "avg",
-        F.round(F.coalesce(F.try_divide(F.col("avg") - overall, overall), F.lit(0.0)) * 100, 1).alias("deviation_pct"),
+        rounded(F.coalesce(F.try_divide(F.col("avg") - overall, overall), F.lit(0.0)) * 100, 1).alias("deviation_pct"),
         extremes.alias("gap"), count.alias("total_segments"), (count > warn_above).alias("too_many"))
 
 
@@ -77,8 +77,8 @@ def segment_concentration(df: DataFrame, segment: str, metric: str, top: int = 1
         F.max_by("share_pct", F.col("value")).alias("dominance"))
     floor = 1.0 / F.greatest(F.col("k"), F.lit(1))
     index = (F.col("hhi") - floor) / F.greatest(1.0 - floor, F.lit(1e-9))
-    return shares.select(F.coalesce(F.round(index, 4), F.lit(0.0)).alias("concentration_risk"),
-                         F.coalesce(F.round("dominance", 2), F.lit(0.0)).alias("segment_dominance"))
+    return shares.select(F.coalesce(rounded(index, 4), F.lit(0.0)).alias("concentration_risk"),
+                         F.coalesce(rounded("dominance", 2), F.lit(0.0)).alias("segment_dominance"))
 
 
 def top_value_share(df: DataFrame, first: int | None = None) -> DataFrame:

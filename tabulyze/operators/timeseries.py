@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulyze.functions.columns import col, number, numeric_columns
+from tabulyze.functions.columns import col, number, numeric_columns, rounded
 from tabulyze.functions.ordering import in_blocks, indexed
 from tabulyze.operators.kernel import edge_values
 
@@ -57,7 +57,7 @@ def time_trend(df: DataFrame, time: str, metric: str, min_rows: int = 5) -> Data
         "period", F.coalesce("value", F.lit(0.0)).alias("value"))
     # one row per calendar period from here on
     recent = Window.partitionBy(F.lit(0)).orderBy("period").rowsBetween(-2, 0)
-    return full.select("period", "value", F.round(F.avg("value").over(recent), 4).alias("rolling_avg"),
+    return full.select("period", "value", rounded(F.avg("value").over(recent), 4).alias("rolling_avg"),
                        F.lit(freq).alias("freq"))
 
 
@@ -65,7 +65,7 @@ def trend_direction(trend: DataFrame) -> DataFrame:
     """One row: first and last value, % change and up / down / flat."""
     ends = trend.agg(F.min_by("value", "period").alias("first_value"), F.max_by("value", "period").alias("last_value"),
                      F.count("*").alias("periods"), F.max("freq").alias("freq"))
-    change = F.round((F.col("last_value") - F.col("first_value"))
+    change = rounded((F.col("last_value") - F.col("first_value"))
                      / F.greatest(F.abs("first_value"), F.lit(1e-9)) * 100, 2)
     return (ends.filter(F.col("periods") > 0).withColumn("pct_change", change)
             .withColumn("direction", F.when(F.col("pct_change") > 2, "up")
@@ -90,15 +90,15 @@ def trend_stats(df: DataFrame, time: str, metric: str, freq: str = "ME") -> Data
         F.min_by("period", F.struct("value", "i")).alias("trough_period"))
     change = F.coalesce(F.try_divide(F.col("last") - F.col("first"), F.abs("first")), F.lit(0.0)) * 100
     return out.filter(F.col("periods_analysed") >= 2).select(
-        "periods_analysed", F.round("slope", 6).alias("trend_slope"),
+        "periods_analysed", rounded("slope", 6).alias("trend_slope"),
         F.when(F.col("slope") > 0, "upward").otherwise("downward").alias("trend_direction"),
-        F.round(change, 2).alias("total_pct_change"), "peak_period", "trough_period",
-        F.round("first", 4).alias("first_value"), F.round("last", 4).alias("last_value"))
+        rounded(change, 2).alias("total_pct_change"), "peak_period", "trough_period",
+        rounded("first", 4).alias("first_value"), rounded("last", 4).alias("last_value"))
 
 
 def trend_recent(df: DataFrame, time: str, metric: str, freq: str = "ME", last: int = 12) -> DataFrame:
     return (period_means(df, time, metric, freq).orderBy(F.col("period").desc()).limit(last)
-            .select("period", F.round("value", 4).alias("value")))
+            .select("period", rounded("value", 4).alias("value")))
 
 
 def event_counts_rolling(df: DataFrame, time: str, window: int = 7, window_rows: int | None = None,
