@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabulyze.functions.columns import (
-    rounded, clip, col, columns_of, number, numeric_columns, side_by_side, string_columns, value)
+    clip, col, columns_of, number, numeric_columns, rounded, side_by_side, string_columns, value)
 from tabulyze.functions.storage import materialise
 from tabulyze.operators import profiling
 from tabulyze.operators.kernel import null_counts, row_counts, top_values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulyze.functions.columns import clip, col, number, number_sql, numeric_columns, pick, rounded
 from tabulyze.operators.kernel import numeric_profile
@@ -162,7 +162,6 @@ def key_drivers(df: DataFrame, target: str) -> DataFrame:
 def driver_summary(df: DataFrame, target: str, top: int = 6, bars: int = 8) -> DataFrame:
     """The first drivers with the width of their bar relative to the strongest."""
     first = key_drivers(df, target).limit(bars)
-    from pyspark.sql import Window
     # at most `bars` rows
     everything = Window.partitionBy(F.lit(0))
     rank = Window.partitionBy(F.lit(0)).orderBy(F.col("abs_correlation").desc_nulls_last(), "column")
@@ -194,8 +193,7 @@ def scatter_points(df: DataFrame, x: str, y: str, colour: str | None = None, key
                     *([col(colour).cast("string").alias("colour")] if colour else []))
     out = out.dropna(subset=["x", "y"])
     if colour:
-        few = df.agg(F.count_distinct(col(colour)).alias("k")).first()["k"] <= max_colours
-        if not few:
+        if df.select(col(colour)).dropna().distinct().limit(max_colours + 1).count() > max_colours:
             out = out.drop("colour")
     return sample_rows(out, fraction)
 

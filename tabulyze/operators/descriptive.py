@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import numeric_columns, percent, string_columns, rounded
+from tabulyze.functions.columns import numeric_columns, percent, rounded
 from tabulyze.operators.kernel import edge_values, numeric_profile, top_values, with_quantiles
 from tabulyze.operators.quantiles import exact_quantiles
 

@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import col, datetime_columns, is_integer, number, numeric_columns, percent, string_columns, rounded
+from tabulyze.functions.columns import (
+    col, datetime_columns, is_integer, number, numeric_columns, percent, rounded, string_columns)
 from tabulyze.operators.kernel import null_counts, numeric_profile, top_values, with_quantiles
 from tabulyze.operators.quantiles import exact_quantiles, iqr_fences
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    rounded, columns_of, kind, numeric_columns, percent, pick, side_by_side, string_columns, value)
+    columns_of, kind, numeric_columns, percent, pick, rounded, side_by_side, string_columns)
 from tabulyze.operators.kernel import (
     distinct_profile, null_counts, numeric_profile, row_counts, top_values)
 from tabulyze.operators.quantiles import iqr_fences

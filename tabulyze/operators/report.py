@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabulyze.functions.columns import numeric_columns, percent, pick, side_by_side, string_columns, rounded
+from tabulyze.functions.columns import numeric_columns, percent, pick, rounded, side_by_side, string_columns
 from tabulyze.operators import anomalies, correlation, descriptive, rules, segments, timeseries
 from tabulyze.operators.kernel import null_counts, row_counts
 from tabulyze.operators.profiling import missing_by_column
@@ -40,7 +40,7 @@ def report_tables(df: DataFrame, risks: DataFrame) -> DataFrame:
     def cut(frame, section, order, rows, name, detail, value):
         top = frame.orderBy(*order).limit(rows)
         listed = top.agg(F.collect_list(F.struct(
-            *[o.alias(f"o{i}") for i, o in enumerate(_plain(order))], name.alias("name"),
+            *[o.alias(f"o{i}") for i, o in enumerate(order)], name.alias("name"),
             detail.cast("string").alias("detail"), value.cast("double").alias("value"))).alias("rows"))
         keyed = listed.select(F.posexplode(F.array_sort("rows")).alias("position", "r"))
         return keyed.select(F.lit(section).alias("section"), (F.col("position") + 1).alias("position"),
@@ -70,10 +70,6 @@ def report_tables(df: DataFrame, risks: DataFrame) -> DataFrame:
     return out
 
 
-def _plain(order: list[Column]) -> list[Column]:
-    return order
-
-
 def trend_bars(df: DataFrame, order: list[str], first: int = 15, fallback: int = 10) -> DataFrame:
     """Last-step % change of the first KPIs; column means when no column has one."""
     kpis = descriptive.kpi_by_column(df, order)
@@ -86,7 +82,6 @@ def trend_bars(df: DataFrame, order: list[str], first: int = 15, fallback: int =
 
 
 def _all_columns():
-    from pyspark.sql import Window
     return Window.partitionBy(F.lit(0))   # one row per column
 
 

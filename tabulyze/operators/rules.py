@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import literal, numeric_columns, percent, side_by_side, string_columns, rounded
+from tabulyze.functions.columns import literal, numeric_columns, percent, rounded, side_by_side, string_columns
 from tabulyze.operators import anomalies, correlation, segments, timeseries
 from tabulyze.operators.kernel import (
     null_counts, numeric_cells, numeric_profile, outside_fences, row_counts, with_quantiles)

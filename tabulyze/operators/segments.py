@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import col, number, percent, string_columns, rounded
+from tabulyze.functions.columns import col, number, rounded, string_columns
 from tabulyze.operators.kernel import top_values
 from tabulyze.operators.timeseries import span_days
 
@@ -37,14 +37,14 @@ def _averages(df: DataFrame, segment: str, metric: str) -> DataFrame:
 def segment_stats(df: DataFrame, segment: str, metric: str, top: int = 5) -> DataFrame:
     """Mean, count and std of the best and worst segments next to the overall figures."""
     stats = _averages(df, segment, metric)
-    overall = df.agg(F.avg(number(df, metric)).alias("m"), F.stddev_samp(number(df, metric)).alias("s"))
+    overall = df.agg(F.struct(F.avg(number(df, metric)).alias("m"), F.stddev_samp(number(df, metric)).alias("s"))
+                     .alias("o")).scalar()
     best = stats.orderBy(F.col("mean").desc_nulls_last(), "segment").limit(top).withColumn("side", F.lit("top"))
     worst = stats.orderBy(F.col("mean").asc_nulls_first(), F.col("segment").desc()).limit(top).withColumn(
         "side", F.lit("bottom"))
     return best.unionByName(worst).select(
         "side", "segment", rounded("mean", 4).alias("avg"), "n", rounded("std", 4).alias("std_dev"),
-        rounded(overall.select("m").scalar(), 4).alias("overall_mean"),
-        rounded(overall.select("s").scalar(), 4).alias("overall_std"),
+        rounded(overall["m"], 4).alias("overall_mean"), rounded(overall["s"], 4).alias("overall_std"),
         stats.agg(F.count("*").alias("k")).scalar().alias("total_segments"))
 
 
@@ -52,12 +52,11 @@ def segment_gap(df: DataFrame, segment: str, metric: str, warn_above: int = 120)
     """Deviation of every segment mean from the overall mean, and the best-to-worst gap."""
     stats = _averages(df, segment, metric).select("segment", rounded("mean", 4).alias("avg"))
     overall = rounded(df.agg(F.avg(number(df, metric)).alias("m")).scalar(), 4)
-    extremes = stats.agg((F.max("avg") - F.min("avg")).alias("gap")).scalar()
-    count = stats.agg(F.count("*").alias("k")).scalar()
+    whole = stats.agg(F.struct((F.max("avg") - F.min("avg")).alias("gap"), F.count("*").alias("k")).alias("w")).scalar()
     return stats.select(
         "segment", "avg",
         rounded(F.coalesce(F.try_divide(F.col("avg") - overall, overall), F.lit(0.0)) * 100, 1).alias("deviation_pct"),
-        extremes.alias("gap"), count.alias("total_segments"), (count > warn_above).alias("too_many"))
+        whole["gap"].alias("gap"), whole["k"].alias("total_segments"), (whole["k"] > warn_above).alias("too_many"))
 
 
 def segment_share_other(df: DataFrame, segment: str, metric: str, top: int = 10) -> DataFrame:

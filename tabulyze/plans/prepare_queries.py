@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tabulyze.functions.columns import require_rows
 from tabulyze.functions.storage import scratch_path
-from tabulyze.operators import cleaning as cln, features as fea, profiling as prf, typing as typ
+from tabulyze.operators import cleaning as cln, features as fea, typing as typ
 from tabulyze.plans.profile_queries import (
-    DL, DOC_LABELS, LI, _fenced, _missing_sql, _q_duplicates, _q_missing, _q_outliers_spread)
-from tabulyze.plans.registry import DOC_LABEL_NUMERIC, LINEITEM_NUMERIC, long_form, per_column, register
+    DL, LI, _fenced, _missing_sql, _q_duplicates, _q_missing, _q_outliers_spread)
+from tabulyze.plans.registry import LINEITEM_NUMERIC, long_form, per_column, register
 from tabulyze.sources.csv_files import preview as preview_rows, read_csv
 
 
@@ -155,12 +155,14 @@ def segment_sql(table):
 
 
 def _register_roles(table):
-    @register(f"column_roles_{table}", roles_sql(table), "missing_pct missing_share")
+    name = "column_roles" if table == "lineitem" else f"column_roles_{table}"
+
+    @register(name, roles_sql(table), "missing_pct missing_share")
     def run(t, table=table):
         return typ.column_roles(getattr(t, table))
 
 
-for _table in ("customer", "part", "doc_labels", "documents", "events"):
+for _table in ("lineitem", "customer", "part", "doc_labels", "documents", "events"):
     _register_roles(_table)
 
 
@@ -328,9 +330,9 @@ _STRICT_STAGES = """
         event_date::timestamp as event_date from events_dirty))"""
 
 
-@register("clean_pipeline_strict",
+@register("clean_strict",
           _capped(f"{_STRICT_STAGES} stages", ["user_s", "band"], ["event_type", "event_date"]), "user_s band")
-def clean_pipeline_strict(t):
+def clean_strict(t):
     return cln.clean_strict(t.events_dirty)
 
 
@@ -342,8 +344,8 @@ _APP_CLEANED = """
       event_date::timestamp as event_date from distinct_rows"""
 
 
-@register("clean_pipeline_app", _APP_CLEANED, "user_s")
-def clean_pipeline_app(t):
+@register("clean_app", _APP_CLEANED, "user_s")
+def clean_app(t):
     return cln.clean_app(t.events_dirty)
 
 

@@ -10,6 +10,9 @@ DERIVED = {
     "doc_labels": (
         "select d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic "
         "from documents d left join labels l on d.doc_id = l.doc_id"),
+    "doc_scores": (
+        "select d.lang, d.source, cast(d.n_chars as double) as n_chars, l.quality, l.toxic "
+        "from documents d left join labels l on d.doc_id = l.doc_id"),
     "events_null": (
         "select event_id, ts, case when event_id % 7 = 0 then null else value end as value, "
         "case when event_id % 11 = 0 then null else event_type end as event_type from events"),

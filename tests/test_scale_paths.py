@@ -112,3 +112,8 @@ def test_share_total_is_a_scalar_subquery(spark, sf_dir):
 
     text = plan(segment_ranking(Tables(spark, sf_dir).events, "event_type", "value"))
     assert "Window" not in text and "TakeOrderedAndProject" in text
+
+
+def test_samples_are_cut_before_the_shuffle(spark, sf_dir):
+    text = plan(anomalies.anomaly_summary(Tables(spark, sf_dir).events, "event_id"))
+    assert "WindowGroupLimit" in text
