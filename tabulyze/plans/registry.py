@@ -20,11 +20,13 @@ _NUDGE = "1.0000000000002"   # settles exact ties the same way on both engines
 
 
 def _settled(name: str) -> str:
-    unit = f"pow(10.0D, floor(log10(abs(`{name}`))))"
-    x = f"(`{name}` * {_NUDGE}D)"
-    return (f"case when `{name}` is null then null when abs(`{name}`) < 10 then round({x}, 6) + 0.0D "
-            f"when abs(`{name}`) < 1e6 then round({x}, 4) "
-            f"else round({x} / {unit}, 8) * {unit} end as `{name}`")
+    q = f"`{name}`"
+    size = f"abs({q}) * {_NUDGE}D"
+    unit = f"pow(10.0D, floor(log10(abs({q}))))"
+    near = lambda x, scale: f"sign({q}) * floor({x} * {scale}D + 0.5D) / {scale}D"
+    return (f"case when {q} is null then null when abs({q}) < 10 then {near(size, '1e6')} + 0.0D "
+            f"when abs({q}) < 1e6 then {near(size, '1e4')} "
+            f"else {near(f'({size}) / {unit}', '1e8')} * {unit} end as {q}")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -34,11 +36,13 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def _settled_sql(name: str) -> str:
-    unit = f'pow(10.0::DOUBLE, floor(log10(abs("{name}"))))'
-    x = f'("{name}"::DOUBLE * {_NUDGE}::DOUBLE)'
-    return (f'case when "{name}" is null then null when abs("{name}") < 10 then round({x}, 6) + 0.0::DOUBLE '
-            f'when abs("{name}") < 1e6 then round({x}, 4) '
-            f'else round({x} / {unit}, 8) * {unit} end as "{name}"')
+    q = f'"{name}"::DOUBLE'
+    size = f"abs({q}) * {_NUDGE}::DOUBLE"
+    unit = f"pow(10.0::DOUBLE, floor(log10(abs({q}))))"
+    near = lambda x, scale: f"sign({q}) * floor({x} * {scale}::DOUBLE + 0.5::DOUBLE) / {scale}::DOUBLE"
+    return (f"case when {q} is null then null when abs({q}) < 10 then {near(size, '1e6')} + 0.0::DOUBLE "
+            f"when abs({q}) < 1e6 then {near(size, '1e4')} "
+            f'else {near(f"({size}) / {unit}", "1e8")} * {unit} end as "{name}"')
 
 
 def register(name: str, sql: str | None = None, floats: str = ""):
