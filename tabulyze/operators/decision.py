@@ -115,6 +115,7 @@ def decision_signals(risk: DataFrame) -> DataFrame:
     g, v, c, p = F.col("growth"), F.col("volatility"), F.col("concentration_risk"), F.col("anomaly_pressure")
     strong, moderate, declining = g > 0.05, (g > 0) & (g <= 0.05), g < 0
     calm = (v < 0.15) & (c < 0.4)
+    # fixed values: signal names and severities
     none = ~(strong & calm) & ~(strong & (c > 0.5)) & ~(moderate & ~calm) & ~declining & ~(v > 0.2) & ~(p > 0.1)
     def signal(test, name, strategy, severity, measure, value):
         return test, {"signal": F.lit(name), "severity": F.lit(severity), "strategy": F.lit(strategy),

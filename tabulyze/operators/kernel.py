@@ -7,6 +7,8 @@ one partial row per column and task in the shuffle, however wide the table is.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabulyze.functions.columns import (
@@ -14,6 +16,18 @@ from tabulyze.functions.columns import (
 from tabulyze.functions.moments import adjusted_kurtosis_sql, adjusted_skewness_sql
 
 
+WIDE = 64   # columns unfolded per scan; wider tables take several scans of disjoint columns
+
+
+def in_batches(columns: list[str], profile) -> DataFrame:
+    """Union of ``profile(batch)`` over batches of columns, with ordinals counted through."""
+    out = None
+    for start in range(0, len(columns), WIDE):
+        part = profile(columns[start:start + WIDE]).withColumn("ordinal", F.expr(f"ordinal + {start}"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def numeric_cells(df: DataFrame, columns: list[str], *extra) -> DataFrame:
     """(ordinal, v, …) for every row and column; ``extra(name, v)`` gives SQL text of more fields."""
     structs = []
@@ -42,6 +56,8 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dic
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
+    if len(columns) > WIDE:
+        return in_batches(columns, lambda batch: numeric_profile(df, batch, fences, shape))
     stats = ["count(1) as n_rows", "count(v) as n", "avg(v) as mean", "var_samp(v) as variance",
              "min(v) as min", "max(v) as max"]
     out = ["ordinal", "n_rows", "n", "mean", "sqrt(variance) as std", "variance",
@@ -125,6 +141,9 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
     text. A value that fills most of a column collapses in the map-side combine.
     """
     columns = [f.name for f in df.schema.fields if kind(f) != "other"] if columns is None else columns
+    if len(columns) > WIDE:   # ordinals are table positions already
+        parts = [distinct_profile(df, columns[i:i + WIDE]) for i in range(0, len(columns), WIDE)]
+        return functools.reduce(DataFrame.unionByName, parts)
     truthy_words = ", ".join(map(literal, TRUTHY))
     structs = []
     for i, c in enumerate(columns):
@@ -140,8 +159,12 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
             real, truthy = cell, f"{cell} in (0, 1)"
         elif k == "boolean":
             whole, truthy = f"cast({cell} as int)", "true"
+        elif isinstance(dtype, T.DateType):
+            whole = f"unix_date({cell})"
+        elif isinstance(dtype, T.TimestampNTZType):
+            text = f"cast({cell} as string)"   # a zone's clock change must not merge two wall times
         elif k == "datetime":
-            whole = f"unix_micros(cast({cell} as timestamp))"
+            whole = f"unix_micros({cell})"
         else:
             text, length, truthy = compact_sql(df, c), f"length({cell})", f"{cell} in ({truthy_words})"
         structs.append(f"struct({i} as ordinal, cast({whole} as long) as whole, cast({real} as double) as real, "

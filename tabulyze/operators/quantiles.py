@@ -18,6 +18,7 @@ from tabulyze.functions.columns import col, literal, number_sql, quoted
 BUFFER_ROWS = 100_000     # longest column handed to percentile()
 PICK_ROWS = 10_000        # longest interval sorted in one piece
 BUCKETS = 16_384          # histogram width per narrowing pass
+WIDE_COLUMNS = 32         # columns handled together
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -31,6 +32,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if not columns:
         return {}
     buffer_rows = BUFFER_ROWS if buffer_rows is None else buffer_rows
+    if len(columns) > WIDE_COLUMNS:
+        found = {}
+        for i in range(0, len(columns), WIDE_COLUMNS):
+            found.update(exact_quantiles(df, columns[i:i + WIDE_COLUMNS], probs, buffer_rows, pick_rows, buckets, sizes))
+        return found
     ends: dict[str, tuple[float, float]] = {}
     if sizes is None:
         row = df.selectExpr(*[f"{f}({number_sql(df, c)})" for c in columns for f in ("count", "min", "max")]).first()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabulyze.functions.columns import numeric_columns, percent, pick, rounded, side_by_side, string_columns
-from tabulyze.operators import anomalies, correlation, descriptive, rules, segments, timeseries
+from tabulyze.functions.columns import numeric_columns, pick, rounded, side_by_side, string_columns
+from tabulyze.operators import anomalies, correlation, descriptive, rules, segments
 from tabulyze.operators.kernel import null_counts, row_counts
 from tabulyze.operators.profiling import missing_by_column
-from tabulyze.operators.typing import Detection, detect, promote_datetime_hint, target_by_variance
+from tabulyze.operators.typing import Detection, detect, target_by_variance
 
 
 def _fact(section: str, column, metric: str, measure: Column) -> Column:

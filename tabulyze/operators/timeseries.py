@@ -42,8 +42,8 @@ def _spine(sums: DataFrame, freq: str) -> DataFrame:
     return ends.filter(F.col("low").isNotNull()).select(F.explode(days).alias("period"))
 
 
-def time_trend(df: DataFrame, time: str, metric: str, min_rows: int = 5) -> DataFrame:
-    """(period, value, rolling_avg, freq): sums per day, week or month by the span of the data.
+def time_trend(df: DataFrame, time: str, metric: str, min_rows: int = 5, freq: str | None = None) -> DataFrame:
+    """(period, value, rolling_avg, freq): sums per day (D), week (W) or month (ME), by default by the span of the data.
 
     Empty periods sum to 0. Fewer than ``min_rows`` complete rows give no trend.
     """
@@ -51,7 +51,7 @@ def time_trend(df: DataFrame, time: str, metric: str, min_rows: int = 5) -> Data
     facts = rows.agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     if facts["n"] < min_rows:
         return df.sparkSession.createDataFrame([], "period date, value double, rolling_avg double, freq string")
-    freq = choose_freq((facts["high"] - facts["low"]).days)
+    freq = freq or choose_freq((facts["high"] - facts["low"]).days)
     sums = rows.groupBy(period_end(freq, F.col("ts")).alias("period")).agg(F.sum("v").alias("value"))
     full = _spine(sums, freq).join(sums, "period", "left").select(
         "period", F.coalesce("value", F.lit(0.0)).alias("value"))

@@ -294,15 +294,13 @@ def time_trend_monthly(t):
 
 @register("time_trend_weekly", _ROLLED.format(freq="W", series="""
     select d.period, coalesce(s.value, 0) as value from (
-      select unnest(generate_series((select (date_trunc('week', min(o_orderdate)) + interval 6 day)::date from sub),
-        (select (date_trunc('week', max(o_orderdate)) + interval 6 day)::date from sub), interval 7 day))::date
+      select unnest(generate_series((select (date_trunc('week', min(o_orderdate)) + interval 6 day)::date from orders),
+        (select (date_trunc('week', max(o_orderdate)) + interval 6 day)::date from orders), interval 7 day))::date
         as period) d
     left join (select (date_trunc('week', o_orderdate) + interval 6 day)::date as period, sum(o_totalprice) as value
-               from sub group by 1) s on d.period = s.period""".replace(
-    "from sub", "from (select * from orders where o_orderdate < timestamp '1996-06-01') sub")), "value rolling_avg")
+               from orders group by 1) s on d.period = s.period"""), "value rolling_avg")
 def time_trend_weekly(t):
-    # a range of dates whose span calls for weeks
-    return tim.time_trend(t.orders.filter("o_orderdate < timestamp_ntz'1996-06-01'"), "o_orderdate", "o_totalprice")
+    return tim.time_trend(t.orders, "o_orderdate", "o_totalprice", freq="W")
 
 
 DIRECTION_SQL = """

@@ -225,3 +225,16 @@ def test_only_growth_and_demand_are_elastic(spark):
 def test_empty_table_is_rejected(spark):
     with pytest.raises(ValueError):
         require_rows(spark.createDataFrame([], "x int"))
+
+
+def test_tables_of_hundreds_of_columns(spark):
+    n = 150
+    df = spark.range(40).selectExpr(*[f"cast(id * {i + 1} % 37 as double) as c{i}" for i in range(n)])
+    pdf = df.toPandas()
+    got = rows(numeric_profile(df))
+    assert len(got) == n and all(got[f"c{i}"]["ordinal"] == i for i in range(n))
+    assert got["c149"]["mean"] == pytest.approx(pdf["c149"].mean())
+    medians = quantiles.exact_quantiles(df, df.columns, [0.5])
+    assert [medians[c][0] for c in df.columns] == pytest.approx(pdf.median().tolist())
+    roles = typ.column_roles(df).collect()
+    assert sorted(r["ordinal"] for r in roles) == list(range(n))
