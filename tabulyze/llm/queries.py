@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulyze.llm import chat, mixing, quality, sharding
+from tabulyze.llm import chat, language_id, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _remainder(parts: int):
+    """crc32 of the id as text, modulo ``parts``; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op9_language_centroids")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = docs.where((_remainder(3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = language_id.fit_languages(learned.select("doc_id", "text", "lang"))
+    return language_id.predict_languages(docs, model).select(
+        "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+
+
+@query("op10_toxic_segments")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").alias("n_segments"))
