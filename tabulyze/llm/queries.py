@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulyze.llm import chat, decontaminate, html_extract, language_id, mixing, quality, sharding, toxicity
+from tabulyze.llm import chat, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_item_containment", decontaminate.DECONTAMINATION_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_jaccard_classes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
