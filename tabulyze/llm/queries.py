@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulyze.llm import chat, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, sharding, toxicity
+from tabulyze.llm import chat, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_jaccard_classes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_classes(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_repeated_strings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
