@@ -74,7 +74,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, w
     found = []
     for block in range(blocks):
         some = sketches if blocks == 1 else sketches.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        hit = seen.join(F.broadcast(some), "hash").where(~F.arrays_overlap("earlier", "hashes") | (F.size("earlier") == 0))
+        # a numbered row keeps the tests below out of the join, where every shingle would
+        # carry its document's arrays to them; only matching shingles do
+        hit = seen.join(F.broadcast(some), "hash").select("*", F.monotonically_increasing_id().alias("place"))
+        hit = hit.where((F.col("place") >= 0) & (~F.arrays_overlap("earlier", "hashes") | (F.size("earlier") == 0)))
         shared = F.size(F.array_intersect("item_shingles", shingle_texts(F.col("w"), width)))
         counted = hit.select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
         found.append(counted.where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))
