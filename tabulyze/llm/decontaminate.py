@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tabulyze.llm.jaccard_join import record_key
 from tabulyze.llm.quality import NOT_SPACE, words_of
 
 BROADCAST_ROWS = 200_000   # sketch rows in one block; a row is about a kilobyte at most
@@ -99,3 +100,11 @@ sizes as (select r, count(*) as n from benchmark_grams group by r)
 select doc_id, item_id, any_value(n)::BIGINT as n_item, count(*)::BIGINT as n_shared, count(*)::DOUBLE / any_value(n) as containment
 from documents_grams d join benchmark_grams b using (g) join sizes s on s.r = b.r
 group by d.r, b.r, doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9"""
+
+
+def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
+    """The rows that contain no item, with all their columns."""
+    key = record_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    found = contained_items(docs.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text")), items, **rules)
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")

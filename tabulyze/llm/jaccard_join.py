@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tabulyze.llm.graph import components
 from tabulyze.llm.stores import drop_stored, stored
@@ -273,3 +274,15 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = signed.select("k", "n", "g1", "g2").join(named, ["g1", "g2"], "left")
     return out.select("k", F.when(F.col("k") < F.lit(1 << 62), F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.coalesce("component", "k").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
+    """The rows that stay, with all their columns: of every group of linked documents the one
+    with the smallest key, and every document that is linked with nothing."""
+    found = similar_classes(docs, doc_id, text, **rules)
+    stay = found.where("k = component_id").select(F.col("k").alias("key")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), record_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"))
+    # repeated rows have one key: the join has already brought them together
+    first = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row")[text]))
+    kept = rows.join(stay, "key", "left_semi").select("row", F.row_number().over(first).alias("place")).where("place = 1")
+    return kept.select("row.*")

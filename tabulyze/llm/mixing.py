@@ -140,3 +140,9 @@ cum as (select *, coalesce(sum(size) over (partition by source order by rank, ke
   as before from odds)
 select doc_id, size, source_size, coalesce(target, 0.0) as target,
   (size * (coalesce(whole, 0) + case when part > 0 and before + size / 2.0 < rest then 1 else 0 end))::BIGINT as taken from cum"""
+
+
+def mixed_rows(docs: DataFrame, **rules) -> DataFrame:
+    """Every row as often as the mix takes it, with all its columns."""
+    taken = mix_copies(docs, **rules).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

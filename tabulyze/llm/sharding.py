@@ -80,3 +80,8 @@ placed as (select doc_id, size, text_crc32, {_arrivals_sql(16)} as shard, {_arri
 select doc_id, size::BIGINT as size, text_crc32::BIGINT as text_crc32, 'key' as law, shard::INTEGER as shard,
   (row_number() over (partition by shard order by bucket, doc_id nulls first, size, text_crc32) - 1)::BIGINT as slot,
   grown_shard::INTEGER as grown_shard from placed"""
+
+
+def with_shard(docs: DataFrame, weights: list[float], doc_id: str = "doc_id", text: str = "text", name: str = "shard") -> DataFrame:
+    """All columns and the row's shard; a column of that name is replaced. Nothing is shuffled."""
+    return docs.withColumn(name, shard_of(record_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), weights))

@@ -231,3 +231,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()),
                                               pa.array(found, pa.list_(struct))], ["doc_id", "score", "segments"])
     return rows.mapInArrow(scored, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, segments {kind}")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows whose score stays below ``threshold``, with all their columns; nothing is joined."""
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, float] = {}
+        for batch in batches:
+            keep = [probability(judge(t.as_py() or "", model, memo)[0], model) < threshold for t in batch.column(text)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(clean, docs.schema)
