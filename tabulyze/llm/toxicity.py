@@ -144,7 +144,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max
     share = (F.col("clean") + F.col("toxic")) / F.lit(float(n_clean + n_toxic)) * prior
 
     def log_odds(count, n):
-        return F.log((count + share) / (F.lit(n + prior) - count - share))
+        return F.log((count + share) / (F.lit(n + prior + 0.5) - count - share))
     ranked = summed.where("token <> '' and toxic >= 2").select(
         "token", "clean", (log_odds(F.col("toxic"), n_toxic) - log_odds(F.col("clean"), n_clean)).alias("odds"),
         F.sqrt(1 / (F.col("toxic") + share) + 1 / (F.col("clean") + share)).alias("sd"))
