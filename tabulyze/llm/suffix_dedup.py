@@ -26,7 +26,7 @@ from tabulyze.llm.words import bytes_of, mix, powers, prefix_sums, row_chunks
 KMER = 64
 PIECE = 4 << 20        # a longer document is searched in pieces of so many bytes
 STRINGS = 20_000       # strings ordered at once in a task
-HOT_STRINGS = 4096     # anchors with more different strings are counted by window instead
+HOT_STRINGS = 50_000   # anchors with more different strings are counted by window instead; so many take 50 MB
 PAD = 256              # a symbol no byte has, outside the document
 
 
@@ -106,14 +106,18 @@ def cut_strings(texts: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = (batch.column("text")[row].as_py() or "").encode()
-                cuts = batch.column("cuts")[row].as_py()
-                yield pa.RecordBatch.from_pydict({
-                    "a": pa.array([c["a"] for c in cuts], pa.int64()), "n": pa.array([c["n"] for c in cuts], pa.int64()),
-                    "k": pa.array([c["k"] for c in cuts], pa.int64()), "pos": pa.array([c["pos"] for c in cuts], pa.int64()),
-                    "lacking": pa.array([max(0, span - 1 - c["pos"]) for c in cuts], pa.int64()),
-                    "string": pa.array([data[max(0, c["pos"] - span + 1):c["pos"] + length] for c in cuts], pa.binary())})
+            ends, cells = batch.column("cuts").offsets.to_numpy(), batch.column("cuts").values
+            pos = cells.field("pos").to_numpy()
+            for start in range(0, batch.num_rows, 256):
+                strings = []
+                for row, text in enumerate(batch.column("text").slice(start, 256), start):
+                    data = (text.as_py() or "").encode()
+                    strings += [data[max(0, p - span + 1):p + length] for p in pos[ends[row]:ends[row + 1]]]
+                lo, hi = ends[start], ends[min(start + 256, batch.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [cells.field(c).slice(lo, hi - lo) for c in ("a", "n", "k", "pos")]
+                    + [pa.array(np.maximum(0, span - 1 - pos[lo:hi])), pa.array(strings, pa.binary())],
+                    ["a", "n", "k", "pos", "lacking", "string"])
     return texts.mapInArrow(cut, "a long, n long, k long, pos long, lacking long, string binary")
 
 
@@ -212,22 +216,18 @@ def counted_spans(strings: DataFrame, length: int) -> DataFrame:
     return rows.where("n = 1").join(often, ["w1", "w2"]).select("k", "first", F.col("first").alias("last"))
 
 
-def _kept(data: bytes, spans: list, length: int) -> tuple[int, int, bytes]:
-    """Removed bytes, runs, and what is left."""
-    removed, runs, end, parts = 0, 0, 0, []
-    for first, last in sorted((max(0, s["first"]), min(s["last"], len(data) - length)) for s in spans):
-        if last < first:
-            continue
-        upto = last + length
-        if upto <= end:
-            continue
-        if first > end or runs == 0:
-            runs += 1
-            parts.append(data[end:first])
-        removed += upto - max(first, end)
-        end = upto
-    parts.append(data[end:])
-    return removed, runs, b"".join(parts)
+def _kept(data: bytes, first: np.ndarray, last: np.ndarray, length: int) -> tuple[int, int, bytes]:
+    """Removed bytes, runs, and what is left; windows begin from ``first`` to ``last``."""
+    first, last = np.maximum(first, 0), np.minimum(last, len(data) - length)
+    real = first <= last
+    order = np.argsort(first[real], kind="stable")
+    begin, end = first[real][order], np.maximum.accumulate(last[real][order] + length) if real.any() else last[:0]
+    if not len(begin):
+        return 0, 0, data
+    new = np.concatenate(([True], begin[1:] > end[:-1]))
+    begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+    edges = np.concatenate(([0], np.stack([begin, end], axis=1).ravel(), [len(data)]))
+    return int((end - begin).sum()), len(begin), b"".join(data[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
 
 
 def repeated_spans(rows: DataFrame, length: int, hot: int = HOT_STRINGS) -> DataFrame:
@@ -271,22 +271,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, lists = batch.column("k"), batch.column("text"), batch.column("spans")
-            size = [0]
-            rows_: list[tuple] = []
-            for row in range(batch.num_rows):
-                data = texts[row].as_py().encode()
-                removed, runs, left = _kept(data, lists[row].as_py() or [], length)
-                rows_.append((left, len(data), removed, runs, hashlib.sha256(left).hexdigest()))
-                size.append(size[-1] + len(left))
-            kept, n, removed, runs, digest = zip(*rows_, strict=True) if rows_ else ((), (), (), (), ())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
-                                              pa.array(runs, pa.int64()), pa.array(digest, pa.string())],
-                                             ["k", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    some = _passing(rows, wanted, True).join(spans, "k", "left")
+            ends, cells = batch.column("spans").offsets.to_numpy(), batch.column("spans").values
+            first, last = cells.field("first").to_numpy(), cells.field("last").to_numpy()
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                done = []
+                for row, text in enumerate(part.column("text"), start):
+                    data = text.as_py().encode()
+                    removed, runs, left = _kept(data, first[ends[row]:ends[row + 1]], last[ends[row]:ends[row + 1]], length)
+                    done.append((left, len(data), removed, runs, hashlib.sha256(left).hexdigest()))
+                kept, n, removed, runs, digest = zip(*done, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("k"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(runs, pa.int64()), pa.array(digest, pa.string())],
+                    ["k", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    none = F.array().cast("array<struct<first:bigint,last:bigint>>")
+    some = _passing(rows, wanted, True).join(spans, "k", "left").select("k", "text", F.coalesce("spans", none).alias("spans"))
     data = F.col("text").cast("binary")
     rest = _passing(rows, wanted, False).select("k", data.alias("kept"), F.octet_length(data).cast("long").alias("n_bytes"),
                                                 F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                                                 F.sha2(data, 256).alias("kept_sha256"))
-    out = some.select("k", "text", "spans").mapInArrow(cleaned, schema).unionAll(rest)
+    out = some.mapInArrow(cleaned, schema).unionAll(rest)
     return out.select(F.when(F.col("k") < F.lit(1 << 62), F.col("k")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
