@@ -110,6 +110,9 @@ def anomaly_summary(df: DataFrame, key: str, method: str = "zscore", samples: in
         fences = iqr_fences(df, columns)
         def test(c, v):
             return f"{v} < {literal(fences[c][2])} or {v} > {literal(fences[c][3])}", "null"
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, count long, sample_values array<double>, column_mean double, "
+                                                   "column_std double, pct_anomalous double")
     hits = _flagged(df, columns, key, test)
     counts = hits.groupBy("column").agg(F.count("*").alias("count"))
     # row_number() <= k is cut to k rows per task before the shuffle
@@ -133,6 +136,10 @@ def anomaly_bands(df: DataFrame, name: str, key: str, threshold: float = 3.0) ->
     """Every filled value with its flag (population z) and the control limits (sample std)."""
     fact = _facts(df, [name])[name]
     v = number(df, name)
+    if not fact["n"]:
+        return df.sparkSession.createDataFrame(
+            [], "value double, is_anomaly boolean, lower_limit double, upper_limit double").select(
+            F.lit(None).cast(df.schema[key].dataType).alias("key"), "*")
     z = F.abs(v - F.lit(fact["mean"])) / F.lit(fact["std_pop"]) if fact["std_pop"] else F.lit(0.0)
     std = fact["std"] or 0.0
     return df.filter(v.isNotNull()).select(
@@ -151,6 +158,8 @@ def two_sigma_share(df: DataFrame, name: str) -> DataFrame:
     """One row: share of filled values beyond two population deviations."""
     fact = _facts(df, [name])[name]
     v = number(df, name)
+    if not fact["n"]:
+        return df.sparkSession.createDataFrame([(None,)], "share double")
     far = F.abs(v - F.lit(fact["mean"])) > F.lit(2 * (fact["std_pop"] + 1e-9))
     return df.filter(v.isNotNull()).agg(F.avg(far.cast("double")).alias("share"))
 

@@ -51,8 +51,8 @@ def impute_median_mode(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Distinct rows; nulls compare equal."""
-    return df.dropDuplicates()
+    """Distinct rows; nulls compare equal, and NaN is a null."""
+    return df.select(*[value(df, c).alias(c) for c in df.columns]).dropDuplicates()
 
 
 def cap_outliers(df: DataFrame, iqr_multiplier: float = 1.5) -> DataFrame:

@@ -81,7 +81,7 @@ def _strongest(pairs: DataFrame, top: int | None) -> DataFrame:
     return ranked.limit(top) if top else ranked
 
 
-def corr_matrix(df: DataFrame, cap: int = 25) -> DataFrame:
+def corr_matrix(df: DataFrame, cap: int | None = None) -> DataFrame:
     """Both triangles and the diagonal in long form."""
     return correlation_pairs(df, cap=cap).select(F.inline(F.array(
         F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("r").alias("r")),
@@ -91,7 +91,7 @@ def corr_matrix(df: DataFrame, cap: int = 25) -> DataFrame:
     ).groupBy("a", "b").agg(F.max("r").alias("r"))
 
 
-def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int = 25,
+def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int | None = None,
                    columns: list[str] | None = None) -> DataFrame:
     """The strongest pairs, and every pair at or above ``high``, with both flags."""
     pairs = correlation_pairs(df, columns, cap=cap).select(
@@ -103,7 +103,7 @@ def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int =
                     "is_high"))
 
 
-def corr_top(df: DataFrame, top: int = 5, cap: int | None = 50) -> DataFrame:
+def corr_top(df: DataFrame, top: int = 5, cap: int | None = None) -> DataFrame:
     """The strongest pairs by the size of r rounded to four places."""
     pairs = correlation_pairs(df, cap=cap).withColumn("r", rounded("r", 4))
     return _strongest(pairs, top).select(F.col("a").alias("col_a"), F.col("b").alias("col_b"),
@@ -184,30 +184,19 @@ def ols_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, colour: str | None = None, key: str | None = None,
-                   max_colours: int = 20, fraction: float | None = None) -> DataFrame:
-    """Points with both coordinates, coloured by a category of at most ``max_colours`` values.
-
-    ``fraction`` draws a repeatable sample by hash; by default every point is kept.
-    """
+                   max_colours: int = 20) -> DataFrame:
+    """Every point with both coordinates and its category; ``too_many_colours`` says that the
+    category has more than ``max_colours`` values."""
     out = df.select(*([col(key).alias("key")] if key else []), number(df, x).alias("x"), number(df, y).alias("y"),
                     *([col(colour).cast("string").alias("colour")] if colour else []))
     out = out.dropna(subset=["x", "y"])
     if colour:
-        if df.select(col(colour)).dropna().distinct().limit(max_colours + 1).count() > max_colours:
-            out = out.drop("colour")
-    return sample_rows(out, fraction)
-
-
-def sample_rows(df: DataFrame, fraction: float | None) -> DataFrame:
-    """Keep rows whose hash falls below ``fraction``: the same rows on every run."""
-    if fraction is None:
-        return df
-    unit = F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) / 1_000_000.0
-    return df.filter(unit < fraction)
+        many = df.select(col(colour)).dropna().distinct().limit(max_colours + 1).count() > max_colours
+        out = out.withColumn("too_many_colours", F.lit(many))
+    return out
 
 
-def scatter_matrix(df: DataFrame, key: str, columns: list[str] | None = None, cap: int = 5,
-                   fraction: float | None = None) -> DataFrame:
-    """The first numeric columns side by side, for a matrix of scatter plots."""
+def scatter_matrix(df: DataFrame, key: str, columns: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """The numeric columns, or the first ``cap``, side by side for a matrix of scatter plots."""
     columns = (numeric_columns(df) if columns is None else columns)[:cap]
-    return sample_rows(df.select(col(key).alias("key"), *[number(df, c).alias(c) for c in columns]), fraction)
+    return df.select(col(key).alias("key"), *[number(df, c).alias(c) for c in columns])

@@ -84,8 +84,8 @@ def kpi_by_column(df: DataFrame, order: list[str]) -> DataFrame:
                     ((F.try_divide("now", "before") - 1) * 100).alias("pct_change_last")))
 
 
-def column_means_ranked(df: DataFrame, first: int = 12, top: int = 10) -> DataFrame:
-    """Largest means among the first numeric columns."""
+def column_means_ranked(df: DataFrame, first: int | None = None, top: int = 10) -> DataFrame:
+    """Largest means among the numeric columns, or among the ``first`` of them."""
     return (numeric_profile(df, numeric_columns(df)[:first], shape=False)
             .select("column", "ordinal", "mean").orderBy(F.col("mean").desc(), "ordinal").limit(top)
             .select("column", "mean"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import (
@@ -61,32 +63,34 @@ def histogram(df: DataFrame, name: str, bins: int | None = None, markers: bool =
     return out
 
 
-def kde_curve(df: DataFrame, name: str, bins: int = 35, points: int = 200) -> DataFrame:
+def kde_curve(df: DataFrame, name: str, bins: int = 35, points: int = 200, min_rows: int = 11) -> DataFrame:
     """Gaussian density (Scott bandwidth) on an even grid, scaled to histogram counts.
 
-    A value reaches only the grid points within nine bandwidths, beyond which its
-    weight is under 3e-18, so the work per row shrinks as the table grows and the
-    bandwidth narrows. Weights are summed per grid point before the shuffle.
+    Every value weighs on every grid point: a task adds its Arrow batches up to one row of
+    sums per point. Fewer than ``min_rows`` values, or no spread, give no curve.
     """
     v = number(df, name)
     stats = df.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
                    F.stddev_samp(v).alias("std")).first()
     n, low, high = stats["n"], stats["low"], stats["high"]
-    if n < 2 or not stats["std"]:
+    if n < min_rows or not stats["std"] or not math.isfinite(stats["std"]):
         return df.sparkSession.createDataFrame([], "point int, x double, y double")
     h = stats["std"] * n ** -0.2
     step = (high - low) / (points - 1)
     scale = (high - low) / bins / (h * math.sqrt(2 * math.pi))
-    grid = lambda p: F.lit(low) + p * F.lit(step)
-    first = F.greatest(F.ceil((v - 9 * h - low) / step), F.lit(0)).cast("int")
-    last = F.least(F.floor((v + 9 * h - low) / step), F.lit(points - 1)).cast("int")
-    near = F.when(first <= last, F.sequence(first, last))
-    reach = df.filter(v.isNotNull()).select(v.alias("v"), F.explode(near).alias("point"))
-    distance = (grid(F.col("point")) - F.col("v")) / h
-    sums = reach.groupBy("point").agg(F.sum(F.exp(distance * distance * -0.5)).alias("weight"))
-    spine = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point"))
-    return spine.join(F.broadcast(sums), "point", "left").select(   # at most `points` rows
-        "point", grid(F.col("point")).alias("x"), (F.coalesce("weight", F.lit(0.0)) * scale).alias("y"))
+    grid = low + np.arange(points) * step
+
+    def weights(batches):
+        total = np.zeros(points)
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False)
+            for first in range(0, len(x), 4096):
+                total += np.exp(-0.5 * ((grid[:, None] - x[None, first:first + 4096]) / h) ** 2).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(points, dtype=np.int32)), pa.array(total)], ["point", "weight"])
+
+    sums = df.filter(v.isNotNull()).select(v.alias("v")).mapInArrow(weights, "point int, weight double")
+    return sums.groupBy("point").agg(F.sum("weight").alias("w")).select(
+        "point", (F.lit(low) + F.col("point") * F.lit(step)).alias("x"), (F.col("w") * scale).alias("y"))
 
 
 def frequency_table(df: DataFrame, name: str) -> DataFrame:
@@ -95,8 +99,8 @@ def frequency_table(df: DataFrame, name: str) -> DataFrame:
         F.col("count").desc(), F.col("value").asc_nulls_last())
 
 
-def box_stats(df: DataFrame, cap: int = 8) -> DataFrame:
-    """Quartiles, fences, mean and sd of the first numeric columns."""
+def box_stats(df: DataFrame, cap: int | None = None) -> DataFrame:
+    """Quartiles, fences, mean and sd of the numeric columns, or of the first ``cap``."""
     columns = numeric_columns(df)[:cap]
     qs = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     out = with_quantiles(numeric_profile(df, columns, shape=False), qs, ["q1", "median", "q3"])
@@ -121,16 +125,24 @@ def skew_risk(skew: Column) -> Column:
     return F.when(F.abs(skew) > 1, "High").when(F.abs(skew) > 0.5, "Moderate").otherwise("Low")
 
 
+def _skews(df: DataFrame) -> DataFrame:
+    return numeric_profile(df, numeric_columns(df)).select("column", "ordinal", _skew().alias("skew"))
+
+
+def _skew() -> Column:
+    return F.coalesce(F.when(F.col("n") > 2, F.col("skewness")), F.lit(0.0))
+
+
 def _numeric_diagnostics(df: DataFrame) -> DataFrame:
     columns = numeric_columns(df)
     profile = numeric_profile(df, columns, iqr_fences(df, columns))
     return profile.select(
-        "column", "ordinal", F.coalesce(F.when(F.col("n") > 2, F.col("skewness")), F.lit(0.0)).alias("skew"),
+        "column", "ordinal", _skew().alias("skew"),
         F.when(F.col("n") < 4, 0.0).otherwise(percent(F.col("outliers"), F.col("n"))).alias("pct"), "missing_pct")
 
 
 def distribution_classes(df: DataFrame) -> DataFrame:
-    return _numeric_diagnostics(df).select("column", distribution_class(F.col("skew")).alias("distribution"))
+    return _skews(df).select("column", distribution_class(F.col("skew")).alias("distribution"))
 
 
 def risk_classes(df: DataFrame) -> DataFrame:
@@ -173,7 +185,7 @@ def column_diagnostic(df: DataFrame, name: str) -> DataFrame:
 
 
 def most_skewed(df: DataFrame) -> DataFrame:
-    return (_numeric_diagnostics(df).select("column", "ordinal", rounded("skew", 4).alias("skewness"))
+    return (_skews(df).select("column", "ordinal", rounded("skew", 4).alias("skewness"))
             .orderBy(F.abs("skewness").desc(), "ordinal").limit(1).select("column", "skewness"))
 
 

@@ -163,9 +163,9 @@ def quality_report(df: DataFrame, numeric: list[str] | None = None) -> DataFrame
         "columns_with_missing")
 
 
-def dataset_profile(df: DataFrame, numeric_cap: int = 8, string_cap: int = 5) -> DataFrame:
+def dataset_profile(df: DataFrame, numeric_cap: int | None = None, string_cap: int | None = None) -> DataFrame:
     """(section, column, metric, value) rows: shape, missing and duplicate shares,
-    moments of the first numeric columns, cardinality of the first text columns."""
+    moments of the numeric columns, cardinality of the text columns; the caps keep the first ones."""
     numeric, strings = numeric_columns(df), string_columns(df)
     shape = row_counts(df).select(F.inline(F.array(
         _entry("shape", None, "rows", F.col("n_rows")),
@@ -178,7 +178,7 @@ def dataset_profile(df: DataFrame, numeric_cap: int = 8, string_cap: int = 5) ->
     frames = [shape, missing]
     if numeric:
         profile = numeric_profile(df, numeric)
-        frames.append(profile.filter(F.col("ordinal") < numeric_cap).select(F.inline(F.array(*[
+        frames.append(profile.filter(F.col("ordinal") < len(numeric[:numeric_cap])).select(F.inline(F.array(*[
             _entry("descriptive", F.col("column"), m, rounded(F.col(source), 4))
             for m, source in (("mean", "mean"), ("std", "std"), ("min", "min"), ("max", "max"),
                               ("skew", "skewness"))]))))
@@ -201,16 +201,16 @@ def _entry(section: str, column, metric: str, measure) -> Column:
                     F.lit(metric).alias("metric"), measure.cast("double").alias("value"))
 
 
-def mini_profile(df: DataFrame, top: int = 5) -> DataFrame:
-    """Means of the first numeric columns with the table's shape."""
+def mini_profile(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Means of the numeric columns, or of the first ``top``, with the table's shape."""
     return numeric_profile(df, numeric_columns(df)[:top], shape=False).select(
         "column", F.col("n_rows").alias("rows"), F.lit(len(df.columns)).alias("columns"),
         rounded("mean", 4).alias("mean"))
 
 
-def dataset_digest(df: DataFrame) -> DataFrame:
-    """Text lines (line_no, line): shape, column lists, worst missing columns, first
-    numeric statistics, strongest correlations, commonest values."""
+def dataset_digest(df: DataFrame, numeric_cap: int | None = None, text_cap: int | None = None) -> DataFrame:
+    """Text lines (line_no, line): shape, column lists, worst missing columns, numeric
+    statistics, strongest correlations, commonest values; the caps keep the first columns."""
     from tabulyze.operators.correlation import correlation_pairs
 
     numeric = numeric_columns(df)
@@ -229,7 +229,7 @@ def dataset_digest(df: DataFrame) -> DataFrame:
                                  F.col("m") / F.col("n_rows") * 100).alias("text")).alias("part")),
         4, "Columns with missing values: ", "Missing values: none")]
     if numeric:
-        frames.append(_joined(numeric_profile(df, numeric[:6], shape=False).select(
+        frames.append(_joined(numeric_profile(df, numeric[:numeric_cap], shape=False).select(
             F.struct(F.col("ordinal").cast("long").alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),
                      F.format_string("%s: mean=%.2f, std=%.2f", "column", "mean", "std")
                      .alias("text")).alias("part")), 5, "Numeric stats: "))
@@ -240,7 +240,7 @@ def dataset_digest(df: DataFrame) -> DataFrame:
                      F.col("b").alias("c"),
                      F.format_string("%s ↔ %s: %.2f", "a", "b", F.abs("r")).alias("text")).alias("part")),
             6, "Top correlations: "))
-    strings = [c for c in other if kind(df.schema[c]) == "string"][:3]
+    strings = [c for c in other if kind(df.schema[c]) == "string"][:text_cap]
     if strings:
         frames.append(_joined(top_values(df, strings).select(
             F.struct(F.col("ordinal").cast("long").alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),

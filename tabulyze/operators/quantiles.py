@@ -1,161 +1,116 @@
 """Exact quantiles whose memory does not grow with the table.
 
-Spark's ``percentile`` keeps every distinct value of a column in one buffer.
-That is fine for short columns and fatal for long ones, so columns with more
-values than ``BUFFER_ROWS`` are narrowed by counting instead: each pass splits
-the interval that holds a wanted rank into equal buckets, counts them with a
-map-side combine, and keeps the one bucket that holds the rank.
+A sketch of every column brackets each wanted rank, whatever the distribution; the values
+inside the bracket are then counted exactly, equal ones in the map-side combine, together
+with how many lie below. A bracket that still holds too many values is sketched again, so
+two scans do for some hundred million cells and three for some hundred thousand million.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.functions.columns import col, literal, number_sql, quoted
+from tabulyze.functions.columns import literal, number_sql
 
-BUFFER_ROWS = 100_000     # longest column handed to percentile()
-PICK_ROWS = 10_000        # longest interval sorted in one piece
-BUCKETS = 16_384          # histogram width per narrowing pass
+ACCURACY = 10_000         # a sketch's rank error is at most the column's size divided by this
+MARGIN = 3                # half width of a bracket, in such errors
+PICK_ROWS = 20_000        # values counted one by one
 WIDE_COLUMNS = 32         # columns handled together
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    buffer_rows: int | None = None, pick_rows: int | None = None,
-                    buckets: int | None = None,
-                    sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], pick_rows: int | None = None,
+                    accuracy: int | None = None, sizes: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column, ``None`` for an empty column.
 
-    ``sizes`` hands in the filled cells per column when they are already known.
+    ``sizes`` names the filled cells per column where the caller has them; empty columns
+    are then not read.
     """
-    if not columns:
-        return {}
-    buffer_rows = BUFFER_ROWS if buffer_rows is None else buffer_rows
-    if len(columns) > WIDE_COLUMNS:
-        found = {}
-        for i in range(0, len(columns), WIDE_COLUMNS):
-            found.update(exact_quantiles(df, columns[i:i + WIDE_COLUMNS], probs, buffer_rows, pick_rows, buckets, sizes))
-        return found
-    ends: dict[str, tuple[float, float]] = {}
-    if sizes is None:
-        row = df.selectExpr(*[f"{f}({number_sql(df, c)})" for c in columns for f in ("count", "min", "max")]).first()
-        sizes = {c: row[3 * i] for i, c in enumerate(columns)}
-        ends = {c: (row[3 * i + 1], row[3 * i + 2]) for i, c in enumerate(columns)}
-    size = {c: sizes[c] for c in columns}
+    pick_rows = PICK_ROWS if pick_rows is None else pick_rows
+    accuracy = ACCURACY if accuracy is None else accuracy
     found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-
-    short = [c for c in columns if 0 < size[c] <= buffer_rows]
-    if short:
-        wanted = f"array({', '.join(literal(float(p)) for p in probs)})"
-        row = df.selectExpr(*[f"percentile({number_sql(df, c)}, {wanted}) as q{i}" for i, c in enumerate(short)]).first()
-        for i, c in enumerate(short):
-            found[c] = list(row[i])
-
-    long = [c for c in columns if size[c] > max(buffer_rows, 0)]
-    if long:
-        ranks = {}
-        for c in long:
-            for p in probs:
-                below = math.floor(p * (size[c] - 1))
-                ranks[(c, below)] = None
-                ranks[(c, min(below + 1, size[c] - 1))] = None
-        if not ends:
-            row = df.selectExpr(*[f"{f}({number_sql(df, c)})" for c in long for f in ("min", "max")]).first()
-            ends = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(long)}
-        values = _order_statistics(df, list(ranks), ends, PICK_ROWS if pick_rows is None else pick_rows,
-                                   BUCKETS if buckets is None else buckets)
-        for c in long:
-            for i, p in enumerate(probs):
-                position = p * (size[c] - 1)
-                below = math.floor(position)
-                low = values[(c, below)]
-                high = values[(c, min(below + 1, size[c] - 1))]
-                found[c][i] = low + (high - low) * (position - below)
+    filled = [c for c in columns if sizes is None or sizes[c]]
+    for start in range(0, len(filled), WIDE_COLUMNS):
+        found.update(_quantiles(df, filled[start:start + WIDE_COLUMNS], probs, pick_rows, accuracy))
     return found
 
 
-def _order_statistics(df: DataFrame, targets: list[tuple[str, int]], ends: dict[str, tuple[float, float]],
-                      pick_rows: int, buckets: int) -> dict[tuple[str, int], float]:
-    """The value at each (column, zero-based rank)."""
-    # target -> (low, high, rows below low, rows inside)
-    span = {(c, k): (*ends[c], 0, None) for c, k in targets}
-    solved: dict[tuple[str, int], float] = {}
-    while True:
-        for t, (low, high, _, _) in span.items():
-            if low == high:
-                solved[t] = low
-        span = {t: s for t, s in span.items() if t not in solved}
-        if not span:
-            return solved
-        small = {t: s for t, s in span.items() if s[3] is not None and s[3] <= pick_rows}
-        if small:
-            solved.update(_pick(df, small))
-        span = {t: s for t, s in span.items() if t not in small}
-        if span:
-            span = _narrow(df, span, buckets)
-
-
-def _intervals(span: dict) -> list[tuple[str, float, float]]:
-    return sorted({(c, s[0], s[1]) for (c, _), s in span.items()})
-
-
-def _cells(df: DataFrame, intervals: list, extra=lambda v, low, high: "") -> DataFrame:
-    """Values inside any interval as (interval, v, …); other values are never emitted."""
-    structs, tests = [], []
+def _quantiles(df: DataFrame, columns: list[str], probs: list[float], pick_rows: int, accuracy: int, margin: int = MARGIN) -> dict:
+    cuts = sorted({min(1.0, max(0.0, p + s * margin / accuracy)) for p in probs for s in (-1, 1)})
+    wanted = f"array({', '.join(literal(c) for c in cuts)})"
+    row = df.selectExpr(*[e for c in columns for v in (number_sql(df, c),) for e in (
+        f"count({v})", f"min({v})", f"max({v})", f"percentile_approx({v}, {wanted}, {accuracy})")]).first()
+    size, brackets, ranks = {}, {}, {}
+    for i, c in enumerate(columns):
+        size[c], least, most, sketch = row[4 * i:4 * i + 4]
+        if not size[c]:
+            continue
+        at = dict(zip(cuts, sketch))
+        for p in probs:
+            below = math.floor(p * (size[c] - 1))
+            ranks[c, p] = (below, min(below + 1, size[c] - 1))
+            inside = size[c] > pick_rows
+            brackets[c, p] = (at[min(1.0, max(0.0, p - margin / accuracy))], at[min(1.0, max(0.0, p + margin / accuracy))]) \
+                if inside else (least, most)
+            held = size[c] * 2 * (margin + 1) / accuracy
+            while inside and held > pick_rows:
+                brackets[c, p], held = _closer(df, c, ranks[c, p], brackets[c, p], accuracy), held * 2 * (margin + 1) / accuracy
+    values = _pick(df, ranks, brackets) if ranks else {}
+    out = {}
+    for c in columns:
+        if any((c, p) in ranks and (c, p) not in values for p in probs):
+            # the sketch erred by more than it promises
+            out |= _quantiles(df, [c], probs, pick_rows, accuracy, margin * 8)
+            continue
+        out[c] = [None] * len(probs)
+        for i, p in enumerate(probs):
+            if size[c]:
+                low, high = values[c, p]
+                part = p * (size[c] - 1) - math.floor(p * (size[c] - 1))
+                out[c][i] = low if part == 0 or low == high else low + (high - low) * part
+    return out
+
+
+def _closer(df: DataFrame, column: str, ranks: tuple[int, int], bracket: tuple[float, float], accuracy: int) -> tuple[float, float]:
+    """A narrower bracket of the ranks, from a sketch of the values inside this one."""
+    v, (low, high) = number_sql(df, column), bracket
+    if low == high:
+        return bracket
+    within = f"filter (where {v} between {literal(low)} and {literal(high)})"
+    steps = ", ".join(literal(k / 1000) for k in range(1001))
+    below, n, grid = df.selectExpr(f"count_if({v} < {literal(low)})", f"count({v}) {within}",
+                                   f"percentile_approx({v}, array({steps}), {accuracy}) {within}").first()
+    place = lambda k, side: min(1000, max(0, round(1000 * (k - below) / max(n, 1)) + 2 * side))
+    return grid[place(ranks[0], -1)], grid[place(ranks[1], 1)]
+
+
+def _pick(df: DataFrame, ranks: dict, brackets: dict) -> dict:
+    """The values at both ranks of each target whose bracket holds them, from one scan."""
+    intervals = sorted({(c, *brackets[c, p]) for c, p in ranks})
+    structs = []
     for i, (c, low, high) in enumerate(intervals):
-        v, bounds = number_sql(df, c), f"between {literal(low)} and {literal(high)}"
-        structs.append(f"if({v} {bounds}, struct({i} as interval, {v} as v{extra(v, low, high)}), null)")
-        tests.append(f"{quoted(c)} {bounds}")
-    names = sorted({c for c, _, _ in intervals})
-    return (df.filter(" or ".join(tests)).select(*[col(c) for c in names])
-            .selectExpr(f"inline(array({', '.join(structs)}))").filter("interval is not null"))
-
-
-def _wanted(intervals: list, span: dict) -> dict[int, list[int]]:
-    """Ranks looked for per interval, counted from its own start."""
-    return {i: sorted({k - s[2] for (c, k), s in span.items() if (c, s[0], s[1]) == iv})
-            for i, iv in enumerate(intervals)}
-
-
-def _rank_map(wanted: dict[int, list[int]]) -> str:
-    pairs = ", ".join(f"{i}, array({', '.join(f'{k}L' for k in ks)})" for i, ks in wanted.items())
-    return f"element_at(map({pairs}), interval)"
-
-
-def _pick(df: DataFrame, span: dict) -> dict:
-    """Sort intervals already known to be short and read the ranks off."""
-    intervals = _intervals(span)
-    wanted = _wanted(intervals, span)
-    rows = _cells(df, intervals).groupBy("interval").agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    found = rows.selectExpr("interval", f"transform({_rank_map(wanted)}, k -> get(vs, cast(k as int))) as found").collect()
-    picked = {r["interval"]: dict(zip(wanted[r["interval"]], r["found"])) for r in found}
-    return {(c, k): picked[intervals.index((c, s[0], s[1]))][k - s[2]] for (c, k), s in span.items()}
-
-
-def _narrow(df: DataFrame, span: dict, buckets: int) -> dict:
-    """One counting pass; returns the bucket that holds each rank."""
-    intervals = _intervals(span)
-
-    wanted = _wanted(intervals, span)
-
-    def bucket(v, low, high):
-        # halves keep the width finite for the widest doubles
-        place = f"({v} / 2 - {literal(low / 2)}) / {literal(high / 2 - low / 2)}"
-        return f", cast(floor({place} * {buckets - 1}) as int) as bucket"
-
-    counts = (_cells(df, intervals, bucket).groupBy("interval", "bucket")
-              .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
-    # at most `buckets` rows per interval
-    running = counts.withColumn("upto", F.sum("n").over(
-        Window.partitionBy("interval").orderBy("bucket")))
-    hits = running.filter(f"exists({_rank_map(wanted)}, k -> k < upto and k >= upto - n)").collect()
-    narrowed = {}
-    for (c, k), s in span.items():
-        i = intervals.index((c, s[0], s[1]))
-        hit = next(h for h in hits if h["interval"] == i and h["upto"] - h["n"] <= k - s[2] < h["upto"])
-        narrowed[(c, k)] = (hit["low"], hit["high"], s[2] + hit["upto"] - hit["n"], hit["n"])
-    return narrowed
+        v = number_sql(df, c)
+        # what lies below is one group per task
+        structs.append(f"if({v} <= {literal(high)}, struct({i} as interval, if({v} < {literal(low)}, null, {v}) as v), null)")
+    cells = df.selectExpr(f"inline(array({', '.join(structs)}))").filter("interval is not null")
+    counts = cells.groupBy("interval", "v").agg(F.count("*").alias("n"))
+    held = {r["interval"]: r for r in counts.groupBy("interval").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+        F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "n")))).alias("values")).collect()}
+    out = {}
+    for (c, p), (first, second) in ranks.items():
+        row = held.get(intervals.index((c, *brackets[c, p])))
+        if row is None or row["below"] > first:
+            continue
+        upto, got = row["below"], []
+        for cell in row["values"]:
+            upto += cell["n"]
+            while len(got) < 2 and (first, second)[len(got)] < upto:
+                got.append(cell["v"])
+        if len(got) == 2:
+            out[c, p] = tuple(got)
+    return out
 
 
 def iqr_fences(df: DataFrame, columns: list[str], multiplier: float = 1.5,

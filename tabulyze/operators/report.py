@@ -36,10 +36,9 @@ def dataset_summary(df: DataFrame, quality_score: float | None = None) -> DataFr
 
 
 def report_tables(df: DataFrame, risks: DataFrame) -> DataFrame:
-    """(section, position, name, detail, value): the printed cuts of each finding table."""
-    def cut(frame, section, order, rows, name, detail, value):
-        top = frame.orderBy(*order).limit(rows)
-        listed = top.agg(F.collect_list(F.struct(
+    """(section, position, name, detail, value): each finding table in printing order, whole."""
+    def cut(frame, section, order, name, detail, value):
+        listed = frame.agg(F.collect_list(F.struct(
             *[o.alias(f"o{i}") for i, o in enumerate(order)], name.alias("name"),
             detail.cast("string").alias("detail"), value.cast("double").alias("value"))).alias("rows"))
         keyed = listed.select(F.posexplode(F.array_sort("rows")).alias("position", "r"))
@@ -48,35 +47,36 @@ def report_tables(df: DataFrame, risks: DataFrame) -> DataFrame:
                             F.col("r.value").alias("value"))
     col = F.col
     frames = [
-        cut(missing_by_column(df, only_missing=True), "missing", [col("ordinal")], 12, col("column"),
+        cut(missing_by_column(df, only_missing=True), "missing", [col("ordinal")], col("column"),
             col("missing_count"), col("missing_pct")),
-        cut(descriptive.report_descriptives(df), "descriptive", [col("ordinal")], 10, col("column"),
+        cut(descriptive.report_descriptives(df), "descriptive", [col("ordinal")], col("column"),
             F.lit("mean"), col("mean"))]
     if len(numeric_columns(df)) >= 2:
         pairs = correlation.corr_labelled(df).withColumn("size", -F.abs("correlation"))
-        frames.append(cut(pairs, "correlation", [col("size"), col("feature_a"), col("feature_b")], 8,
+        frames.append(cut(pairs, "correlation", [col("size"), col("feature_a"), col("feature_b")],
                           F.concat_ws(" / ", "feature_a", "feature_b"), col("strength"), col("correlation")))
     ranked = risks.withColumn("sev", rules.ranked("severity", ["High", "Medium", "Low"]))
-    frames.append(cut(ranked, "risk", [col("sev"), col("category"), col("description")], 12, col("description"),
+    frames.append(cut(ranked, "risk", [col("sev"), col("category"), col("description")], col("description"),
                       col("severity"), F.lit(None)))
     numeric = numeric_columns(df)
     place = [numeric.index(c) if c in numeric else len(df.columns) + i for i, c in enumerate(df.columns)]
     inventory = null_counts(df).select("column", pick(place).alias("place"), "n").withColumn(
         "kind", F.when(col("place") < len(df.columns), "Numeric").otherwise("Categorical"))
-    frames.append(cut(inventory, "inventory", [col("place")], 24, col("column"), col("kind"), col("n")))
+    frames.append(cut(inventory, "inventory", [col("place")], col("column"), col("kind"), col("n")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
 
 
-def trend_bars(df: DataFrame, order: list[str], first: int = 15, fallback: int = 10) -> DataFrame:
-    """Last-step % change of the first KPIs; column means when no column has one."""
+def trend_bars(df: DataFrame, order: list[str], first: int | None = None, fallback: int | None = None) -> DataFrame:
+    """Last-step % change of the KPIs; column means when no column has one."""
     kpis = descriptive.kpi_by_column(df, order)
     with_change = F.max(F.col("pct_change_last").isNotNull()).over(_all_columns())
     rows = kpis.withColumn("has_change", with_change)
     value = F.when(F.col("has_change"), F.col("pct_change_last")).otherwise(F.col("mean"))
-    limit = F.when(F.col("has_change"), first).otherwise(fallback)
+    every = len(numeric_columns(df))
+    limit = F.when(F.col("has_change"), every if first is None else first).otherwise(every if fallback is None else fallback)
     return (rows.filter(F.col("ordinal") < limit).select("column", value.alias("value"))
             .filter(F.col("value").isNotNull()).withColumn("is_positive", F.col("value") >= 0))
 
@@ -122,10 +122,10 @@ def dashboard_context(df: DataFrame, found: Detection | None = None) -> DataFram
     frames = [facts.select("row_count", "col_count", "missing_pct", "duplicate_pct", "outlier_pct",
                            F.col("high_pairs").alias("high_corr_count"), F.col("direction").alias("trend_direction"),
                            F.col("pct_change").alias("trend_pct_change")), kpis,
-              _listed(rules.alerts_from(facts).limit(8).withColumn(
+              _listed(rules.alerts_from(facts).withColumn(
                   "rank", rules.ranked("severity", ["critical", "warning", "info"])), "alerts",
                       ["rank", "rule_no"], "severity", "category", "metric"),
-              _listed(missing_by_column(df, only_missing=True).orderBy("ordinal").limit(5), "top_missing",
+              _listed(missing_by_column(df, only_missing=True), "top_missing",
                       ["ordinal", "column"], "missing_pct")]
     if len(numeric) >= 2:
         pairs = correlation.corr_strongest(df, top=5, high=2.0, columns=numeric).withColumn("size", -F.abs("r"))
@@ -133,7 +133,7 @@ def dashboard_context(df: DataFrame, found: Detection | None = None) -> DataFram
     if numeric:
         skews = descriptive.skew_ranking(df, numeric, top=5).withColumn("size", -F.abs("skew"))
         frames.append(_listed(skews, "top_skewed", ["size", "column"], "skew"))
-        counts = anomalies.anomaly_counts(df, numeric).filter(F.col("count") > 0).orderBy("ordinal").limit(5)
+        counts = anomalies.anomaly_counts(df, numeric).filter(F.col("count") > 0)
         frames.append(_listed(counts, "anomaly_columns", ["ordinal", "column"], "count"))
     if found.metric and found.segment:
         for name, bottom in (("top_segment", False), ("bottom_segment", True)):

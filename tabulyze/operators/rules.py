@@ -59,7 +59,7 @@ def dashboard_facts(df: DataFrame, found: Detection | None = None) -> DataFrame:
             f"round(sum(outside) * 100.0D / {max(cells, 1)} * 100) / 100 as outlier_pct",
             f"least(sum(over) / {float(n_rows)}D, 1.0D) as pressure"))
     if len(numeric) >= 2:
-        frames.append(correlation.correlation_pairs(df, numeric, cap=25, means={c: facts[c]["mean"] for c in numeric})
+        frames.append(correlation.correlation_pairs(df, numeric, means={c: facts[c]["mean"] for c in numeric})
                       .selectExpr("count_if(abs(r) >= 0.75) as high_pairs"))
     if found.metric and found.segment:
         frames.append(segments.segment_concentration(df, found.segment, found.metric))
@@ -187,7 +187,7 @@ def risk_signals(df: DataFrame, quality_score: float | None = None, prior: DataF
 
 # --- hidden patterns and watch list --------------------------------------------------------
 
-def hidden_patterns(df: DataFrame, top: int = 12) -> DataFrame:
+def hidden_patterns(df: DataFrame, top: int | None = None) -> DataFrame:
     """Heavy tails, skew, variability, compressed quartiles and near-copies, high severity first."""
     columns = numeric_columns(df)
     qs = exact_quantiles(df, columns, [0.25, 0.75])
@@ -211,11 +211,12 @@ def hidden_patterns(df: DataFrame, top: int = 12) -> DataFrame:
             F.lit(len(rules)).alias("rule_no"), F.lit("Structural").alias("type"), F.lit("r").alias("metric"),
             F.abs("r").alias("value"), F.lit("high").alias("severity"))
         out = out.unionByName(copies)
-    return (out.orderBy(ranked("severity", ["high", "medium", "low"]), "type", "ordinal", "rule_no").limit(top)
+    out = out.orderBy(ranked("severity", ["high", "medium", "low"]), "type", "ordinal", "rule_no")
+    return ((out.limit(top) if top else out)
             .select("type", "column", "metric", rounded("value", 4).alias("value"), "severity"))
 
 
-def risk_watchlist(df: DataFrame, top: int = 15, text_columns: int = 5) -> DataFrame:
+def risk_watchlist(df: DataFrame, top: int | None = None, text_columns: int | None = None) -> DataFrame:
     """Concentration, volatility, anomaly, skew and missing-data risks, critical first."""
     level = lambda v, *limits: F.when(v > limits[0], limits[1]).otherwise(
         F.when(v > limits[2], limits[3]).otherwise("medium") if len(limits) > 2 else F.lit("medium"))
@@ -244,7 +245,8 @@ def risk_watchlist(df: DataFrame, top: int = 15, text_columns: int = 5) -> DataF
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    return (out.orderBy(ranked("severity", ["critical", "high", "medium", "low"]), "part", "ordinal").limit(top)
+    out = out.orderBy(ranked("severity", ["critical", "high", "medium", "low"]), "part", "ordinal")
+    return ((out.limit(top) if top else out)
             .drop("part", "ordinal"))
 
 

@@ -119,8 +119,8 @@ def event_counts_rolling(df: DataFrame, time: str, window: int = 7, window_rows:
 
 
 def sparkline_values(df: DataFrame, order: list[str], columns: list[str] | None = None, window: int = 20,
-                     cap: int = 8) -> DataFrame:
-    """(column, pos, value): the last filled values of the first numeric columns, oldest first."""
+                     cap: int | None = None) -> DataFrame:
+    """(column, pos, value): the last filled values of the numeric columns, oldest first."""
     columns = (numeric_columns(df) if columns is None else columns)[:cap]
     tail = edge_values(df, columns, order, window, last=True)
     size = F.max("rn").over(Window.partitionBy("ordinal"))   # at most `window` rows per column

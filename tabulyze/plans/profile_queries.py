@@ -199,7 +199,7 @@ def dataset_profile(t):
 
 @register("dataset_profile_mini", f"""
     select col as "column", count(*) as rows, 11 as columns, round(avg(v), 4) as mean
-    from ({LI}) where ordinal < 5 group by col""", "mean")
+    from ({LI}) group by col""", "mean")
 def dataset_profile_mini(t):
     return prf.mini_profile(t.lineitem)
 
@@ -481,7 +481,7 @@ def ols_line(t):
 
 
 @register("scatter_points", """
-    select event_id as key, n_rank as x, value as y, event_type as colour
+    select event_id as key, n_rank as x, value as y, event_type as colour, false as too_many_colours
     from (select event_id, user_id::double as n_rank, value, event_type from events)
     where value is not null""", "x y")
 def scatter_points(t):
@@ -493,8 +493,3 @@ def scatter_points(t):
       o_totalprice from orders""", "o_orderkey o_custkey o_totalprice")
 def scatter_matrix(t):
     return cor.scatter_matrix(t.orders, "o_orderkey")
-
-
-@register("scatter_sample")
-def scatter_sample(t):
-    return cor.scatter_points(t.lineitem, "l_quantity", "l_extendedprice", fraction=0.05)

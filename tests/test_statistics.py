@@ -78,7 +78,7 @@ def test_narrowed_quantiles_are_exact(spark, shape):
          "tiny": rng.random(n) * 1e-300, "negative": -rng.pareto(0.5, n)}[shape]
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": x[::-1] * 2})).repartition(5)
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
-    got = quantiles.exact_quantiles(df, ["x", "y"], probs, buffer_rows=0, pick_rows=50, buckets=16)
+    got = quantiles.exact_quantiles(df, ["x", "y"], probs, pick_rows=50, accuracy=100)
     assert got["x"] == pytest.approx(list(np.quantile(x, probs)), rel=1e-12)
     assert got["y"] == pytest.approx(list(np.quantile(x * 2, probs)), rel=1e-12)
 
