@@ -92,7 +92,7 @@ def candidate_edges(matched: DataFrame, sizes: DataFrame, rule: Rule) -> DataFra
 
     Tokens of few sets give pairs with the number of tokens they share; a pair needs as many
     as the smaller set asks for, less the frequent tokens both may share besides. Frequent
-    tokens connect their sets in a star.
+    tokens connect in a star those sets that could be similar by frequent tokens alone.
     """
     frequent = matched.where(F.col("sets") > SMALL)
     extra = frequent.groupBy("k").agg(F.count(F.lit(1)).alias("frequent"))
@@ -106,6 +106,9 @@ def candidate_edges(matched: DataFrame, sizes: DataFrame, rule: Rule) -> DataFra
     asked = F.least(rule.shared_column(F.col("n_a")), rule.shared_column(F.col("n_b")))
     near = (100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
     kept = joined.where(near & (F.col("c") + F.least("f_a", "f_b") >= asked)).select("a", "b")
+    # a set with fewer frequent tokens than any partner asks for is linked through others, which the pairs have
+    crowd = facts.where(F.col("frequent") >= rule.least_column(F.col("n"))).select("k")
+    frequent = frequent.join(crowd, "k", "left_semi")
     leaders = frequent.groupBy("token").agg(F.min("k").alias("a"))
     stars = frequent.join(leaders, "token").select("a", F.col("k").alias("b")).where("a <> b")
     return kept.unionAll(stars.distinct())
