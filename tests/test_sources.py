@@ -27,9 +27,9 @@ def test_quoted_cells(spark, tmp_path):
 def test_empty_and_absent_files_are_readable_errors(spark, tmp_path):
     path = tmp_path / "e.csv"
     path.write_text("a,b\n")
-    with pytest.raises(ValueError, match="zero rows"):
+    with pytest.raises(ValueError, match="no rows"):
         read_csv(spark, str(path))
-    with pytest.raises(ValueError, match="Failed to parse"):
+    with pytest.raises(ValueError, match="cannot read"):
         read_csv(spark, str(tmp_path / "absent.csv"))
 
 
@@ -39,3 +39,14 @@ def test_report_sink(spark, tmp_path):
     assert [spark.read.json(p).count() for p in paths] == [1, 1]
     with pytest.raises(ValueError):
         write_report({"one": df}, str(tmp_path), fmt="xls")
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path)).collect()) == [(1, "x\ny"), (2, "z")]
+
+
+def test_files_of_a_folder_keep_their_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("n,v\ncafé,1\n".encode())
+    (tmp_path / "b c.csv").write_bytes("n,v\nthé,2.5\n".encode("latin-1"))
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path)).collect()) == [("café", 1.0), ("thé", 2.5)]
