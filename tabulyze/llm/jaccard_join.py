@@ -145,22 +145,29 @@ def sets_of(rows: DataFrame, wanted: np.ndarray, rule: Rule) -> DataFrame:
 
 
 class Postings:
-    """Which sets have a token in their prefix."""
+    """Which sets have a token."""
 
-    def __init__(self, prefixes: list[np.ndarray]):
-        self.n = len(prefixes)
-        tokens = np.concatenate(prefixes)
-        owner = np.repeat(np.arange(self.n), [len(p) for p in prefixes])
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        ends = np.cumsum([len(s) for s in sets])
+        tokens = np.concatenate(sets)
         order = np.argsort(tokens, kind="stable")
-        self.owner = owner[order]
-        self.tokens, first = np.unique(tokens[order], return_index=True)
-        self.first = np.append(first, len(tokens))
-
-    def shared(self, prefix: np.ndarray) -> np.ndarray:
-        """How many of the tokens each set has."""
-        at = np.searchsorted(self.tokens, prefix)
-        parts = [self.owner[self.first[k]:self.first[k + 1]] for k in at if self.first[k + 1] - self.first[k] > 1]
-        return np.bincount(np.concatenate(parts), minlength=self.n) if parts else np.zeros(self.n, np.int64)
+        self.owner = np.repeat(np.arange(self.n), [len(s) for s in sets])[order]
+        counts = np.unique(tokens[order], return_counts=True)[1]
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+        # where each token of each set is listed, so that no lookup is needed later
+        self.code = np.empty(len(tokens), np.int64)
+        self.code[order] = np.repeat(np.arange(len(counts)), counts)
+        self.place = np.concatenate(([0], ends))
+        self.counts = counts
+
+    def shared(self, x: int) -> np.ndarray:
+        """How many tokens of set ``x`` each set has."""
+        code = self.code[self.place[x]:self.place[x + 1]]
+        code = code[self.counts[code] > 1]
+        if not len(code):
+            return np.zeros(self.n, np.int64)
+        return np.bincount(np.concatenate([self.owner[self.first[k]:self.first[k + 1]] for k in code]), minlength=self.n)
 
 
 def links_of(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule: Rule) -> list[tuple[int, int]]:
@@ -174,33 +181,28 @@ def links_of(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, rule: R
     first = [s[:rule.prefix(len(s))] for s in sets]
     second = []
     for s in sets:
-        other = mix(s, 3)
-        second.append(np.sort(other[np.argpartition(other, rule.prefix(len(s)) - 1)[:rule.prefix(len(s))]] if len(s) > 1 else other))
-    orders = [(first, Postings(first)), (second, Postings(second))]
+        other, size = mix(s, 3), rule.prefix(len(s))
+        second.append(np.partition(other, size - 1)[:size])
+    orders, whole = (Postings(first), Postings(second)), Postings(sets)
     group = np.arange(len(sets))
     across = side.min() != side.max()
     found = []
-    for x in range(len(sets)):
+    for x in range(len(sets) - 1):
         open_ = (group != group[x]) & (100 * np.minimum(n, n[x]) >= rule.percent * np.maximum(n, n[x]))
+        open_[:x + 1] = False
         if across:
             open_ &= side != side[x]
-        for prefixes, postings in orders:
+        for postings in orders:
             if not open_.any():
                 break
-            open_ &= postings.shared(prefixes[x]) >= np.minimum(asked, asked[x])
-        rest = np.flatnonzero(open_)
-        while len(rest):
-            upto = max(1, int(np.searchsorted(np.cumsum(n[rest]), 1_000_000)))
-            some, rest = rest[:upto], rest[upto:]
-            tokens = np.concatenate([sets[y] for y in some])
-            at = np.searchsorted(sets[x], tokens)
-            same = (sets[x][np.minimum(at, n[x] - 1)] == tokens).astype(np.int64)
-            both = np.add.reduceat(same, np.concatenate(([0], np.cumsum(n[some])[:-1])))
-            for y in some[100 * both >= rule.percent * (n[some] + n[x] - both)]:
-                if group[y] != group[x]:
-                    found.append((int(keys[x]), int(keys[y])))
-                    group[group == group[y]] = group[x]
-            rest = rest[group[rest] != group[x]]
+            open_ &= postings.shared(x) >= np.minimum(asked, asked[x])
+        if not open_.any():
+            continue
+        both = whole.shared(x)
+        for y in np.flatnonzero(open_ & (100 * both >= rule.percent * (n + n[x] - both))):
+            if group[y] != group[x]:
+                found.append((int(keys[x]), int(keys[y])))
+                group[group == group[y]] = group[x]
     return found
 
 
