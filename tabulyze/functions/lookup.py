@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000   # keys are at most 65 characters, so some 10 MB
-HOT_SHARE = 0.001          # a value above this share of rows is hot: at most 1,000 of them
+HOT_ROWS = 1_000_000       # rows of one value that may meet in a task
 SALTS = 64
 
 
@@ -14,15 +14,16 @@ def attach(df: DataFrame, lookup: DataFrame, key: str, size: float, total: int,
     """Left join of ``lookup`` (one row per ``key``) that no hot key can slow down.
 
     Up to ``BROADCAST_ROWS`` keys the dictionary is broadcast. Beyond that only
-    its hot keys are (``weight`` says how many rows each has); rows with a hot
-    or missing key are spread over salts instead of meeting in one task, and
-    the rest join by shuffle on keys that are cold by construction.
+    its hot keys are (``weight`` says how many rows each has): those with more
+    than ``HOT_ROWS`` rows, or than makes ``BROADCAST_ROWS`` such keys possible.
+    Rows with a hot or missing key are spread over salts instead of meeting in
+    one task, and the rest join by shuffle on keys that are cold by construction.
     """
     fields = [c for c in lookup.columns if c != key]
     if size <= BROADCAST_ROWS:
         return df.join(F.broadcast(lookup), key, "left")
-    hot = lookup.filter(F.col(weight) > HOT_SHARE * total)
-    cold = lookup.filter(F.col(weight) <= HOT_SHARE * total)
+    most = max(HOT_ROWS, total / max(BROADCAST_ROWS, 1))
+    hot, cold = lookup.filter(F.col(weight) > most), lookup.filter(F.col(weight) <= most)
     hot = F.broadcast(hot.select(key, F.struct(*fields).alias("__hot")))
     tagged = df.join(hot, key, "left")
     settled = F.col("__hot").isNotNull() | F.col(key).isNull()

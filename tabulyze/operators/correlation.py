@@ -6,32 +6,41 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulyze.functions.columns import clip, col, number, number_sql, numeric_columns, pick, rounded
+from tabulyze.functions.columns import clip, col, number, number_sql, numeric_columns, pick, quoted, rounded
 from tabulyze.operators.kernel import numeric_profile
 
 
-def pair_moments(df: DataFrame, columns: list[str], means: dict[str, float | None] | None = None) -> DataFrame:
+def pair_moments(df: DataFrame, columns: list[str], means: dict[str, float | None] | None = None,
+                 first_only: bool = False) -> DataFrame:
     """Sums over the rows where both columns are filled, one row per pair a < b.
 
     Every pair needs its own row mask, which as SQL aggregates means thousands
     of buffer slots for a wide table. Each Arrow batch gives the same sums as
     four matrix products, and tasks emit one small row per pair. Values are
     shifted by the column means first (``means`` if known), so the sums do not cancel.
+    ``first_only`` keeps the pairs of the first column. ``endless`` marks pairs that meet an
+    infinite value, which have no moments.
     """
     centre = ([means[c] for c in columns] if means is not None else
               df.selectExpr(*[f"avg({number_sql(df, c)}) as m{i}" for i, c in enumerate(columns)]).first())
-    shift = np.array([0.0 if m is None else m for m in centre])
-    a, b = np.triu_indices(len(columns), k=1)
-    names = ["n", "sa", "sb", "saa", "sbb", "sab"]
+    shift = np.array([0.0 if m is None or not np.isfinite(m) else m for m in centre])
+    if first_only:
+        a, b = np.zeros(len(columns) - 1, int), np.arange(1, len(columns))
+    else:
+        a, b = np.triu_indices(len(columns), k=1)
+    left = slice(0, 1) if first_only else slice(None)
+    names = ["n", "sa", "sb", "saa", "sbb", "sab", "endless"]
 
     def products(batches):
         total = None
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
             filled = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x, nan=0.0, posinf=np.inf, neginf=-np.inf)
-            count, sums, squares, cross = filled.T @ filled, x.T @ filled, (x * x).T @ filled, x.T @ x
-            part = np.array([count[a, b], sums[a, b], sums[b, a], squares[a, b], squares[b, a], cross[a, b]])
+            endless = np.isinf(x).astype(float)
+            x = np.where(np.isfinite(x), x, 0.0)
+            f, v = filled[:, left].T, x[:, left].T
+            part = np.array([(f @ filled)[a, b], (v @ filled)[a, b], (f @ x)[a, b], ((v * v) @ filled)[a, b],
+                             (f @ (x * x))[a, b], (v @ x)[a, b], (endless[:, left].T @ filled + f @ endless)[a, b]])
             total = part if total is None else total + part
         if total is not None:
             yield pa.RecordBatch.from_arrays(
@@ -47,12 +56,12 @@ def pair_moments(df: DataFrame, columns: list[str], means: dict[str, float | Non
                     (F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), "n")).alias("xx"),
                     (F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), "n")).alias("yy"),
                     (F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), "n")).alias("xy"),
-                    F.col("saa").alias("raw_xx"), F.col("sbb").alias("raw_yy")))
+                    F.col("saa").alias("raw_xx"), F.col("sbb").alias("raw_yy"), (F.col("endless") > 0).alias("endless")))
 
 
 def _spread(part: str, raw: str):
-    """A centred sum of squares, zero when only rounding noise is left."""
-    return F.when(F.col(part) > F.col(raw) * 1e-14, F.col(part))
+    """A centred sum of squares; none when only rounding noise is left, or with an infinite value."""
+    return F.when((F.col(part) > F.col(raw) * 1e-14) & ~F.col("endless"), F.col(part))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int | None = None,
@@ -124,14 +133,10 @@ def corr_heatmap(df: DataFrame, pairs: int = 15, features: int = 12) -> DataFram
     """Square matrix over the features named by the strongest pairs, 0 where a pair is not listed."""
     listed = corr_labelled(df, pairs).collect()   # at most `pairs` rows
     names = list(dict.fromkeys(n for r in listed[:20] for n in (r["feature_a"], r["feature_b"])))[:features]
-    long = (correlation_pairs(df).withColumn("r", rounded("r", 4)))
-    long = _strongest(long, pairs).select(F.inline(F.array(
-        F.struct(F.col("a"), F.col("b"), F.col("r")),
-        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("r")),
-        F.struct(F.col("a"), F.col("a").alias("b"), F.lit(1.0).alias("r")),
-        F.struct(F.col("b").alias("a"), F.col("b"), F.lit(1.0).alias("r")))))
-    return (long.filter(F.col("a").isin(names)).groupBy(F.col("a").alias("feature"))
-            .pivot("b", sorted(names)).agg(F.max("r")).na.fill(0.0))
+    r = {(x["feature_a"], x["feature_b"]): x["correlation"] for x in listed}
+    cell = lambda a, b: 1.0 if a == b else r.get((a, b), r.get((b, a), 0.0))
+    schema = ", ".join(["feature string", *[f"{quoted(n)} double" for n in sorted(names)]])
+    return df.sparkSession.createDataFrame([(a, *[cell(a, b) for b in sorted(names)]) for a in names], schema)
 
 
 def corr_top_abs(df: DataFrame, top: int = 5) -> DataFrame:
@@ -148,7 +153,7 @@ def key_drivers(df: DataFrame, target: str) -> DataFrame:
     """r and least-squares slope of the target on every other numeric column, strongest first."""
     columns = [target] + [c for c in numeric_columns(df) if c != target]
     # the target is ordinal 0, so it is side `a` of each of its pairs
-    pairs = pair_moments(df, columns).filter((F.col("a_ordinal") == 0) & (F.col("n") >= 2))
+    pairs = pair_moments(df, columns, first_only=True).filter(F.col("n") >= 2)
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
     slope = F.coalesce(F.try_divide(F.col("xy"), _spread("yy", "raw_yy")), F.lit(0.0))
     out = pairs.select(F.col("b").alias("column"), F.col("b_ordinal"), r.alias("r"), slope.alias("slope"))

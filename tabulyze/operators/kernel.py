@@ -98,15 +98,16 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .select(pick(columns).alias("column"), "ordinal", "n_rows", "n"))
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None,
-                 include_null: bool = False) -> DataFrame:
-    """(ordinal, value, n) over string columns, counted in one shuffle."""
+def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(ordinal, key, value, n) over string columns, counted in one shuffle by compact key.
+
+    ``value`` is the text itself where it is short and null where the key is a digest, so
+    long texts are not shuffled.
+    """
     columns = string_columns(df) if columns is None else columns
-    structs = [f"struct({i} as ordinal, cast({value_sql(df, c)} as string) as value)" for i, c in enumerate(columns)]
-    cells = df.selectExpr(f"inline(array({', '.join(structs)}))")
-    if not include_null:
-        cells = cells.filter(F.col("value").isNotNull())
-    return cells.groupBy("ordinal", "value").agg(F.count("*").alias("n"))
+    structs = [f"struct({i} as ordinal, {compact_sql(df, c)} as key, if(length({value_sql(df, c)}) > 64, null, {value_sql(df, c)}) as value)"
+               for i, c in enumerate(columns)]
+    return df.selectExpr(f"inline(array({', '.join(structs)}))").groupBy("ordinal", "key", "value").agg(F.count("*").alias("n"))
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None,
@@ -117,17 +118,33 @@ def top_values(df: DataFrame, columns: list[str] | None = None,
     distinct values of a column in one task.
     """
     columns = string_columns(df) if columns is None else columns
-    counts = value_counts(df, columns, include_null=True)
-    eligible = F.lit(True) if include_null else F.col("value").isNotNull()
-    rank = F.when(eligible, F.struct((-F.col("n")).alias("neg"), F.col("value")))
-    return (counts.groupBy("ordinal")
-            .agg(F.sum("n").alias("n_rows"),
-                 F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
-                 F.count("value").alias("n_distinct"),
-                 F.min(rank).alias("top"))
-            .select(pick(columns).alias("column"), "ordinal", "n_rows", "n",
-                    "n_distinct", F.col("top.value").alias("top_value"),
-                    F.coalesce(-F.col("top.neg"), F.lit(0)).alias("top_n")))
+    if len(columns) > WIDE:
+        return in_batches(columns, lambda batch: top_values(df, batch, include_null))
+    counts = value_counts(df, columns)
+    eligible = F.lit(True) if include_null else F.col("key").isNotNull()
+    facts = (counts.groupBy("ordinal")
+             .agg(F.sum("n").alias("n_rows"),
+                  F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
+                  F.count("key").alias("n_distinct"), F.coalesce(F.max(F.when(eligible, F.col("n"))), F.lit(0)).alias("top_n"),
+                  F.min(F.when(eligible, F.struct((-F.col("n")).alias("neg"), "value", "key"))).alias("top"),
+                  # a digest does not sort like its text: then the text itself must decide among equals
+                  F.max(F.when(eligible & F.col("key").startswith("#"), F.col("n"))).alias("long_n")))
+    out = facts.select(pick(columns).alias("column"), "ordinal", "n_rows", "n", "n_distinct",
+                       F.col("top.value").alias("top_value"), "top_n", ((F.col("long_n") == F.col("top_n")) & F.col("top.key").isNotNull()).alias("is_long"))
+    undecided = [r["ordinal"] for r in out.filter("is_long").select("ordinal").collect()]   # one row per column
+    if not undecided:
+        return out.drop("is_long")
+    texts = None
+    for i in undecided:
+        c = columns[i]
+        best = counts.filter((F.col("ordinal") == i) & eligible).groupBy("key").agg(F.sum("n").alias("n"))
+        best = best.join(facts.filter(F.col("ordinal") == i).select(F.col("top_n").alias("n")), "n", "left_semi").select("key")
+        cells = df.select(value(df, c).alias("text"), F.expr(compact_sql(df, c)).alias("key"))
+        won = cells.join(best, "key", "left_semi").agg(F.min("text").alias("long_value")).select(F.lit(i).alias("ordinal"), "long_value")
+        texts = won if texts is None else texts.unionAll(won)
+    joined = out.join(F.broadcast(texts), "ordinal", "left")   # one row per column
+    return joined.select("column", "ordinal", "n_rows", "n", "n_distinct",
+                         F.coalesce("long_value", "top_value").alias("top_value"), "top_n")
 
 
 # Spellings that make a two-valued column a boolean.

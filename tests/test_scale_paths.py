@@ -60,8 +60,8 @@ def test_lookup_beyond_broadcast(spark, monkeypatch):
     df = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null "
                                       "else concat('v', id % 600) end as s")
     want = sorted(map(tuple, features.frequency_encode(df).collect()), key=lambda r: r[0])
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(lookup, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(lookup, "HOT_ROWS", 200)
     out = features.frequency_encode(df)
     assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == want
     assert len(want) == 4000
