@@ -17,6 +17,7 @@ from tabulyze.functions.columns import literal, number_sql
 ACCURACY = 10_000         # a sketch's rank error is at most the column's size divided by this
 MARGIN = 3                # half width of a bracket, in such errors
 PICK_ROWS = 20_000        # values counted one by one
+GRID, GRID_SLACK = 1000, 2   # steps of a bracket sketched again, and how many are kept on either side
 WIDE_COLUMNS = 32         # columns handled together
 
 
@@ -54,8 +55,10 @@ def _quantiles(df: DataFrame, columns: list[str], probs: list[float], pick_rows:
             brackets[c, p] = (at[min(1.0, max(0.0, p - margin / accuracy))], at[min(1.0, max(0.0, p + margin / accuracy))]) \
                 if inside else (least, most)
             held = size[c] * 2 * (margin + 1) / accuracy
-            while inside and held > pick_rows:
-                brackets[c, p], held = _closer(df, c, ranks[c, p], brackets[c, p], accuracy), held * 2 * (margin + 1) / accuracy
+            slack = GRID_SLACK + math.ceil(2 * GRID / accuracy)
+            while inside and held > pick_rows and slack * 4 < GRID:
+                brackets[c, p] = _closer(df, c, ranks[c, p], brackets[c, p], accuracy, slack)
+                held *= (2 * slack + 1) / GRID
     values = _pick(df, ranks, brackets) if ranks else {}
     out = {}
     for c in columns:
@@ -72,16 +75,17 @@ def _quantiles(df: DataFrame, columns: list[str], probs: list[float], pick_rows:
     return out
 
 
-def _closer(df: DataFrame, column: str, ranks: tuple[int, int], bracket: tuple[float, float], accuracy: int) -> tuple[float, float]:
+def _closer(df: DataFrame, column: str, ranks: tuple[int, int], bracket: tuple[float, float], accuracy: int,
+            slack: int) -> tuple[float, float]:
     """A narrower bracket of the ranks, from a sketch of the values inside this one."""
     v, (low, high) = number_sql(df, column), bracket
     if low == high:
         return bracket
     within = f"filter (where {v} between {literal(low)} and {literal(high)})"
-    steps = ", ".join(literal(k / 1000) for k in range(1001))
+    steps = ", ".join(literal(k / GRID) for k in range(GRID + 1))
     below, n, grid = df.selectExpr(f"count_if({v} < {literal(low)})", f"count({v}) {within}",
                                    f"percentile_approx({v}, array({steps}), {accuracy}) {within}").first()
-    place = lambda k, side: min(1000, max(0, round(1000 * (k - below) / max(n, 1)) + 2 * side))
+    place = lambda k, side: min(GRID, max(0, round(GRID * (k - below) / max(n, 1)) + slack * side))
     return grid[place(ranks[0], -1)], grid[place(ranks[1], 1)]
 
 
