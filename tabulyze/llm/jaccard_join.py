@@ -21,7 +21,7 @@ from tabulyze.llm.stores import drop_stored, stored
 from tabulyze.llm.words import mix, shingle_rows
 
 SMALL = 16                  # tokens of at most so many sets give pairs, others join families
-BLOCK_SHINGLES = 2_000_000  # sets compared in one task hold about twice as many
+BLOCK_SHINGLES = 1_000_000  # sets compared in one task hold about twice as many
 FILTER_BITS = 1 << 26       # size of the broadcast filter of set keys, whatever the input
 
 

@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
-STEMS = (8, 7, 6, 5, 4)
-MEMO = 200_000
+STEMS = (7, 5, 4)
+MEMO = 50_000
+COUNTED_ROWS = 250    # texts whose tokens are counted before the counts leave the task
 
 
 @dataclass
@@ -98,18 +99,18 @@ def probability(evidence: float, model: ToxicityModel) -> float:
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = (Counter(), Counter())
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-            words = TOKEN.findall((text.as_py() or "").lower())
-            # a document counts once for each token, so one long document cannot make a word toxic
-            seen = set(words)
-            seen |= {stem for w in seen for stem in stems(w)}
-            counts[1 if toxic else 0].update(seen)
-            counts[1 if toxic else 0][""] += 1
-        names = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_pydict({
-            "token": names, "clean": pa.array([counts[0][w] for w in names], pa.int64()),
-            "toxic": pa.array([counts[1][w] for w in names], pa.int64())})
+        for start in range(0, batch.num_rows, COUNTED_ROWS):
+            part, counts = batch.slice(start, COUNTED_ROWS), (Counter(), Counter())
+            for text, toxic in zip(part.column("text"), part.column("toxic").to_pylist(), strict=True):
+                # a document counts once for each token, so one long document cannot make a word toxic
+                seen = set(TOKEN.findall((text.as_py() or "").lower()))
+                seen |= {stem for w in seen for stem in stems(w)}
+                counts[1 if toxic else 0].update(seen)
+                counts[1 if toxic else 0][""] += 1
+            names = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_pydict({
+                "token": names, "clean": pa.array([counts[0][w] for w in names], pa.int64()),
+                "toxic": pa.array([counts[1][w] for w in names], pa.int64())})
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
