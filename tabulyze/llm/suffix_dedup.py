@@ -195,12 +195,17 @@ def column_spans(strings: DataFrame, length: int) -> DataFrame:
 
 def counted_spans(strings: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many strings: windows are hashed and counted, so that
-    no task needs all strings of an anchor."""
+    no task needs all strings of an anchor.
+
+    A window may cover several anchors, or one at several places, and is in a string of each.
+    It is therefore counted at one column of one anchor, as in ``repeated_columns``, where
+    every occurrence is met once.
+    """
     span = length - KMER + 1
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, k, pos, lacking, s in zip(*(batch.column(c).to_pylist() for c in ("n", "k", "pos", "lacking", "string")), strict=True):
+            for a, n, k, pos, lacking, s in zip(*(batch.column(c).to_pylist() for c in ("a", "n", "k", "pos", "lacking", "string")), strict=True):
                 data = np.frombuffer(s, np.uint8)
                 starts = np.arange(len(data) - length + 1)
                 starts = starts[starts + lacking < span]
@@ -208,12 +213,14 @@ def counted_spans(strings: DataFrame, length: int) -> DataFrame:
                 raw = (sums[starts + length] - sums[starts]) * down[starts]
                 digest = [hashlib.blake2b(s[i:i + length], digest_size=8).digest() for i in starts]
                 yield pa.RecordBatch.from_pydict({
+                    "a": pa.array(np.full(len(starts), a)), "column": pa.array(lacking + starts),
                     "w1": pa.array(mix(raw, 6).view(np.int64)), "w2": pa.array(np.frombuffer(b"".join(digest), np.int64)),
                     "n": pa.array(np.full(len(starts), n)), "k": pa.array(np.full(len(starts), k)),
                     "first": pa.array(pos - span + 1 + lacking + starts)})
-    rows = strings.mapInArrow(windows, "w1 long, w2 long, n long, k long, first long")
-    often = rows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    return rows.where("n = 1").join(often, ["w1", "w2"]).select("k", "first", F.col("first").alias("last"))
+    rows = strings.mapInArrow(windows, "a long, column long, w1 long, w2 long, n long, k long, first long")
+    window = ["a", "column", "w1", "w2"]
+    often = rows.groupBy(*window).agg(F.sum("n").alias("all")).where("all > 1").select(*window)
+    return rows.where("n = 1").join(often, window).select("k", "first", F.col("first").alias("last"))
 
 
 def _kept(data: bytes, first: np.ndarray, last: np.ndarray, length: int) -> tuple[int, int, bytes]:

@@ -195,6 +195,20 @@ def test_repeat_edges(awkward, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_windows_over_two_hot_anchors_occur_once(spark):
+    """A passage shorter than a window with two anchors, in otherwise different documents, and
+    one anchor at many places of a run."""
+    passage = sentence(5240, 60)[:165]
+    rows = [(d, sentence(9000 + 2 * d, 60) + passage + sentence(9001 + 2 * d, 60)) for d in range(12)]
+    rows += [(20 + d, sentence(7000 + d, 40) + "-" * (150 + d) + sentence(7100 + d, 40)) for d in range(6)]
+    want = repeats(rows)
+    assert all(removed == 0 for _, _, removed, _, _ in want)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (50_000, 1):
+        got = suffix_dedup.remove_repeats(docs, hot=hot).drop("kept").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     text = sentence(7, 3000)
