@@ -104,7 +104,9 @@ group by d.r, b.r, doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9"
 
 def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows that contain no item, with all their columns."""
-    key = record_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+    # rows may share an id: each goes by its own text
+    body = F.col(f"`{text}`")
+    key = F.struct(record_key(F.col(f"`{doc_id}`"), body).alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("text"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"))
     found = contained_items(docs.select(key.alias("doc_id"), F.col(f"`{text}`").alias("text")), items, **rules)
     return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")

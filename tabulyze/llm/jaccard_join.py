@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tabulyze.llm.graph import components
+from tabulyze.llm.quality import NOT_SPACE
 from tabulyze.llm.stores import drop_stored, stored
 from tabulyze.llm.words import mix, shingle_rows
 
@@ -54,12 +55,25 @@ def record_key(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), mixed.bitwiseOR(F.lit(1 << 62)))
 
 
+def keyed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(k, id, text, row) of every row. ``id`` is the row's ``record_key``; ``k`` is the same,
+    but made from id and text where several rows have the id, so that no two texts share it."""
+    id_, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    ids = docs.where(id_.isNotNull()).groupBy(id_.cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    often = stored(ids.where("n > 1").select("id", F.lit(True).alias("often")), "often")
+    rows = docs.select(record_key(id_, body).alias("id"), body.alias("text"), F.struct("*").alias("row"))
+    if often.isEmpty():
+        return rows.select(F.col("id").alias("k"), "id", "text", "row")
+    own = F.xxhash64("id", F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    return rows.join(often, "id", "left").select(F.when(F.col("often"), own).otherwise(F.col("id")).alias("k"), "id", "text", "row")
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
 def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(k, n, g1, g2, prefix): size and hash of each set, and its prefix in the first order."""
+    """(k, id, n, g1, g2, prefix): size and hash of each set, and its prefix in the first order."""
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, g1, g2, prefix = [], [], [], []
@@ -70,9 +84,9 @@ def signatures(rows: DataFrame, rule: Rule) -> DataFrame:
                 prefix.append(_signed(own[:rule.prefix(len(own))]))
             sizes = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int64()), pa.array(g1, pa.int64()),
-                                              pa.array(g2, pa.int64()), lists], ["k", "n", "g1", "g2", "prefix"])
-    return rows.mapInArrow(signed, "k long, n long, g1 long, g2 long, prefix array<long>")
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("id"), pa.array(n, pa.int64()), pa.array(g1, pa.int64()),
+                                              pa.array(g2, pa.int64()), lists], ["k", "id", "n", "g1", "g2", "prefix"])
+    return rows.mapInArrow(signed, "k long, id long, n long, g1 long, g2 long, prefix array<long>")
 
 
 def matched_tokens(tokens: DataFrame, name: str) -> DataFrame:
@@ -239,22 +253,23 @@ def verified_links(sets: DataFrame, rule: Rule, partitions: int) -> DataFrame:
 
 def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80, width: int = 5,
                     block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(k, doc_id, n_shingles, component_id) for every row; ``k`` is the row's key.
+    """(k, doc_id, n_shingles, component_id, stay) for every row; ``k`` is the key of id and text.
 
-    ``component_id`` is the smallest key reachable by links. Null, empty and wordless texts
+    ``component_id`` is the smallest id reachable by links, ``stay`` the key of a row that has
+    it, which tells apart what is not linked but shares an id. Null, empty and wordless texts
     have no shingles and are linked with nothing; a text with fewer words than ``width`` has
     its word sequence as its one shingle; equal sets are linked, so repeated rows are; ids are
-    expected to be whole numbers below 2**62, and rows that share one are joined by the
-    smaller of their components; a null id gets a key from its text; an empty table gives no
+    expected to be whole numbers below 2**62, and rows that share one but not a text are
+    compared as any others; a null id gets a key from its text; an empty table gives no
     rows; other columns are not read.
     """
     rule = Rule(percent, width)
     spark = docs.sparkSession
-    id_, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    rows = docs.select(record_key(id_, body).alias("k"), body.alias("text"))
+    rows = keyed_rows(docs, doc_id, text).select("k", "id", "text")
     signed = stored(signatures(rows, rule), "signatures")
-    classes = stored(signed.where("n > 0").groupBy("g1", "g2").agg(F.min("k").alias("rep"), F.min("n").alias("n")), "classes")
-    sizes = classes.select(F.col("rep").alias("k"), "n").groupBy("k").agg(F.max("n").alias("n"))
+    classes = signed.where("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("id", "k")).alias("at"), F.min("n").alias("n"))
+    classes = stored(classes.select("g1", "g2", F.col("at.k").alias("rep"), F.col("at.id").alias("least"), "n"), "classes")
+    sizes = classes.select(F.col("rep").alias("k"), "n")
     once = matched_tokens(signed.select("k", F.explode("prefix").alias("token")), "matched")
     alive = living(once, sizes, rule)
     twice = matched_tokens(once.join(alive, "k", "left_semi").select("k", "token"), "matched")
@@ -274,20 +289,24 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = placed.select("k", "tokens", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                            F.col("own").alias("side"))
     links = stored(verified_links(placed, rule, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
-    joined = components(links).select(F.col("node").alias("rep"), "component")
-    named = classes.join(joined, "rep", "left").select("g1", "g2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("k", "n", "g1", "g2").join(named, ["g1", "g2"], "left")
-    return out.select("k", F.when(F.col("k") < F.lit(1 << 62), F.col("k")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "k").alias("component_id"))
+    joined = components(links).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep")
+    first = joined.groupBy("component").agg(F.min(F.struct("least", "rep")).alias("at"))
+    joined = joined.join(first, "component").select("rep", "at")
+    named = classes.join(joined, "rep", "left").select("g1", "g2", F.coalesce("at", F.struct("least", "rep")).alias("at"))
+    out = signed.select("k", "id", "n", "g1", "g2").join(named, ["g1", "g2"], "left")
+    return out.select("k", F.when(F.col("id") < F.lit(1 << 62), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                      F.coalesce("at.least", "id").alias("component_id"), F.coalesce("at.rep", "k").alias("stay"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
     """The rows that stay, with all their columns: of every group of linked documents the one
-    with the smallest key, and every document that is linked with nothing."""
+    with the smallest id, and every row that is linked with nothing, as those without words."""
     found = similar_classes(docs, doc_id, text, **rules)
-    stay = found.where("k = component_id").select(F.col("k").alias("key")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), record_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"))
+    stay = found.where("k = stay and n_shingles > 0").select(F.col("k").alias("key")).distinct()
+    keyed = keyed_rows(docs, doc_id, text)
+    words = F.coalesce("text", F.lit("")).rlike(NOT_SPACE)
+    rows = keyed.where(words).select("row", F.col("k").alias("key"))
     # repeated rows have one key: the join has already brought them together
     first = Window.partitionBy("key").orderBy(F.xxhash64(F.col("row")[text]))
     kept = rows.join(stay, "key", "left_semi").select("row", F.row_number().over(first).alias("place")).where("place = 1")
-    return kept.select("row.*")
+    return kept.select("row.*").unionAll(keyed.where(~words).select("row.*"))

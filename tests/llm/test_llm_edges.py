@@ -156,6 +156,21 @@ def test_jaccard_edges(awkward, nothing):
     assert [r.doc_id for r in stay.collect()].count(1) == 1
 
 
+def test_rows_that_share_an_id(spark):
+    a, b, c = sentence(31, 80), sentence(32, 300), sentence(33, 30)
+    rows = [(5, a), (5, b), (5, a), (7, a + " tail"), (8, c), (8, c + " tail"), (9, b), (10, c), (None, None), (None, ""), (None, " "), (6, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similar_classes(docs)
+    linked = {(r.doc_id, r.n_shingles, r.component_id) for r in got.where("n_shingles > 0").collect()}
+    assert linked == {(5, 76, 5), (5, 296, 5), (7, 77, 5), (8, 26, 8), (8, 27, 8), (9, 296, 5), (10, 26, 8)}
+    stay = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(docs).collect()), key=str)
+    assert len(stay) == 8 and {(5, a), (5, b)} < set(stay)
+    assert sum(i == 8 for i, _ in stay) == 1 and sum(not (t or "").strip() for _, t in stay) == 5
+    items = spark.createDataFrame([(1, sentence(31, 40))], "item_id long, text string")
+    free = decontaminate.without_items(docs, items).collect()
+    assert sorted(map(str, free)) == sorted(str(r) for r in docs.collect() if not (r.text or "").startswith(a))
+
+
 def test_large_families_in_slices(spark):
     """Near copies of a few texts, with frequent tokens, many verdicts near the limit, and blocks
     far smaller than the family."""
