@@ -1,6 +1,6 @@
 """Chat formatting: from records of any known layout to one marked-up text per conversation.
 
-A record is a VARIANT. The hash of its nested field paths picks a declarative mapping, the
+A record is a VARIANT. The hash of its field paths that mappings know picks a declarative mapping, the
 mapping reads the turns, and a template writes them with a loss mask. Built-in expressions
 only.
 """
@@ -42,24 +42,24 @@ MAPPINGS = (
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted leaf paths of a VARIANT, types left out: ``a.b``, ``list[].c``.
+    """The leaf paths of a VARIANT object, types left out: ``a``, ``list[].c``. Only lists of
+    objects are opened; null for other values."""
+    def leaves(entry: Column) -> Column:
+        objects = F.try_variant_get(entry["value"], "$", "array<map<string,variant>>")
+        names = F.array_distinct(F.flatten(F.transform(objects, lambda x: F.map_keys(x))))
+        opened = F.transform(names, lambda x: F.concat(entry["key"], F.lit("[]."), x))
+        return F.when(F.size(names) > 0, opened).otherwise(F.array(entry["key"]))
+    return F.flatten(F.transform(F.map_entries(F.try_variant_get(record, "$", "map<string,variant>")), leaves))
 
-    Levels below the second are written as the schema writes them, without types."""
-    shape = F.regexp_replace(F.schema_of_variant(record).cast("string"), r"`", "")
-    shape = F.regexp_replace(shape, r"ARRAY<OBJECT<([^<>]*)>>", "[$1]")
-    shape = F.regexp_replace(shape, r"^OBJECT<|>\z", "")
-    # "name: [a: STRING, b: STRING], other: STRING" -> one entry for each top field
-    entries = F.regexp_extract_all(shape, F.lit(r"[^,\[\]: ]+: (\[[^\]]*\]|[^,\[\]]+)"), F.lit(0))
 
-    def leaves(entry: Column) -> Column:
-        name = F.substring_index(entry, ": ", 1)
-        inner = F.regexp_extract_all(F.regexp_extract(entry, r"\[([^\]]*)\]", 1), F.lit(r"([^,: ]+):"), F.lit(1))
-        return F.when(F.size(inner) > 0, F.transform(inner, lambda x: F.concat(name, F.lit("[]."), x))).otherwise(F.array(name))
-    return F.array_join(F.array_sort(F.flatten(F.transform(entries, leaves))), ",")
+def used_paths(mappings: tuple[Mapping, ...]) -> Column:
+    """All paths that some mapping reads."""
+    return F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in m.schema.split(",")})])
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Hash of those paths of the record that some mapping reads; others do not count."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(field_paths(record), used_paths(mappings))), ","))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -81,20 +81,23 @@ def _mapped(record: Column, mapping: Mapping) -> Column:
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(conv_id, turn, role, text) of (conv_id, record).
+    """(conv_id, turn, role, text, raw) of (conv_id, record).
 
-    A record whose fingerprint no mapping has gives one row with a null role, so that it is
-    seen and not lost. Null texts are empty, unknown role names stay as they are.
+    A record whose fingerprint no mapping has gives one row with a null role. ``raw`` is the
+    whole record as JSON in that row, and in the first row of a record with fields that its
+    mapping does not read, so that nothing is lost; it is null in all other rows. Null texts are empty, unknown role names stay as they are.
     """
-    marked = records.select("conv_id", "record", fingerprint(F.col("record")).alias("print"))
+    other = F.size(F.array_except(field_paths(F.col("record")), used_paths(mappings))) > 0
+    marked = records.select("conv_id", "record", fingerprint(F.col("record"), mappings).alias("print"), other.alias("other"))
     turns = None
     for mapping in mappings:
         hit = F.col("print") == F.xxhash64(F.lit(mapping.schema))
         value = _mapped(F.col("record"), mapping)
         turns = F.when(hit, value) if turns is None else turns.when(hit, value)
     names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    rows = marked.select("conv_id", F.posexplode_outer(turns).alias("turn", "t"))
-    return rows.select("conv_id", "turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), "t.text")
+    rows = marked.select("conv_id", "record", "other", F.posexplode_outer(turns).alias("turn", "t"))
+    raw = F.when(F.col("turn").isNull() | F.col("other") & (F.col("turn") == 0), F.to_json("record"))
+    return rows.select("conv_id", "turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), "t.text", raw.alias("raw"))
 
 
 def escape(text: Column) -> Column:
@@ -107,7 +110,8 @@ def unescape(text: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_spans) of (conv_id, turn, role, text) rows.
+    """(conv_id, formatted, loss_spans) of (conv_id, turn, role, text) rows, and the list of
+    all ``raw`` values where the rows have that column.
 
     ``loss_spans`` are (first, length) in code points, in order. Nulls are empty texts;
     rows of a null conv_id form one conversation; equal turn numbers go by role, then text;
@@ -115,17 +119,19 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(blank("role")), F.lit("\n"), F.lit("%0A")), F.lit("\n"))
-    pieces = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), head.alias("head"),
+    held = ["raw"] if "raw" in turns.columns else []
+    pieces = turns.select("conv_id", *held, "turn", blank("role").alias("role"), blank("text").alias("text"), head.alias("head"),
                           escape(blank("text")).alias("body"))
     pieces = pieces.select("*", F.concat("head", "body", F.lit(END + "\n")).alias("piece"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0)) + F.length("head")
-    placed = pieces.select("conv_id", "piece", at.alias("at"),
+    placed = pieces.select("conv_id", *held, "piece", at.alias("at"),
                            F.when(F.col("role") == loss_role, F.length("body").cast("long")).alias("n"))
-    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "piece"))).alias("p"))
+    whole = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("at", "n", "piece"))).alias("p"), *[F.array_sort(F.collect_list(c)).alias(c) for c in held])
     return whole.select("conv_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"),
                         F.transform(F.filter("p", lambda x: x["n"].isNotNull()),
-                                    lambda x: F.struct(x["at"].alias("first"), x["n"].alias("length"))).alias("loss_spans"))
+                                    lambda x: F.struct(x["at"].alias("first"), x["n"].alias("length"))).alias("loss_spans"), *held)
 
 
 def read_turns(formatted: Column) -> Column:

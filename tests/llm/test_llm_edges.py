@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -118,6 +119,30 @@ def test_layouts_become_turns(spark):
     assert [got[k] for k in range(len(LAYOUTS))] == [want for _, want in LAYOUTS]
 
 
+MORE_FIELDS = [
+    ('{"id": 7, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "assistant", "content": "yo"}], "source": {"a": {"b": 1}}}',
+     [("user", "hi"), ("assistant", "yo")], True),
+    ('{"conversations": [{"from": "human", "value": "hi"}], "id": "k"}', [("user", "hi")], True),
+    ('{"prompt": "hi", "response": "yo"}', [("user", "hi"), ("assistant", "yo")], False),
+    ('{"completion": "yo", "prompt": "hi", "system": "be"}', [(None, None)], True),
+    ('{"messages": ["hi", {"role": "user", "content": "yo"}]}', [(None, None)], True),
+    ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "hi"}]}]}', None, False),
+    ('["hi"]', [(None, None)], True)]
+
+
+def test_no_field_of_a_record_is_lost(spark):
+    rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(MORE_FIELDS)], "conv_id long, j string")
+    turns = chat.canonical_turns(rows.select("conv_id", F.parse_json("j").alias("record"))).cache()
+    raw = {r.conv_id: r.raw for r in chat.format_chat(turns).collect()}
+    for k, (text, want, carried) in enumerate(MORE_FIELDS):
+        got = [(r.role, r.text) for r in turns.where(F.col("conv_id") == k).orderBy("turn").collect()]
+        if want is None:
+            assert len(got) == 1 and "hi" in got[0][1]
+        else:
+            assert got == want
+        assert [json.loads(r) for r in raw[k]] == ([json.loads(text)] if carried else [])
+
+
 def test_chat_round_trip(spark):
     texts = [chat.PLANTED, "100% <|x|> %7C %25 <%7C", "", None, "a\nb\\n<", "<|", "ünïcode <|im_end|>\n"]
     rows = [(1, k, ("user", "assistant", None, "odd\nrole %0A")[k % 4], t) for k, t in enumerate(texts)] + [(None, 0, "assistant", "x"), (2, 0, "user", "q")]
