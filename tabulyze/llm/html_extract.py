@@ -23,13 +23,14 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template title textarea select option button svg math iframe object head datalist".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
-OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
+OUTSIDE = frozenset("nav header footer aside menu dialog".split())
 INSIDE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
                       "breadcrumb breadcrumbs sidebar side widget footer header masthead toolbar pagination pager cookie cookies consent gdpr "
                       "notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended tags "
                       "comment comments commentlist reply replies respond disqus discussion skip search copyright legal disclaimer hidden".split())
+READERS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())   # prose of others
 GOOD_NAMES = frozenset("article content main post story entry body text".split())
 COMMENT_TITLES = re.compile(r"^(\d+ )?(comments?|responses|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?$", re.I)
 SENTENCE_END = re.compile(r"[.!?…][\"'”»)]*(\s|$)")
@@ -48,7 +49,12 @@ class Element:
     depth: int
     parent: "Element | None"
     outside: bool
-    inside: bool
+    inside: bool = False
+    named: bool = False    # a form, or a name that speaks against it
+    good: bool = False     # a name that speaks for it
+    readers: bool = False  # a name of reader comments, where prose tells nothing
+    within: bool = False   # in article or main markup
+    weight: float = 0.0    # odds taken from its text for such names
     titled: bool = False   # a heading of reader comments came before
 
 
@@ -67,12 +73,13 @@ class Node:
 
 
 def _names(attributes: str) -> tuple[set[str], bool]:
-    """Parts of class, id and role, and whether the element is hidden."""
+    """Parts of class, id and role, and whether the element is hidden or, by a whole name, of readers."""
     parts, hidden = set(), False
     for match in ATTRIBUTE.finditer(attributes):
         name, value = match[1].lower(), (match[2] or "").strip("\"'").lower()
         if name in ("class", "id", "role"):
             parts.update(NAME_PART.findall(value))
+            hidden = hidden or not READERS.isdisjoint(value.split())
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
     return parts, hidden
@@ -81,7 +88,8 @@ def _names(attributes: str) -> tuple[set[str], bool]:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Open elements close with their parents, and a paragraph or
     list item also at the next one, as browsers do."""
-    root = Element("", 0, 0, None, False, False)
+    root = Element("", 0, 0, None, False)
+    elements = [root]
     top, count = root, 0
     found: list[Block] = []
     parts: list[str] = []
@@ -139,22 +147,60 @@ def blocks_of(page: str) -> list[Block]:
         if top.tag == "p" or tag == top.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
             top = top.parent
         names, hidden = _names(attributes) if attributes else ((), False)
-        bad = hidden or tag in OUTSIDE or not BAD_NAMES.isdisjoint(names)
-        good = tag in INSIDE or not bad and not GOOD_NAMES.isdisjoint(names)
+        out, page_wide = hidden or tag in OUTSIDE, tag in ("html", "body")
+        named = tag == "form" or not BAD_NAMES.isdisjoint(names)
         count += 1
-        element = Element(tag, count, top.depth + 1, top, top.outside or bad and tag not in ("html", "body"), top.inside or good)
+        element = Element(tag, count, top.depth + 1, top, top.outside or out and not page_wide)
         element.outside |= top.titled
+        element.named = named and not page_wide
+        element.good = not out and not (named and page_wide) and not GOOD_NAMES.isdisjoint(names)
+        element.readers = tag not in INSIDE and not READERS.isdisjoint(names)
+        elements.append(element)
         if tag not in VOID:
             top = element
     flush()
+    _weigh(elements, found)
     return found
 
 
+def _weigh(elements: list[Element], blocks: list[Block]) -> None:
+    """What forms and names take from the odds of the text in them.
+
+    Nothing, where the element holds most of the page's unlinked text, also of that in article
+    or main markup if there is any. Otherwise as much as
+    keeps any block out, less a share for long sentences without links, which counts twice
+    in article or main markup; only there can a block outweigh it.
+    """
+    plain, marked, prose, long_ = ([0] * len(elements) for _ in range(4))
+    for e in elements[1:]:
+        e.within = e.parent.within or e.tag in INSIDE
+    for block in blocks:
+        e, n = block.element, max(0, len(block.text) - block.linked)
+        if e.outside or e.parent is not None and e.parent.titled:
+            continue
+        plain[e.number] += n
+        marked[e.number] += n if e.within else 0
+        if not block.linked and SENTENCE_END.search(block.text):
+            prose[e.number] += n if n >= 80 else 0
+            long_[e.number] += n if n >= 200 else 0
+    for e in reversed(elements[1:]):       # children follow their parents
+        for sums in (plain, marked, prose, long_):
+            sums[e.parent.number] += sums[e.number]
+    for e in elements[1:]:
+        markup, own, k = e.tag in INSIDE, 0.0, e.number
+        most = 2 * plain[k] > plain[0] and 2 * marked[k] >= marked[0]
+        if e.named and not most:
+            share = 0.0 if e.readers or not plain[k] else (prose if markup else long_)[k] / plain[k]
+            own = 12.0 - (9.0 if e.within else 4.5) * share
+        e.weight = min(12.0, e.parent.weight + own)
+        e.inside = e.parent.inside or markup or e.good and not own
+
+
 def _score(block: Block) -> float:
     """Log odds of content, from markup and text. The weights are set, not learned: pages
     carry no labels."""
     e, text = block.element, block.text
-    odds = -0.6 + (3.0 if e.inside else 0.0) - (12.0 if e.outside or e.parent is not None and e.parent.titled else 0.0)
+    odds = -0.6 + (3.0 if e.inside else 0.0) - (12.0 if e.outside or e.parent is not None and e.parent.titled else e.weight)
     odds += min(2.5, len(text) / 80)
     odds += 1.2 if SENTENCE_END.search(text) else -0.8
     odds -= 4.0 * min(1.0, block.linked / len(text))
@@ -168,7 +214,7 @@ def _score(block: Block) -> float:
 def _joined(a: Block, b: Block) -> bool:
     """Blocks that get one label: both outside or both not, children of one parent."""
     x, y = a.element, b.element
-    return x.outside == y.outside and x.inside == y.inside and (x is y or x.parent is y.parent and x.parent is not None and x.tag[:1] == y.tag[:1])
+    return x.outside == y.outside and x.inside == y.inside and x.weight == y.weight and (x is y or x.parent is y.parent and x.parent is not None and x.tag[:1] == y.tag[:1])
 
 
 def graph_of(blocks: list[Block]) -> tuple[list[Node], list[tuple[int, int, int]]]:

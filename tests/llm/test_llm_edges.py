@@ -293,6 +293,25 @@ def test_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_names_that_articles_have_too():
+    long_ = "This paragraph tells a story in plain words, and it goes on for a while, so that nobody takes it for a menu. " * 2
+    body = f"<h1>A title</h1><p>{long_}</p><p>{long_}</p>"
+    want = "\n\n".join(["A title", long_.strip(), long_.strip()])
+    menu = "<nav><a href=x>Home</a></nav><div class=sidebar><p>Read also this one. It is short.</p></div><footer>c 2020</footer>"
+    ads = "<div class='ad'>Buy now.</div><form><label>Name</label></form>"
+    plain = html_extract.extract(f"<html><body><div>{body}{menu}</div></body></html>")      # as without the name
+    assert plain.count(long_.strip()) == 2
+    for page in (f"<div class='page has-sidebar'>{body}{menu}</div>", f"<form action=y>{body}{menu}</form>"):
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == plain
+    for page in (f"<article class='post tags-x'>{body}</article>{menu}", f"<div id=content>{body}{ads}</div>{menu}",
+                 f"<main><div class=social>{body}</div></main>{menu}"):
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == want
+    post = f"<article class='post tags-x'>{body}</article>"      # none holds most of the page
+    assert html_extract.extract(post * 3) == "\n\n".join([want] * 3)
+    readers = f"<div class='comments'><article class='comment'><p>{long_}</p></article></div><div class='comment-list'><p>{long_}</p></div>"
+    assert html_extract.extract(f"<article>{body}{body}{ads}{readers}</article><div class=sidebar><p>{long_}</p></div>{menu}") == "\n\n".join([want] * 2)
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(3)
     for _ in range(60):
