@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulyze.llm import chat, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
+from tabulyze.llm import (chat, decontaminate, html_extract, jaccard_join, language_id, mixing, quality, sharding, simhash, spelling,
+                          suffix_dedup, toxicity, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +98,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_repeated_strings")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op11_vector_codes", vector_codes.VECTOR_CODES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query("op12_simhash_classes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_forms")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, sf_dir, "documents"))
