@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabulyze.functions.columns import (
     clip, col, columns_of, number, numeric_columns, rounded, side_by_side, string_columns, value)
-from tabulyze.functions.storage import materialise
+from tabulyze.functions import lookup
+from tabulyze.functions.storage import written
 from tabulyze.operators import profiling
-from tabulyze.operators.kernel import null_counts, row_counts, top_values
+from tabulyze.operators.kernel import null_counts, row_counts, row_fingerprint_sql, top_values
 from tabulyze.operators.quantiles import exact_quantiles, iqr_fences
 from tabulyze.operators.typing import promote_majority, promote_strict
 
@@ -39,7 +40,7 @@ def _medians(df: DataFrame) -> dict[str, float | None]:
 def impute_median_unknown(df: DataFrame, strategy: str = "auto") -> DataFrame:
     """Numeric gaps take the median, text gaps ``Unknown``; other types stay."""
     if strategy != "auto":
-        raise ValueError(f"Unknown strategy {strategy!r}.  Supported values: 'auto'.")
+        raise ValueError(f"strategy {strategy!r} is not built: gaps are filled by 'auto' only")
     return _filled(df, _medians(df), {c: "Unknown" for c in string_columns(df)})
 
 
@@ -51,8 +52,26 @@ def impute_median_mode(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """Distinct rows; nulls compare equal, and NaN is a null."""
-    return df.select(*[value(df, c).alias(c) for c in df.columns]).dropDuplicates()
+    """Distinct rows; nulls compare equal, and NaN is a null.
+
+    Fingerprints find the rows that occur more than once, so 16 bytes a row are shuffled. While
+    these rows' fingerprints are few, all others pass as they are and only the repeated rows meet;
+    beyond that all rows meet in a shuffle whose map side drops what repeats within a task.
+    """
+    cells = [value(df, c).alias(c) for c in df.columns]
+    hashes = [F.expr(h).alias(f"__h{i}") for i, h in enumerate(row_fingerprint_sql(df), 1)]
+    repeated = df.select(*hashes).groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    repeated = written(repeated, "repeated_rows")
+    many = repeated.count()
+    if many == 0:
+        return df.select(*cells)
+    if many > lookup.BROADCAST_ROWS:
+        return df.select(*cells).dropDuplicates()
+    # rows are hashed as they were given, before NaN becomes a null
+    rows = df.select(*cells, *hashes)
+    once = rows.join(F.broadcast(repeated), ["__h1", "__h2"], "left_anti").select(*map(col, df.columns))
+    again = rows.join(F.broadcast(repeated), ["__h1", "__h2"], "left_semi").select(*map(col, df.columns))
+    return once.unionAll(again.dropDuplicates())
 
 
 def cap_outliers(df: DataFrame, iqr_multiplier: float = 1.5) -> DataFrame:
@@ -82,12 +101,12 @@ def clean_strict(df: DataFrame) -> DataFrame:
 
     The de-duplicated rows are written once: the fences and the result both read them.
     """
-    return cap_outliers(materialise(dedupe(impute_median_unknown(promote_strict(df)))))
+    return cap_outliers(written(dedupe(impute_median_unknown(promote_strict(df))), "distinct_rows"))
 
 
 def clean_app(df: DataFrame) -> DataFrame:
     """Drop duplicates, promote types by majority, impute with median and mode."""
-    return impute_median_mode(promote_majority(materialise(dedupe(df))))
+    return impute_median_mode(promote_majority(written(dedupe(df), "distinct_rows")))
 
 
 def quality_before_after(df: DataFrame) -> DataFrame:
@@ -97,7 +116,7 @@ def quality_before_after(df: DataFrame) -> DataFrame:
         return profiling.quality_score_app(frame).select(F.inline(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.col(m).alias(name), F.lit(better).alias("lower_is_better"))
             for m, better in lower.items()])))
-    after = long(materialise(clean_app(df)), "after").drop("lower_is_better")
+    after = long(written(clean_app(df), "clean_rows"), "after").drop("lower_is_better")
     delta = rounded(F.col("after") - F.col("before"), 2)
     return (long(df, "before").join(F.broadcast(after), "metric")   # four rows
             .select("metric", "before", "after", delta.alias("delta"),

@@ -78,14 +78,19 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, cap: int
     if len(columns) < 2:
         return df.sparkSession.createDataFrame(
             [], "a string, b string, a_ordinal int, b_ordinal int, n long, r double")
+    return with_r(pair_moments(df, columns, means))
+
+
+def with_r(moments: DataFrame) -> DataFrame:
+    """(a, b, a_ordinal, b_ordinal, n, r) of ``pair_moments``; pairs with a constant side are left out."""
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
-    return (pair_moments(df, columns, means)
-            .select("a", "b", "a_ordinal", "b_ordinal", "n",
-                    F.when(F.col("n") > 1, clip(r, F.lit(-1.0), F.lit(1.0))).alias("r"))
+    return (moments.select("a", "b", "a_ordinal", "b_ordinal", "n",
+                           F.when(F.col("n") > 1, clip(r, F.lit(-1.0), F.lit(1.0))).alias("r"))
             .filter(F.col("r").isNotNull()))
 
 
-def _strongest(pairs: DataFrame, top: int | None) -> DataFrame:
+def strongest(pairs: DataFrame, top: int | None) -> DataFrame:
+    """Pairs by the size of r, the earlier columns first among equals."""
     ranked = pairs.orderBy(F.abs("r").desc(), "a_ordinal", "b_ordinal")
     return ranked.limit(top) if top else ranked
 
@@ -105,7 +110,7 @@ def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int |
     """The strongest pairs, and every pair at or above ``high``, with both flags."""
     pairs = correlation_pairs(df, columns, cap=cap).select(
         "a", "b", "a_ordinal", "b_ordinal", F.col("r"), (F.abs("r") >= high).alias("is_high"))
-    best = _strongest(pairs, top).select("a", "b", F.lit(True).alias("is_top"))
+    best = strongest(pairs, top).select("a", "b", F.lit(True).alias("is_top"))
     return (pairs.join(F.broadcast(best), ["a", "b"], "left")   # at most `top` rows
             .filter(F.col("is_top") | F.col("is_high"))
             .select("a", "b", rounded("r", 4).alias("r"), F.coalesce("is_top", F.lit(False)).alias("is_top"),
@@ -115,7 +120,7 @@ def corr_strongest(df: DataFrame, top: int = 10, high: float = 0.75, cap: int |
 def corr_top(df: DataFrame, top: int = 5, cap: int | None = None) -> DataFrame:
     """The strongest pairs by the size of r rounded to four places."""
     pairs = correlation_pairs(df, cap=cap).withColumn("r", rounded("r", 4))
-    return _strongest(pairs, top).select(F.col("a").alias("col_a"), F.col("b").alias("col_b"),
+    return strongest(pairs, top).select(F.col("a").alias("col_a"), F.col("b").alias("col_b"),
                                          F.col("r").alias("correlation"))
 
 
@@ -123,7 +128,7 @@ def corr_labelled(df: DataFrame, top: int = 15) -> DataFrame:
     """The strongest pairs with a strength label."""
     pairs = correlation_pairs(df).withColumn("r", rounded("r", 4))
     size = F.abs("r")
-    return _strongest(pairs, top).select(
+    return strongest(pairs, top).select(
         F.col("a").alias("feature_a"), F.col("b").alias("feature_b"), F.col("r").alias("correlation"),
         F.when(size >= 0.8, "Very Strong").when(size >= 0.6, "Strong").when(size >= 0.4, "Moderate")
         .when(size >= 0.2, "Weak").otherwise("Negligible").alias("strength"))
@@ -140,7 +145,7 @@ def corr_heatmap(df: DataFrame, pairs: int = 15, features: int = 12) -> DataFram
 
 
 def corr_top_abs(df: DataFrame, top: int = 5) -> DataFrame:
-    return _strongest(correlation_pairs(df), top).select(
+    return strongest(correlation_pairs(df), top).select(
         F.col("a").alias("col_a"), F.col("b").alias("col_b"), rounded(F.abs("r"), 4).alias("abs_r"))
 
 
@@ -153,7 +158,12 @@ def key_drivers(df: DataFrame, target: str) -> DataFrame:
     """r and least-squares slope of the target on every other numeric column, strongest first."""
     columns = [target] + [c for c in numeric_columns(df) if c != target]
     # the target is ordinal 0, so it is side `a` of each of its pairs
-    pairs = pair_moments(df, columns, first_only=True).filter(F.col("n") >= 2)
+    return drivers_of(pair_moments(df, columns, first_only=True))
+
+
+def drivers_of(moments: DataFrame) -> DataFrame:
+    """The drivers from ``pair_moments`` whose side ``a`` is the target."""
+    pairs = moments.filter(F.col("n") >= 2)
     r = F.try_divide(F.col("xy"), F.sqrt(_spread("xx", "raw_xx")) * F.sqrt(_spread("yy", "raw_yy")))
     slope = F.coalesce(F.try_divide(F.col("xy"), _spread("yy", "raw_yy")), F.lit(0.0))
     out = pairs.select(F.col("b").alias("column"), F.col("b_ordinal"), r.alias("r"), slope.alias("slope"))

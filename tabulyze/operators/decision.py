@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import numeric_columns, rounded
 from tabulyze.functions.lookup import attach
-from tabulyze.operators.forecast import volatility
+from tabulyze.functions.storage import discard, written
+from tabulyze.operators.forecast import best, models, volatility
 from tabulyze.operators.kernel import numeric_profile
 from tabulyze.operators.rules import fired
 
@@ -47,6 +48,20 @@ def risk_projection(forecasts: DataFrame, pressure: DataFrame, concentration: fl
             .withColumn("stability_score", _within((1 - instability / 3) * 10, 0, 10)))
 
 
+def staged_risk(frame: DataFrame, df: DataFrame, horizon: int = 6) -> DataFrame:
+    """The ``risk_projection`` of every series of ``frame``, written once: one row per series that
+    scenarios, signals, scorecards and records read without fitting anything again.
+
+    The series are fitted once, too: the fits are written, and gone when the risks are.
+    ``df`` is the table whose numeric columns tell the concentration of the variance.
+    """
+    fits = written(models(frame), "fits")
+    concentration = variance_concentration(df).first()["concentration_risk"]
+    risk = written(risk_projection(best(fits, horizon), two_sigma_shares(frame, fits), concentration), "risk")
+    discard(fits)
+    return risk
+
+
 def _within(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tabulyze.functions import lookup
 from tabulyze.functions.columns import (
-    columns_of, compact, datetime_columns, col, number, numeric_columns)
-from tabulyze.functions.lookup import attach
+    col, columns_of, compact_sql, datetime_columns, number, numeric_columns, pick)
+from tabulyze.functions.storage import written
 from tabulyze.operators.kernel import null_counts, numeric_profile
 
 PARTS = {"year": F.year, "month": F.month, "weekday": F.weekday, "quarter": F.quarter}
@@ -47,22 +48,59 @@ def log1p_columns(df: DataFrame) -> DataFrame:
     return df.select("*", *[e for c in numeric_columns(df) for e in _log(df, c, facts[c])])
 
 
+def dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ordinal, key, n) for every value of every column, written once from one scan.
+
+    A key is the cell's compact text; a task adds up equal cells before it sends them.
+    """
+    cells = [f"struct({i} as ordinal, cast({compact_sql(df, c)} as string) as key)" for i, c in enumerate(columns)]
+    counts = df.selectExpr(f"inline(array({', '.join(cells)}))").filter("key is not null")
+    return written(counts.groupBy("ordinal", "key").agg(F.count("*").alias("n")), "dictionary")
+
+
 def frequency_encode(df: DataFrame) -> DataFrame:
-    """Share of each categorical value among the filled cells of its column."""
+    """Share of each categorical value among the filled cells of its column.
+
+    One dictionary holds the values of all columns. The smallest columns, as many as fit into
+    ``BROADCAST_ROWS`` values together, are looked up in place; the cells of all others
+    go through one salted join, so a wide row is shuffled once at most.
+    """
     columns = columns_of(df, "string", "boolean", "other")
     if not columns:
         return df
-    sizes = df.agg(*[f for i, c in enumerate(columns) for f in (
-        F.count(col(c)).alias(f"n{i}"), F.approx_count_distinct(compact(df, c)).alias(f"d{i}"))]).first()
-    out = df
-    for i, c in enumerate(columns):
-        total = sizes[f"n{i}"]
-        lookup = (df.filter(col(c).isNotNull()).groupBy(compact(df, c).alias("__value"))
-                  .agg(F.count("*").alias("__n"))
-                  .select("__value", "__n", (F.col("__n") / F.lit(float(max(total, 1)))).alias(f"{c}_freq_enc")))
-        out = attach(out.withColumn("__value", compact(df, c)), lookup, "__value", sizes[f"d{i}"], total, "__n"
-                     ).drop("__value", "__n")
-    return out
+    counted = dictionary(df, columns)
+    sizes = {r["ordinal"]: r for r in counted.groupBy("ordinal").agg(
+        F.count("*").alias("d"), F.sum("n").alias("n")).collect()}   # one row per column
+    totals = [float(sizes[i]["n"]) if i in sizes else 1.0 for i in range(len(columns))]
+    shares = counted.select("ordinal", "key", "n", (F.col("n") / pick(totals)).alias("share"))
+    small, packed = [], 0
+    for i in sorted(range(len(columns)), key=lambda i: sizes[i]["d"] if i in sizes else 0):
+        packed += sizes[i]["d"] if i in sizes else 0
+        if packed <= lookup.BROADCAST_ROWS:
+            small.append(i)
+    large = [i for i in range(len(columns)) if i not in small]
+    names = {i: f"{c}_freq_enc" for i, c in enumerate(columns)}
+    out = _looked_up(df, columns, shares, large, sizes) if large else df
+    for i in small:
+        own = shares.filter(F.col("ordinal") == i).select(F.col("key").alias(f"__k{i}"), F.col("share").alias(names[i]))
+        out = out.withColumn(f"__k{i}", F.expr(f"cast({compact_sql(df, columns[i])} as string)"))
+        out = out.join(F.broadcast(own), f"__k{i}", "left").drop(f"__k{i}")   # within the packed size
+    return out.select(*map(col, df.columns), *[col(names[i]) for i in range(len(columns))])
+
+
+def _looked_up(df: DataFrame, columns: list[str], shares: DataFrame, large: list[int], sizes: dict) -> DataFrame:
+    """The rows with the shares of the ``large`` columns, whose cells are joined all together."""
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "numbered_rows")
+    tagged = lambda i, key: f"concat('{i}:', {key})"
+    cells = rows.select("__row", F.expr("inline(array(" + ", ".join(
+        f"struct({i} as ordinal, {tagged(i, f'cast({compact_sql(df, columns[i])} as string)')} as cell)" for i in large) + "))"))
+    own = shares.filter(F.col("ordinal").isin(large)).select(
+        F.concat(F.col("ordinal").cast("string"), F.lit(":"), "key").alias("cell"), "n", "share")
+    size, total = (sum(sizes[i][k] for i in large) for k in ("d", "n"))
+    found = lookup.attach(cells.filter("cell is not null"), own, "cell", size, total)
+    wide = found.groupBy("__row").agg(*[F.max(F.when(F.col("ordinal") == i, F.col("share"))).alias(f"{columns[i]}_freq_enc")
+                                        for i in large])
+    return rows.join(wide, "__row", "left").drop("__row")
 
 
 def all_features(df: DataFrame) -> DataFrame:

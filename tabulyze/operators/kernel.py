@@ -8,11 +8,14 @@ one partial row per column and task in the shuffle, however wide the table is.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabulyze.functions.columns import (
-    INTEGER_TYPES, col, compact_sql, kind, literal, number_sql, numeric_columns, pick, string_columns, value, value_sql)
+    FLOAT_TYPES, INTEGER_TYPES, col, compact_sql, kind, literal, number_sql, numeric_columns, pick, string_columns, value, value_sql)
 from tabulyze.functions.moments import adjusted_kurtosis_sql, adjusted_skewness_sql
 
 
@@ -47,17 +50,18 @@ def outside_fences(fences: dict):
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dict | None = None,
-                    shape: bool = True) -> DataFrame:
+                    shape: bool = True, sketch: str | None = None) -> DataFrame:
     """One row per numeric column: counts, moments, extremes and missing share.
 
     ``fences`` (from ``iqr_fences``) adds ``outliers``, the number of values
-    outside them. ``shape=False`` leaves out skewness and kurtosis.
+    outside them. ``shape=False`` leaves out skewness and kurtosis. ``sketch`` is SQL text of an
+    aggregate of ``v`` that is kept under this name.
     """
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], _PROFILE_SCHEMA)
     if len(columns) > WIDE:
-        return in_batches(columns, lambda batch: numeric_profile(df, batch, fences, shape))
+        return in_batches(columns, lambda batch: numeric_profile(df, batch, fences, shape, sketch))
     stats = ["count(1) as n_rows", "count(v) as n", "avg(v) as mean", "var_samp(v) as variance",
              "min(v) as min", "max(v) as max"]
     out = ["ordinal", "n_rows", "n", "mean", "sqrt(variance) as std", "variance",
@@ -70,6 +74,9 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dic
     if fences is not None:
         stats.append("sum(outside) as outliers")
         out.append("outliers")
+    if sketch is not None:
+        stats.append(f"{sketch} as sketch")
+        out.append("sketch")
     cells = numeric_cells(df, columns, *([outside_fences(fences)] if fences is not None else []))
     long = cells.groupBy("ordinal").agg(*[F.expr(e) for e in stats])
     return long.select(pick(columns).alias("column"), *[F.expr(e) for e in out])
@@ -78,7 +85,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, fences: dic
 _PROFILE_SCHEMA = (
     "column string, ordinal int, n_rows long, n long, mean double, std double, variance double, "
     "std_pop double, min double, max double, skewness double, kurtosis double, missing_pct double, "
-    "outliers long")
+    "outliers long, sketch array<double>")
 
 
 def with_quantiles(profile: DataFrame, quantiles: dict[str, list], names: list[str]) -> DataFrame:
@@ -151,15 +158,16 @@ def top_values(df: DataFrame, columns: list[str] | None = None,
 TRUTHY = ("0", "1", "yes", "no", "true", "false", "Yes", "No", "True", "False")
 
 
-def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def distinct_profile(df: DataFrame, columns: list[str] | None = None, rows: bool = False) -> DataFrame:
     """Per scalar column: n_rows, n, n_distinct, avg_len, all_truthy.
 
     Cells are grouped by (ordinal, typed key) so numbers never pass through
-    text. A value that fills most of a column collapses in the map-side combine.
+    text. A value that fills most of a column collapses in the map-side combine. ``rows`` adds
+    a row without column name, behind the columns, whose distinct values are the table's rows.
     """
     columns = [f.name for f in df.schema.fields if kind(f) != "other"] if columns is None else columns
     if len(columns) > WIDE:   # ordinals are table positions already
-        parts = [distinct_profile(df, columns[i:i + WIDE]) for i in range(0, len(columns), WIDE)]
+        parts = [distinct_profile(df, columns[i:i + WIDE], rows and i == 0) for i in range(0, len(columns), WIDE)]
         return functools.reduce(DataFrame.unionByName, parts)
     truthy_words = ", ".join(map(literal, TRUTHY))
     structs = []
@@ -187,6 +195,12 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
         structs.append(f"struct({i} as ordinal, cast({whole} as long) as whole, cast({real} as double) as real, "
                        f"cast({text} as string) as text, cast({length} as long) as len, "
                        f"coalesce({truthy}, false) as truthy)")
+    names, places = list(columns), [df.columns.index(c) for c in columns]
+    if rows:
+        whole, text = row_fingerprint_sql(df)
+        structs.append(f"struct({len(columns)} as ordinal, {whole} as whole, cast(null as double) as real, "
+                       f"cast({text} as string) as text, cast(null as long) as len, false as truthy)")
+        names, places = [*names, None], [*places, len(df.columns)]
     cells = df.selectExpr(f"inline(array({', '.join(structs)}))")
     # a typed null is a group of its own, so it has no key
     present = (F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull())
@@ -198,24 +212,36 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None) -> DataFra
                  F.try_divide(F.sum(F.when(present, F.col("n") * F.col("len"))).cast("double"),
                               F.sum(F.when(F.col("len").isNotNull(), F.col("n")))).alias("avg_len"),
                  F.coalesce(F.bool_and(F.when(present, F.col("truthy"))), F.lit(True)).alias("all_truthy"))
-            .select(pick(columns).alias("column"),
-                    pick([df.columns.index(c) for c in columns]).alias("ordinal"),
+            .select(pick(names).alias("column"), pick(places).alias("ordinal"),
                     "n_rows", "n", "n_distinct", "avg_len", "all_truthy"))
 
 
+def row_fingerprint_sql(df: DataFrame) -> list[str]:
+    """SQL text of two 64-bit hashes of a row; nulls, and NaN as a null, equal each other.
+
+    Rows that differ share both with a chance of one in 2**128, so that even a million
+    million rows hold such a pair with a chance below 1e-14.
+    """
+    cells = []
+    for f in df.schema.fields:
+        cell = compact_sql(df, f.name) if kind(f) == "other" else value_sql(df, f.name)
+        cells += [cell, f"isnull({cell})"]       # a null alone would leave the hash as it is
+    return [f"xxhash64({', '.join([str(seed), *cells])})" for seed in (1, 2)]
+
+
 def row_counts(df: DataFrame) -> DataFrame:
-    """One row: n_rows and distinct_rows, nulls comparing equal."""
-    keys = df.selectExpr(*[f"{compact_sql(df, c)} as k{i}" for i, c in enumerate(df.columns)])
-    return (keys.groupBy(*keys.columns).agg(F.count("*").alias("n"))
+    """One row: n_rows and distinct_rows, nulls comparing equal; 16 bytes a row are shuffled."""
+    keys = df.selectExpr(*[f"{h} as h{i}" for i, h in enumerate(row_fingerprint_sql(df), 1)])
+    return (keys.groupBy("h1", "h2").agg(F.count("*").alias("n"))
             .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("distinct_rows")))
 
 
 def edge_values(df: DataFrame, columns: list[str], order: list[str], k: int,
                 last: bool = False, probe_rows: int = 500) -> DataFrame:
-    """(ordinal, rn, v): the first (or last) ``k`` non-null values per column by ``order``.
+    """(column, ordinal, rn, v): the first (or last) ``k`` non-null values per column by ``order``.
 
-    A top-n probe of the table answers most columns. A column too sparse for
-    the probe gets a top-n of its own, so the answer is always exact.
+    A top-n probe of the table answers most columns. The columns too sparse for the probe
+    share one more scan, so the answer is always exact. Of equal places the smaller text counts first.
     """
     keys = [col(c).desc() if last else col(c).asc() for c in order]
     head = df.orderBy(*keys).limit(probe_rows)
@@ -228,15 +254,43 @@ def edge_values(df: DataFrame, columns: list[str], order: list[str], k: int,
             *[col(c).alias(f"o{j}") for j, c in enumerate(order)],
             F.inline(F.array(*[F.struct(F.lit(i).alias("ordinal"), value(df, c).cast("string").alias("v"))
                                for i, c in dense]))).filter(F.col("v").isNotNull()))
-    for i, c in sparse:
-        frames.append(df.filter(value(df, c).isNotNull()).orderBy(*keys).limit(k).select(
-            *[col(o).alias(f"o{j}") for j, o in enumerate(order)],
-            F.lit(i).alias("ordinal"), value(df, c).cast("string").alias("v")))
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
+    if sparse:
+        frames.append(_edges_per_task(df, sparse, order, k, last))
+    rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     names = [f"o{j}" for j in range(len(order))]
-    # at most probe_rows rows per column reach this window
-    window = Window.partitionBy("ordinal").orderBy(*[F.col(o).desc() if last else F.col(o) for o in names])
+    # at most probe_rows rows per column, or k per column and task, reach this window
+    window = Window.partitionBy("ordinal").orderBy(*[F.col(o).desc() if last else F.col(o) for o in names], "v")
     return (rows.withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= k)
             .select(pick(columns).alias("column"), "ordinal", "rn", "v"))
+
+
+def _edges_per_task(df: DataFrame, columns: list[tuple[int, str]], order: list[str], k: int, last: bool) -> DataFrame:
+    """(o0, …, ordinal, v): the outermost ``k`` filled cells of every column in each task, from one scan."""
+    places = [col(c).alias(f"o{j}") for j, c in enumerate(order)]
+    # Spark sorts NaN behind all numbers, Arrow next to the nulls
+    ranks = [r for j, c in enumerate(order) for r in (
+        [F.isnan(col(c)).cast("int").alias(f"s{j}n"), value(df, c).alias(f"s{j}")]
+        if isinstance(df.schema[c].dataType, FLOAT_TYPES) else [col(c).alias(f"s{j}")])]
+    filled = functools.reduce(lambda a, b: a | b, [value(df, c).isNotNull() for _, c in columns])
+    cells = df.filter(filled).select(*places, *ranks, *[value(df, c).cast("string").alias(f"v{i}") for i, c in columns])
+    kept = [n for n in cells.columns if n[0] in "os"]
+    by = [(n, "descending" if last else "ascending") for n in kept if n[0] == "s"] + [("v", "ascending")]
+
+    def outermost(table: pa.Table) -> pa.Table:
+        at = pc.sort_indices(table, sort_keys=by, null_placement="at_end" if last else "at_start")
+        return table.take(at[:k])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i, _ in columns:
+                own = table.select([*kept, f"v{i}"]).rename_columns([*kept, "v"]).filter(table.column(f"v{i}").is_valid())
+                if own.num_rows:
+                    held[i] = outermost(pa.concat_tables([held[i], own]) if i in held else own)
+        for i, table in held.items():
+            table = table.select([n for n in kept if n[0] == "o"] + ["v"])
+            yield from table.append_column("ordinal", pa.array([i] * table.num_rows, pa.int32())).combine_chunks().to_batches()
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"o{j} {kinds[f'o{j}']}" for j in range(len(order))], "v string", "ordinal int"])
+    return cells.mapInArrow(searched, schema)

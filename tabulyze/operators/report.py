@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tabulyze.functions.columns import numeric_columns, pick, rounded, side_by_side, string_columns
-from tabulyze.operators import anomalies, correlation, descriptive, rules, segments
+from tabulyze.functions.columns import literal, numeric_columns, pick, rounded, side_by_side, string_columns
+from tabulyze.operators import correlation, descriptive, rules, segments
+from tabulyze.operators.facts import TableFacts
 from tabulyze.operators.kernel import null_counts, row_counts
 from tabulyze.operators.profiling import missing_by_column
-from tabulyze.operators.typing import Detection, detect, target_by_variance
+from tabulyze.operators.typing import target_by_variance
 
 
 def _fact(section: str, column, metric: str, measure: Column) -> Column:
@@ -113,46 +114,67 @@ def to_record(payload: DataFrame) -> DataFrame:
     return payload.select(F.to_json(F.struct(*payload.columns)).alias("record"))
 
 
-def dashboard_context(df: DataFrame, found: Detection | None = None) -> DataFrame:
-    """One nested row: shape, KPIs, quality, strongest pairs, skews, missing columns, segment ends, trend, alerts."""
-    found = detect(df) if found is None else found
-    facts = rules.dashboard_facts(df, found)
-    numeric = found.of("numeric")
-    kpis = rules.kpis_from(facts)
-    frames = [facts.select("row_count", "col_count", "missing_pct", "duplicate_pct", "outlier_pct",
-                           F.col("high_pairs").alias("high_corr_count"), F.col("direction").alias("trend_direction"),
-                           F.col("pct_change").alias("trend_pct_change")), kpis,
-              _listed(rules.alerts_from(facts).withColumn(
+def _known(facts: TableFacts, name: str, rows: list[tuple], fields: str) -> DataFrame:
+    """Rows the driver holds, at most one per column, as one row holding an array of structs."""
+    frame = facts.df.sparkSession.createDataFrame(rows, fields)
+    return _listed(frame, name, frame.columns)
+
+
+def dashboard_context(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
+    """One nested row: shape, KPIs, quality, strongest pairs, skews, missing columns, segment ends, trend, alerts.
+
+    Everything is read from the shared ``facts``, so the table is scanned as often as they need.
+    """
+    facts = TableFacts(df) if facts is None else facts
+    found, numeric, columns = facts.found, facts.numeric, facts.columns
+    measures = rules.dashboard_facts(facts)
+    gap = lambda r: r["n_rows"] - r["filled"]
+    missing = [(i, c, r["missing_pct"]) for i, (c, r) in enumerate(columns.items()) if gap(r) > 0]
+    frames = [measures.select("row_count", "col_count", "missing_pct", "duplicate_pct", "outlier_pct",
+                              F.col("high_pairs").alias("high_corr_count"), F.col("direction").alias("trend_direction"),
+                              F.col("pct_change").alias("trend_pct_change")), rules.kpis_from(measures),
+              _listed(rules.alerts_from(measures).withColumn(
                   "rank", rules.ranked("severity", ["critical", "warning", "info"])), "alerts",
-                      ["rank", "rule_no"], "severity", "category", "metric"),
-              _listed(missing_by_column(df, only_missing=True), "top_missing",
-                      ["ordinal", "column"], "missing_pct")]
+                      ["rank", "rule_no"], "severity", "category", "metric", "message"),
+              _known(facts, "top_missing", missing, "ordinal int, column string, missing_pct double")]
     if len(numeric) >= 2:
-        pairs = correlation.corr_strongest(df, top=5, high=2.0, columns=numeric).withColumn("size", -F.abs("r"))
-        frames.append(_listed(pairs, "strongest_pairs", ["size", "a", "b"], "r"))
+        pairs = correlation.strongest(facts.correlations(), 5).select("a", "b", rounded("r", 4).alias("r"))
+        frames.append(_listed(pairs.withColumn("size", -F.abs("r")), "strongest_pairs", ["size", "a", "b"], "r"))
     if numeric:
-        skews = descriptive.skew_ranking(df, numeric, top=5).withColumn("size", -F.abs("skew"))
-        frames.append(_listed(skews, "top_skewed", ["size", "column"], "skew"))
-        counts = anomalies.anomaly_counts(df, numeric).filter(F.col("count") > 0)
-        frames.append(_listed(counts, "anomaly_columns", ["ordinal", "column"], "count"))
-    if found.metric and found.segment:
-        for name, bottom in (("top_segment", False), ("bottom_segment", True)):
-            best = segments.segment_ranking(df, found.segment, found.metric, 1, bottom)
-            frames.append(best.select(F.col("segment").cast("string").alias(name), rounded("value", 4).alias(f"{name}_value")))
+        # rounded as the database rounds, so that equal sizes are ties
+        skews = facts.df.sparkSession.createDataFrame(
+            [(i, c, columns[c]["skewness"]) for i, c in enumerate(numeric) if columns[c]["n"] > 3], "ordinal int, column string, s double")
+        skews = skews.select("column", "ordinal", rounded("s", 4).alias("skew")).orderBy(F.abs("skew").desc(), "ordinal").limit(5)
+        frames.append(_listed(skews.withColumn("size", -F.abs("skew")), "top_skewed", ["size", "column"], "skew"))
+        over = [(i, c, facts.beyond[c]["over"]) for i, c in enumerate(numeric) if c in facts.beyond and facts.beyond[c]["over"] > 0]
+        frames.append(_known(facts, "anomaly_columns", over, "ordinal int, column string, count long"))
+    for name, end in zip(("top_segment", "bottom_segment"), facts.ends):
+        if end is not None:
+            frames.append(facts.row(**{name: literal(str(end["segment"])), f"{name}_value": literal(end["value"])}).withColumn(
+                f"{name}_value", rounded(f"{name}_value", 4)))
     return side_by_side(*frames).select(
         "*", F.lit(len(numeric)).alias("numeric"), F.lit(len(found.of("categorical"))).alias("categorical"),
         F.lit(found.metric).alias("primary_metric"), F.lit(found.segment).alias("segment_col"))
 
 
-def opportunity_context(df: DataFrame, segment: str | None = None) -> DataFrame:
-    """One nested row: top drivers of the highest-variance column, gap between segments, gravest risks."""
-    target = target_by_variance(df).first()["column"]
+def opportunity_context(df: DataFrame, segment: str | None = None, facts: TableFacts | None = None,
+                        risks: DataFrame | None = None, target: str | None = None) -> DataFrame:
+    """One nested row: top drivers of the highest-variance column, gap between segments, gravest risks.
+
+    Earlier results are taken over: ``facts`` of the table, a ``risk_watchlist``, the target column.
+    """
+    if target is None and facts is not None:
+        every = [c for c in numeric_columns(facts.df)]
+        target = max(every, key=lambda c: (facts.columns[c]["variance"] or 0.0, -every.index(c)))
+    target = target or target_by_variance(df).first()["column"]
     strings = string_columns(df)
     segment = segment or (strings[0] if strings else None)
-    drivers = correlation.key_drivers(df, target).limit(5).withColumn("size", -F.col("abs_correlation"))
-    risks = (rules.risk_watchlist(df).withColumn("rank", rules.ranked("severity", ["critical", "high"]))
+    drivers = correlation.key_drivers(df, target) if facts is None else correlation.drivers_of(facts.pairs_of(target))
+    drivers = drivers.orderBy(F.col("abs_correlation").desc_nulls_last(), "column").limit(5).withColumn("size", -F.col("abs_correlation"))
+    risks = rules.risk_watchlist(df) if risks is None else risks
+    risks = (risks.withColumn("rank", rules.ranked("severity", ["critical", "high"]))
              .filter(F.col("severity").isin("critical", "high")).orderBy("rank", "risk", "column").limit(4))
-    frames = [df.agg(F.count(F.lit(1)).alias("rows")),
+    frames = [df.agg(F.count(F.lit(1)).alias("rows")) if facts is None else facts.row(rows=f"{facts.n_rows}L"),
               _listed(drivers, "top_drivers", ["size", "column"], "correlation", "direction"),
               _listed(risks, "key_risks", ["rank", "risk", "column"], "severity")]
     if segment:

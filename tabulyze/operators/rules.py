@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabulyze.functions.columns import literal, numeric_columns, percent, rounded, side_by_side, string_columns
+from tabulyze.functions.columns import literal, numeric_columns, percent, rounded, string_columns
 from tabulyze.operators import anomalies, correlation, segments, timeseries
-from tabulyze.operators.kernel import (
-    null_counts, numeric_cells, numeric_profile, outside_fences, row_counts, with_quantiles)
-from tabulyze.operators.quantiles import exact_quantiles, iqr_fences
-from tabulyze.operators.typing import Detection, detect, promote_datetime_hint
+from tabulyze.operators.facts import TableFacts
+from tabulyze.operators.kernel import null_counts, numeric_profile, with_quantiles
+from tabulyze.operators.quantiles import exact_quantiles
 
 
 def fired(facts: DataFrame, rules: list[tuple[Column, dict[str, Column]]], keep: list[str] | None = None) -> DataFrame:
@@ -34,53 +33,37 @@ def ranked(name: str, order: list[str]) -> Column:
 
 # --- executive KPIs and alerts ------------------------------------------------------------
 
-def dashboard_facts(df: DataFrame, found: Detection | None = None) -> DataFrame:
-    """One row with every measure the KPIs and alerts read.
-
-    What the detection already gathered per column enters as literals; outliers and
-    anomalies share one scan.
-    """
-    found = detect(df) if found is None else found
-    df = promote_datetime_hint(df)
-    numeric, facts = found.of("numeric"), found.facts
-    n_rows = next(iter(facts.values()))["n_rows"]
-    gaps = [(f["n_rows"] - f["filled"]) / f["n_rows"] for f in facts.values()]
-    missing = sum(gaps) / len(gaps) * 100
-    skewed = sum(1 for c in numeric if facts[c]["n"] > 3 and abs(round(facts[c]["skewness"], 4)) > 2)
-    frames = [row_counts(df).selectExpr(
-        "n_rows as row_count", f"{len(df.columns)} as col_count", f"{literal(round(missing, 2))} as missing_pct",
-        "round((n_rows - distinct_rows) * 100.0D / n_rows * 100) / 100 as duplicate_pct", f"{skewed}L as severe_skews")]
-    if numeric:
-        filled = {c: facts[c]["n"] for c in numeric}
-        fences = iqr_fences(df, numeric, sizes=filled)
-        open_ = {c: f for c, f in fences.items() if f and f[1] > f[0] and filled[c] >= 4}
-        cells = sum(filled[c] for c in numeric if filled[c] >= 4)
-        frames.append(numeric_cells(df, numeric, outside_fences(open_), anomalies.over_threshold(facts)).selectExpr(
-            f"round(sum(outside) * 100.0D / {max(cells, 1)} * 100) / 100 as outlier_pct",
-            f"least(sum(over) / {float(n_rows)}D, 1.0D) as pressure"))
-    if len(numeric) >= 2:
-        frames.append(correlation.correlation_pairs(df, numeric, means={c: facts[c]["mean"] for c in numeric})
-                      .selectExpr("count_if(abs(r) >= 0.75) as high_pairs"))
-    if found.metric and found.segment:
-        frames.append(segments.segment_concentration(df, found.segment, found.metric))
-    if found.metric and found.time:
-        frames.append(timeseries.trend_direction(timeseries.time_trend(df, found.time, found.metric)).select(
-            "pct_change", "direction"))
-    out = side_by_side(*frames)
-    absent = {"outlier_pct": "double", "pressure": "double", "high_pairs": "long", "concentration_risk": "double",
-              "segment_dominance": "double", "pct_change": "double"}
-    zero = lambda c: f"coalesce({c}, 0) as {c}" if c in out.columns else f"cast(0 as {absent[c]}) as {c}"
-    m = facts[found.metric] if found.metric else None
+def dashboard_facts(facts: TableFacts) -> DataFrame:
+    """One row with every measure the KPIs and alerts read."""
+    columns, numeric = facts.columns, facts.numeric
+    n_rows = facts.n_rows
+    gaps = [(f["n_rows"] - f["filled"]) / f["n_rows"] for f in columns.values()]
+    missing = round(sum(gaps) / len(gaps) * 100, 2)
+    skewed = sum(1 for c in numeric if columns[c]["n"] > 3 and abs(round(columns[c]["skewness"], 4)) > 2)
+    beyond = facts.beyond if numeric else {}
+    cells = sum(columns[c]["n"] for c in numeric if columns[c]["n"] >= 4)
+    m = columns[facts.found.metric] if facts.found.metric else None
     volatility = min(m["std"] / (abs(m["mean"]) + 1e-9), 1.0) if m and m["n"] > 1 else 0.0
-    return out.selectExpr(
-        "row_count", "col_count", "missing_pct", "duplicate_pct", "round((100 - missing_pct) * 100) / 100 as completeness_score",
-        "severe_skews", *[zero(c) for c in absent], f"{literal(round(volatility, 4))} as volatility",
-        "direction" if "direction" in out.columns else "cast(null as string) as direction")
-
-
-def executive_kpis(df: DataFrame, found: Detection | None = None) -> DataFrame:
+    parts = {"concentration_risk": 0.0, "segment_dominance": 0.0, "pct_change": 0.0, "direction": None}
+    if facts.segment_sums is not None:
+        parts |= segments.concentration_of(facts.segment_sums).first().asDict()
+    if facts.trend is not None:
+        change = timeseries.trend_direction(facts.trend).first()
+        parts |= {"pct_change": change["pct_change"] or 0.0, "direction": change["direction"]} if change else {}
+    high = facts.correlations().filter("abs(r) >= 0.75").count() if len(numeric) >= 2 else 0
+    return facts.row(
+        row_count=f"{n_rows}L", col_count=str(len(facts.df.columns)), missing_pct=literal(missing),
+        duplicate_pct=f"round({n_rows - facts.distinct_rows} * 100.0D / {n_rows} * 100) / 100",
+        completeness_score=f"round((100 - {literal(missing)}) * 100) / 100", severe_skews=f"{skewed}L",
+        outlier_pct=f"round({sum(r['outside'] for r in beyond.values())} * 100.0D / {max(cells, 1)} * 100) / 100",
+        pressure=f"least({sum(r['over'] for r in beyond.values())} / {float(n_rows)}D, 1.0D)", high_pairs=f"{high}L",
+        **{name: f"cast({literal(value)} as {'string' if name == 'direction' else 'double'})" for name, value in parts.items()},
+        volatility=literal(round(volatility, 4)))
+
+
+def executive_kpis(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """One row: health, concentration, volatility, growth, dominance, pressure, completeness."""
-    return kpis_from(dashboard_facts(df, found))
+    return kpis_from(dashboard_facts(TableFacts(df) if facts is None else facts))
 
 
 def kpis_from(facts: DataFrame) -> DataFrame:
@@ -105,9 +88,9 @@ def volatility_by_column(df: DataFrame, top: int | None = 3) -> DataFrame:
     return (out.limit(top) if top else out).select("column", "volatility")
 
 
-def alerts(df: DataFrame, found: Detection | None = None) -> DataFrame:
+def alerts(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """Threshold alerts on the executive measures, critical first."""
-    return alerts_from(dashboard_facts(df, found))
+    return alerts_from(dashboard_facts(TableFacts(df) if facts is None else facts))
 
 
 def alerts_from(facts: DataFrame) -> DataFrame:

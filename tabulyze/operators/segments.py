@@ -23,9 +23,14 @@ def _with_share(sums: DataFrame) -> DataFrame:
 
 def segment_ranking(df: DataFrame, segment: str, metric: str, top: int = 10, bottom: bool = False) -> DataFrame:
     """The largest (or, ascending, the smallest) segments by summed metric with their share."""
+    return ranked_sums(segment_sums(df, segment, metric), top, bottom)
+
+
+def ranked_sums(sums: DataFrame, top: int = 10, bottom: bool = False) -> DataFrame:
+    """The ranking of ``segment_sums`` already gathered."""
     order = ([F.col("value").asc(), F.col("segment").desc()] if bottom
              else [F.col("value").desc(), F.col("segment").asc()])
-    return _with_share(segment_sums(df, segment, metric)).orderBy(*order).limit(top)
+    return _with_share(sums).orderBy(*order).limit(top)
 
 
 def _averages(df: DataFrame, segment: str, metric: str) -> DataFrame:
@@ -71,7 +76,12 @@ def segment_share_other(df: DataFrame, segment: str, metric: str, top: int = 10)
 
 def segment_concentration(df: DataFrame, segment: str, metric: str, top: int = 10) -> DataFrame:
     """One row: normalised Herfindahl index over the top shares, and the top share."""
-    shares = segment_ranking(df, segment, metric, top).agg(
+    return concentration_of(segment_sums(df, segment, metric), top)
+
+
+def concentration_of(sums: DataFrame, top: int = 10) -> DataFrame:
+    """The concentration of ``segment_sums`` already gathered."""
+    shares = ranked_sums(sums, top).agg(
         F.sum(F.pow(F.col("share_pct") / 100, 2)).alias("hhi"), F.count("*").alias("k"),
         F.max_by("share_pct", F.col("value")).alias("dominance"))
     floor = 1.0 / F.greatest(F.col("k"), F.lit(1))

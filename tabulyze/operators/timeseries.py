@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulyze.functions.columns import col, number, numeric_columns, rounded
 from tabulyze.functions.ordering import in_blocks, indexed
+from tabulyze.functions.storage import written
 from tabulyze.operators.kernel import edge_values
 
 WINDOW_ROWS = 100_000     # longest ordered series left in one window partition
@@ -48,11 +49,19 @@ def time_trend(df: DataFrame, time: str, metric: str, min_rows: int = 5, freq: s
     Empty periods sum to 0. Fewer than ``min_rows`` complete rows give no trend.
     """
     rows = df.select(col(time).alias("ts"), number(df, metric).alias("v")).dropna()
-    facts = rows.agg(F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    if facts["n"] < min_rows:
-        return df.sparkSession.createDataFrame([], "period date, value double, rolling_avg double, freq string")
+    days = rows.groupBy(F.col("ts").cast("date").alias("day")).agg(
+        F.sum("v").alias("value"), F.count("v").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    return trend_of_days(written(days, "days"), min_rows, freq)
+
+
+def trend_of_days(days: DataFrame, min_rows: int = 5, freq: str | None = None) -> DataFrame:
+    """The trend from (day, value, n, low, high), one row per calendar day: the table behind it was
+    read once, whatever period the span asks for."""
+    facts = days.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    if (facts["n"] or 0) < min_rows:
+        return days.sparkSession.createDataFrame([], "period date, value double, rolling_avg double, freq string")
     freq = freq or choose_freq((facts["high"] - facts["low"]).days)
-    sums = rows.groupBy(period_end(freq, F.col("ts")).alias("period")).agg(F.sum("v").alias("value"))
+    sums = days.groupBy(period_end(freq, F.col("day")).alias("period")).agg(F.sum("value").alias("value"))
     full = _spine(sums, freq).join(sums, "period", "left").select(
         "period", F.coalesce("value", F.lit(0.0)).alias("value"))
     # one row per calendar period from here on
