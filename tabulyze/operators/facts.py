@@ -82,8 +82,9 @@ class TableFacts:
         """The moments of the target's pairs, with the target on side ``a``."""
         turned = {"a": "b", "b": "a", "a_ordinal": "b_ordinal", "b_ordinal": "a_ordinal", "xx": "yy", "yy": "xx",
                   "raw_xx": "raw_yy", "raw_yy": "raw_xx"}
-        other = self.pairs.filter(F.col("b") == target).withColumnsRenamed(turned)
-        return self.pairs.filter(F.col("a") == target).unionByName(other)
+        other = self.pairs.filter(F.col("b") == target)
+        other = other.select(*[F.col(turned.get(c, c)).alias(c) for c in other.columns])
+        return self.pairs.filter(F.col("a") == target).unionAll(other)
 
     @cached_property
     def _grouped(self) -> DataFrame:
@@ -119,6 +120,21 @@ class TableFacts:
             return None
         return timeseries.trend_of_days(self._grouped.filter("part = 1").select("day", "value", "n", "low", "high"))
 
+    @cached_property
+    def concentration(self) -> Row | None:
+        """Concentration over the segments and the share of the largest."""
+        return None if self.segment_sums is None else segments.concentration_of(self.segment_sums).first()
+
+    @cached_property
+    def change(self) -> Row | None:
+        """First and last value of the trend with its direction."""
+        return None if self.trend is None else timeseries.trend_direction(self.trend).first()
+
+    @cached_property
+    def high_pairs(self) -> int:
+        """Pairs of numeric columns that correlate at 0.75 or more."""
+        return self.correlations().filter("abs(r) >= 0.75").count() if len(self.numeric) >= 2 else 0
+
     @cached_property
     def ends(self) -> tuple[Row | None, Row | None]:
         """The largest and the smallest segment with value and share."""

@@ -4,8 +4,8 @@ A sketch of every column brackets each wanted rank, whatever the distribution. W
 bracket may hold too many values, one scan counts the values of all brackets of all columns
 on fine grids and keeps the step that holds the rank; a last scan counts the values inside
 the brackets one by one. The number of scans depends on the number of rows only (two up to
-some hundred million cells a column, three up to some hundred thousand million), not on how
-many columns and ranks are wanted.
+some million cells a column, three up to some thousand million, four beyond), not on how
+many columns and ranks are wanted. A sketch may err: what decides is the count.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulyze.functions.columns import literal, number_sql
 
-ACCURACY = 10_000         # a sketch's rank error is at most the column's size divided by this
-MARGIN = 3                # half width of a bracket, in such errors
+ACCURACY = 1500           # a sketch's rank error is about the column's size divided by this, 99 times in 100
+MARGIN = 2                # half width of a bracket, in such errors
 PICK_ROWS = 20_000        # values of a bracket counted one by one
 GRID = 1000               # steps into which a scan divides a bracket
+SLOTS = 64                # places where the sketches of all tasks are merged first
 WIDE_COLUMNS = 32         # columns sketched in one scan; more take further scans of other columns
 
 _SIGN = np.int64(-1 << 63)
@@ -34,9 +35,8 @@ def ordered_key(values: np.ndarray) -> np.ndarray:
     return np.where(bits < 0, ~bits ^ _SIGN, bits)
 
 
-def key_value(key: int) -> float:
-    bits = key if key >= 0 else ~(key ^ (-1 << 63))
-    return float(np.array([bits], np.int64).view(np.float64)[0])
+def key_values(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys < 0, ~keys ^ _SIGN, keys).view(np.float64)
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], pick_rows: int | None = None,
@@ -76,15 +76,35 @@ def sketch_cuts(probs: list[float], accuracy: int = ACCURACY) -> list[float]:
     return sorted({min(1.0, max(0.0, p + s * MARGIN / accuracy)) for p in probs for s in (-1, 1)})
 
 
+def _sketch_size(accuracy: int) -> int:
+    """Items of a KLL sketch of this accuracy, by the published bound of its rank error."""
+    return min(65_535, max(8, round((2.296 * accuracy) ** (1 / 0.9021))))
+
+
+def _cuts_sql(sketch: str, filled: str, probs: list[float], accuracy: int) -> str:
+    cuts = ", ".join(map(literal, sketch_cuts(probs, accuracy)))
+    return f"case when {filled} > 0 then kll_sketch_get_quantile_double({sketch}, array({cuts})) end"
+
+
 def sketch_sql(v: str, probs: list[float], accuracy: int = ACCURACY) -> str:
-    return f"percentile_approx({v}, array({', '.join(map(literal, sketch_cuts(probs, accuracy)))}), {accuracy})"
+    return _cuts_sql(f"kll_sketch_agg_double({v}, {_sketch_size(accuracy)})", f"count({v})", probs, accuracy)
 
 
 def _sketches(df: DataFrame, columns: list[str], probs: list[float], accuracy: int) -> dict:
-    """n, min, max and sketch per column, from one scan."""
-    row = df.selectExpr(*[e for c in columns for v in (number_sql(df, c),) for e in (
-        f"count({v})", f"min({v})", f"max({v})", sketch_sql(v, probs, accuracy))]).first()
-    return {c: dict(zip(("n", "min", "max", "sketch"), row[4 * i:4 * i + 4])) for i, c in enumerate(columns)}
+    """n, min, max and sketch per column, from one scan; a sketch knows its size and extremes. The
+    sketches of many tasks are merged in ``SLOTS`` places before one task merges these."""
+    size, every = _sketch_size(accuracy), range(len(columns))
+    cuts = ", ".join(map(literal, [0.0, *sketch_cuts(probs, accuracy), 1.0]))
+    cells = df.selectExpr(f"pmod(spark_partition_id(), {SLOTS}) as slot", *[f"{number_sql(df, c)} as v{i}" for i, c in enumerate(columns)])
+    parts = cells.groupBy("slot").agg(*[F.expr(f"kll_sketch_agg_double(v{i}, {size}) as s{i}") for i in every])
+    whole = parts.agg(*[F.expr(f"kll_merge_agg_double(s{i}, {size}) as s{i}") for i in every])
+    row = whole.selectExpr(*[e for i in every for n in (f"coalesce(kll_sketch_get_n_double(s{i}), 0L)",) for e in (
+        n, f"case when {n} > 0 then kll_sketch_get_quantile_double(s{i}, array({cuts})) end")]).first()
+    found = {}
+    for i, c in enumerate(columns):
+        n, at = row[2 * i], row[2 * i + 1] or [None, None]
+        found[c] = {"n": n, "min": at[0], "max": at[-1], "sketch": at[1:-1]}
+    return found
 
 
 def _bracket(c: str, known, probs: list[float], pick_rows: int, accuracy: int, brackets: dict, ranks: dict) -> None:
@@ -158,15 +178,19 @@ def _matched(rows: list, wanted: dict, of: dict, result) -> dict:
 
 def _narrowed(df: DataFrame, wanted: dict) -> dict:
     """A narrower (low, high, values inside) per target, from one scan: a task counts the values of
-    every bracket on a grid that is even in the order of doubles, so no distribution defeats it."""
+    every bracket on a grid that is even in the order of doubles, so no distribution defeats
+    it. A step is as narrow as the values found in it, so a value that many cells share is one."""
     cells, intervals, of = _intervals(df, wanted)
     steps = []
     for k, low, high in intervals:
         first, last = (int(x) for x in ordered_key(np.array([low, high])))
         steps.append((k, first, last, -(-(last - first + 1) // GRID)))
+    top = np.iinfo(np.int64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below, inside = np.zeros(len(steps), np.int64), np.zeros((len(steps), GRID), np.int64)
+        shape = (len(steps), GRID)
+        below, inside = np.zeros(len(steps), np.int64), np.zeros(shape, np.int64)
+        least, most = np.full(shape, top.max), np.full(shape, top.min)
         for batch in batches:
             for k in range(batch.num_columns):
                 values = batch.column(k).drop_null().to_numpy(zero_copy_only=False)
@@ -175,22 +199,27 @@ def _narrowed(df: DataFrame, wanted: dict) -> dict:
                     if column == k:
                         a, b = np.searchsorted(keys, first), np.searchsorted(keys, last, "right")
                         below[i] += a
+                        own = keys[a:b]
                         # differences of far keys do not fit a signed integer
-                        places = (keys[a:b].view(np.uint64) - np.uint64(first % (1 << 64))) // np.uint64(width)
-                        inside[i] += np.bincount(places.astype(np.int64), minlength=GRID)
+                        places = ((own.view(np.uint64) - np.uint64(first % (1 << 64))) // np.uint64(width)).astype(np.int64)
+                        heads = np.flatnonzero(np.diff(places, prepend=-1))
+                        ends = np.append(heads[1:], len(places))
+                        at = places[heads]
+                        inside[i, at] += ends - heads
+                        least[i, at] = np.minimum(least[i, at], own[heads])
+                        most[i, at] = np.maximum(most[i, at], own[ends - 1] if len(own) else own)
         at, step = np.nonzero(inside)
         under = np.flatnonzero(below)
+        nothing = [None] * len(under)
         yield pa.RecordBatch.from_pydict({
             "interval": pa.array(np.concatenate((under, at)).astype(np.int32)),
-            "step": pa.array([None] * len(under) + step.tolist(), pa.int32()),
-            "n": pa.array(np.concatenate((below[under], inside[at, step])))})
-    counts = cells.mapInArrow(counted, "interval int, step int, n long").groupBy("interval", "step").agg(F.sum("n").alias("n"))
-
-    def bracket(r):
-        _, first, last, width = steps[r["interval"]]
-        low = first + r["step"] * width
-        return key_value(low), key_value(min(last, low + width - 1)), r["n"]
-    return _matched(_covering(counts, "step", of), wanted, of, bracket)
+            "step": pa.array(nothing + step.tolist(), pa.int32()),
+            "n": pa.array(np.concatenate((below[under], inside[at, step]))),
+            "low": pa.array(nothing + key_values(least[at, step]).tolist(), pa.float64()),
+            "high": pa.array(nothing + key_values(most[at, step]).tolist(), pa.float64())})
+    counts = cells.mapInArrow(counted, "interval int, step int, n long, low double, high double").groupBy("interval", "step").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return _matched(_covering(counts, "step", of), wanted, of, lambda r: (r["low"], r["high"], r["n"]))
 
 
 def _picked(df: DataFrame, wanted: dict) -> dict:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import literal, numeric_columns, percent, rounded, string_columns
-from tabulyze.operators import anomalies, correlation, segments, timeseries
+from tabulyze.operators import anomalies, correlation, segments
 from tabulyze.operators.facts import TableFacts
 from tabulyze.operators.kernel import null_counts, numeric_profile, with_quantiles
 from tabulyze.operators.quantiles import exact_quantiles
@@ -45,18 +45,16 @@ def dashboard_facts(facts: TableFacts) -> DataFrame:
     m = columns[facts.found.metric] if facts.found.metric else None
     volatility = min(m["std"] / (abs(m["mean"]) + 1e-9), 1.0) if m and m["n"] > 1 else 0.0
     parts = {"concentration_risk": 0.0, "segment_dominance": 0.0, "pct_change": 0.0, "direction": None}
-    if facts.segment_sums is not None:
-        parts |= segments.concentration_of(facts.segment_sums).first().asDict()
-    if facts.trend is not None:
-        change = timeseries.trend_direction(facts.trend).first()
-        parts |= {"pct_change": change["pct_change"] or 0.0, "direction": change["direction"]} if change else {}
-    high = facts.correlations().filter("abs(r) >= 0.75").count() if len(numeric) >= 2 else 0
+    if facts.concentration is not None:
+        parts |= facts.concentration.asDict()
+    if facts.change is not None:
+        parts |= {"pct_change": facts.change["pct_change"] or 0.0, "direction": facts.change["direction"]}
     return facts.row(
         row_count=f"{n_rows}L", col_count=str(len(facts.df.columns)), missing_pct=literal(missing),
         duplicate_pct=f"round({n_rows - facts.distinct_rows} * 100.0D / {n_rows} * 100) / 100",
         completeness_score=f"round((100 - {literal(missing)}) * 100) / 100", severe_skews=f"{skewed}L",
         outlier_pct=f"round({sum(r['outside'] for r in beyond.values())} * 100.0D / {max(cells, 1)} * 100) / 100",
-        pressure=f"least({sum(r['over'] for r in beyond.values())} / {float(n_rows)}D, 1.0D)", high_pairs=f"{high}L",
+        pressure=f"least({sum(r['over'] for r in beyond.values())} / {float(n_rows)}D, 1.0D)", high_pairs=f"{facts.high_pairs}L",
         **{name: f"cast({literal(value)} as {'string' if name == 'direction' else 'double'})" for name, value in parts.items()},
         volatility=literal(round(volatility, 4)))
 
