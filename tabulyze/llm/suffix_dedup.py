@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulyze.llm.jaccard_join import key_filter, record_key
+from tabulyze.llm.jaccard_join import key_filter, keyed_rows
 from tabulyze.llm.stores import drop_stored, stored
 from tabulyze.llm.words import bytes_of, mix, powers, prefix_sums, row_chunks
 
@@ -90,14 +90,14 @@ def anchor_rows(rows: DataFrame, length: int) -> DataFrame:
 def _passing(rows: DataFrame, wanted: np.ndarray, keep: bool) -> DataFrame:
     """Rows whose key the filter lets through, or the others."""
     bits = len(wanted) * 32
-    marked = rows.select("k", "text", F.pmod(F.xxhash64("k"), F.lit(bits)).alias("place"))
+    marked = rows.select("k", "id", "text", F.pmod(F.xxhash64("k"), F.lit(bits)).alias("place"))
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.column("place").to_numpy()
             hit = (wanted[place // 32] >> (place % 32).astype(np.uint32) & np.uint32(1)).astype(bool)
-            yield batch.select(["k", "text"]).take(pa.array(np.flatnonzero(hit == keep)))
-    return marked.mapInArrow(passed, "k long, text string")
+            yield batch.select(["k", "id", "text"]).take(pa.array(np.flatnonzero(hit == keep)))
+    return marked.mapInArrow(passed, "k long, id long, text string")
 
 
 def cut_strings(texts: DataFrame, length: int) -> DataFrame:
@@ -253,7 +253,7 @@ def repeated_spans(rows: DataFrame, length: int, hot: int = HOT_STRINGS) -> Data
     texts = _passing(rows, key_filter(kinds.select(F.col("at.k").alias("k"))), True).join(cuts, "k").select("text", "cuts")
     crowds = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
     strings = cut_strings(texts, length).join(crowds.where(F.col("kinds") > hot).select("a", F.lit(True).alias("hot")), "a", "left")
-    # rows that share an id give a string twice; it still counts once
+    # repeated rows give a string twice; it still counts once
     strings = stored(strings.repartition("a").sortWithinPartitions("a", "k", "pos"), "strings")
     cold = strings.where("hot is null").repartition("a").sortWithinPartitions("a", "k", "pos")
     parts = [whole(again.where("one")), whole(copies), column_spans(cold, length), counted_spans(strings.where("hot"), length)]
@@ -267,14 +267,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
 
     Null and empty texts have no bytes; texts shorter than ``length`` lose nothing; repeated
     rows are copies of each other, so at ``length`` or more they lose all; rows that share
-    an id but not a text share their spans; an empty table gives no rows; other columns are
-    not read. ``length`` is at least 100.
+    an id but not a text are documents of their own; ids are whole numbers below 2**62, and
+    null ids stay null; an empty table gives no rows; other columns are not read. ``length``
+    is at least 100.
     """
-    id_, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    rows = docs.select(record_key(id_, body).alias("k"), F.coalesce(body, F.lit("")).alias("text"))
+    rows = keyed_rows(docs, doc_id, text).select("k", "id", F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_spans(rows, length, hot)
     wanted = key_filter(spans.select("k"))
-    schema = "k long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = "id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,14 +289,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", t
                     done.append((left, len(data), removed, runs, hashlib.sha256(left).hexdigest()))
                 kept, n, removed, runs, digest = zip(*done, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
+                    [part.column("id"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()),
                      pa.array(runs, pa.int64()), pa.array(digest, pa.string())],
-                    ["k", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    ["id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     none = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    some = _passing(rows, wanted, True).join(spans, "k", "left").select("k", "text", F.coalesce("spans", none).alias("spans"))
+    some = _passing(rows, wanted, True).join(spans, "k", "left").select("id", "text", F.coalesce("spans", none).alias("spans"))
     data = F.col("text").cast("binary")
-    rest = _passing(rows, wanted, False).select("k", data.alias("kept"), F.octet_length(data).cast("long").alias("n_bytes"),
+    rest = _passing(rows, wanted, False).select("id", data.alias("kept"), F.octet_length(data).cast("long").alias("n_bytes"),
                                                 F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
                                                 F.sha2(data, 256).alias("kept_sha256"))
     out = some.mapInArrow(cleaned, schema).unionAll(rest)
-    return out.select(F.when(F.col("k") < F.lit(1 << 62), F.col("k")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.when(F.col("id") < F.lit(1 << 62), F.col("id")).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -362,3 +362,14 @@ def test_language_edges(spark, awkward, nothing):
     blank = language_id.fit_languages(nothing.select("doc_id", "text", F.lit("x").alias("lang")))
     assert {r.lang_pred for r in language_id.predict_languages(awkward, blank).collect()} == {"und"}
     assert language_id.predict_languages(nothing, model).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 50_000])
+def test_rows_that_share_an_id_keep_their_own_bytes(spark, hot):
+    passage = sentence(31, 60)
+    rows = [(1, sentence(32, 40) + passage), (1, sentence(33, 120)), (2, passage + sentence(34, 30)), (2, sentence(35, 90)), (None, passage),
+            (None, sentence(36, 80)), (2, sentence(35, 90)), (3, sentence(37, 70)), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(docs, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == repeats(rows)
+    assert {r.n_removed for r in got if r.doc_id == 3} == {0}
