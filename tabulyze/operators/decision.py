@@ -9,7 +9,7 @@ from tabulyze.functions.lookup import attach
 from tabulyze.functions.storage import discard, written
 from tabulyze.operators.forecast import best, models, volatility
 from tabulyze.operators.kernel import numeric_profile
-from tabulyze.operators.rules import fired
+from tabulyze.operators.rules import fired, measured
 
 
 def variance_concentration(df: DataFrame) -> DataFrame:
@@ -125,8 +125,23 @@ def growth_rate() -> Column:
     return F.when(F.size("forecast") >= 2, (last - first) / (F.abs(first) + 1e-9)).otherwise(0.0)
 
 
+# Our own words for each signal: why it fired, with the measures they quote.
+SIGNAL_WORDS = {
+    "Expansion Opportunity": ("%s: the forecast grows by %.1f%% at volatility %.2f and concentration %.2f", "growth_pct", "volatility", "concentration_risk"),
+    "Diversification Required": ("%s: growth of %.1f%% rests on a concentration of %.2f", "growth_pct", "concentration_risk"),
+    "Cautious Optimism": ("%s: growth of %.1f%% against volatility %.2f and concentration %.2f", "growth_pct", "volatility", "concentration_risk"),
+    "Contraction Alert": ("%s: the forecast changes by %.1f%%", "growth_pct"),
+    "Hedge Exposure": ("%s: volatility of %.2f is above 0.2", "volatility"),
+    "Operational Risk Flag": ("%s: %.1f%% of the values lie beyond two deviations", "pressure_pct"),
+    "Stable State": ("%s: no limit is passed, growth %.1f%%", "growth_pct")}
+
+
 def decision_signals(risk: DataFrame) -> DataFrame:
-    """Signals per series from growth, volatility, concentration and anomaly pressure."""
+    """Signals per series from growth, volatility, concentration and anomaly pressure.
+
+    ``evidence`` maps all four measures to their values, and ``rationale`` says from them why a
+    signal fired.
+    """
     g, v, c, p = F.col("growth"), F.col("volatility"), F.col("concentration_risk"), F.col("anomaly_pressure")
     strong, moderate, declining = g > 0.05, (g > 0) & (g <= 0.05), g < 0
     calm = (v < 0.15) & (c < 0.4)
@@ -135,7 +150,9 @@ def decision_signals(risk: DataFrame) -> DataFrame:
     def signal(test, name, strategy, severity, measure, value):
         return test, {"signal": F.lit(name), "severity": F.lit(severity), "strategy": F.lit(strategy),
                       "measure": F.lit(measure), "value": value}
-    return fired(risk.withColumn("growth", growth_rate()), [
+    facts = risk.withColumn("growth", growth_rate()).withColumn("evidence", measured(
+        growth_pct=g * 100, volatility=v, concentration_risk=c, pressure_pct=p * 100))
+    out = fired(facts, [
         signal(strong & calm, "Expansion Opportunity", "Add capacity while risk is low", "positive", "growth", g),
         signal(strong & (c > 0.5), "Diversification Required", "Spread the base before growing further", "warning",
                "concentration_risk", c),
@@ -143,7 +160,11 @@ def decision_signals(risk: DataFrame) -> DataFrame:
         signal(declining, "Contraction Alert", "Protect margins and defer optional spending", "critical", "growth", g),
         signal(v > 0.2, "Hedge Exposure", "Add buffers against swings", "warning", "volatility", v),
         signal(p > 0.1, "Operational Risk Flag", "Find the cause of the anomalies", "critical", "anomaly_pressure", p),
-        signal(none, "Stable State", "Keep course and monitor", "positive", "growth", g)], keep=["series"])
+        signal(none, "Stable State", "Keep course and monitor", "positive", "growth", g)], keep=["series", "evidence"])
+    text = F.lit(None).cast("string")
+    for name, (template, *measures) in SIGNAL_WORDS.items():
+        text = F.when(F.col("signal") == name, F.format_string(template, "series", *[F.col("evidence")[m] for m in measures])).otherwise(text)
+    return out.withColumn("rationale", text)
 
 
 def scorecard(risk: DataFrame, signals: DataFrame) -> DataFrame:

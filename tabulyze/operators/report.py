@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tabulyze.functions.columns import literal, numeric_columns, pick, rounded, side_by_side, string_columns
 from tabulyze.operators import correlation, descriptive, rules, segments
 from tabulyze.operators.facts import TableFacts
+from tabulyze.operators.findings import first_filled, merged
 from tabulyze.operators.kernel import null_counts, row_counts
 from tabulyze.operators.profiling import missing_by_column
 from tabulyze.operators.typing import target_by_variance
@@ -92,17 +95,31 @@ def _listed(frame: DataFrame, name: str, order: list[str], *fields: str) -> Data
 
 
 def report_payload(df: DataFrame, order: list[str], quality_score: float | None = None,
-                   forecast: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """One nested row with the five report sections; every array is bounded by the column count."""
+                   forecast: DataFrame | None = None, prior: DataFrame | dict[str, DataFrame] | None = None) -> DataFrame:
+    """One nested row with the report sections; every array is bounded by the column count or by what was handed in.
+
+    ``prior`` holds findings of earlier stages by section. ``kpis`` (by column) win over the report's
+    own, field by field; ``correlations`` replace them where there are any; ``risks`` (also given
+    alone) are added; ``segments`` and ``drivers`` become sections of their own.
+    """
+    prior = {} if prior is None else prior if isinstance(prior, dict) else {"risks": prior}
+    kpis = descriptive.kpi_by_column(df, order)
+    if "kpis" in prior:
+        kpis = merged({"earlier": prior["kpis"], "report": kpis}, ["column"])
+    else:
+        kpis = kpis.withColumn("source", F.lit("report"))
+    pairs = first_filled(prior.get("correlations"), correlation.corr_labelled(df))
     frames = [
         _listed(dataset_summary(df, quality_score), "dataset_summary", ["section", "column", "metric"], "value"),
-        _listed(descriptive.kpi_by_column(df, order), "kpis", ["ordinal", "column"], "mean", "median", "std", "min",
-                "max", "pct_change_last"),
-        _listed(correlation.corr_labelled(df).withColumn("size", -F.abs("correlation")), "correlations",
+        _listed(kpis, "kpis", ["ordinal", "column"], "mean", "median", "std", "min", "max", "pct_change_last", "source"),
+        _listed(pairs.withColumn("size", -F.abs("correlation")), "correlations",
                 ["size", "feature_a", "feature_b"], "correlation", "strength"),
-        _listed(rules.risk_signals(df, quality_score, prior).withColumn(
+        _listed(rules.risk_signals(df, quality_score, prior.get("risks")).withColumn(
             "rank", rules.ranked("severity", ["High", "Medium", "Low"])), "risk_factors",
                 ["rank", "category", "description"], "severity", "source")]
+    for name in ("segments", "drivers"):
+        if name in prior:
+            frames.append(_listed(prior[name], name, prior[name].columns))
     if forecast is not None:
         frames.append(_listed(forecast, "forecast_summary", ["series"], "available", "trend_direction", "model_used",
                               "horizon", "confidence_level", "target_column"))
@@ -186,37 +203,149 @@ def opportunity_context(df: DataFrame, segment: str | None = None, facts: TableF
                                         F.lit(segment).alias("segment_col"))
 
 
-# Vectors too long for a context record, and how many entries of each list are kept.
-LONG_VECTORS = ("forecast_values", "fitted_values", "forecast", "fitted", "lower", "upper", "lower_bound", "upper_bound",
-                "downside", "upside", "risk_adjusted", "adjusted_forecast", "explanation")
-KEPT = {"correlations": 10, "kpis": 10, "anomaly_details": 5, "segment_performance": 5}
-KEPT_LAST = {"recent_periods": 6}
+# What a context record is cut to. Paths are names joined by dots, ``*`` is any one
+# name and ``**`` any number of them; arrays and maps do not count as a level, the keys of a map do.
+DROPPED = (
+    "**.forecast_values", "**.fitted_values", "**.forecast", "**.fitted", "**.lower", "**.upper", "**.lower_bound", "**.upper_bound",
+    "**.downside", "**.upside", "**.risk_adjusted", "**.adjusted_forecast", "**.explanation")
+FIRST = {"correlations": 10, "kpis": 10, "segment_performance": 5, "segment_performance.*": 5, "anomaly_details": 5,
+         "anomaly_analysis.details": 5}
+LAST = {"recent_periods": 6, "trend_analysis.recent_periods": 6, "trend_analysis.recent_12_periods": 6}
+ONLY = {"dataset_summary.descriptive_stats.*": ("mean", "std", "min", "max")}
+RENAMED = {"trend_analysis.recent_12_periods": "recent_6_periods"}
+
+
+@dataclass(frozen=True)
+class Trimming:
+    """Rules by path: fields to drop, how many first or last entries of a list or map stay, the only
+    fields that stay, and new names."""
+
+    dropped: tuple[str, ...] = DROPPED
+    first: dict[str, int] = field(default_factory=lambda: dict(FIRST))
+    last: dict[str, int] = field(default_factory=lambda: dict(LAST))
+    only: dict[str, tuple[str, ...]] = field(default_factory=lambda: dict(ONLY))
+    renamed: dict[str, str] = field(default_factory=lambda: dict(RENAMED))
+
+    def of(self, rules: dict, path: tuple[str, ...]):
+        return next((v for p, v in rules.items() if _fits(tuple(p.split(".")), path)), None)
+
+    def drops(self, path: tuple[str, ...]) -> bool:
+        return any(_fits(tuple(p.split(".")), path) for p in self.dropped)
+
+
+def _fits(pattern: tuple[str, ...], path: tuple[str, ...]) -> bool:
+    if not pattern or not path:
+        return not path and all(p == "**" for p in pattern)
+    if pattern[0] == "**":
+        return _fits(pattern[1:], path) or _fits(pattern, path[1:])
+    return pattern[0] in ("*", path[0]) and _fits(pattern[1:], path[1:])
+
+
+def _inside(cell: Column, kind: T.DataType, path: tuple[str, ...], rules: Trimming) -> Column:
+    """A value without what the rules drop below it, at any depth; unchanged parts stay as they are."""
+    if isinstance(kind, T.StructType):
+        parts = [(f, (*path, f.name)) for f in kind.fields]
+        only = rules.of(rules.only, path)
+        kept = [_inside(cell.getField(f.name), f.dataType, p, rules).alias(rules.of(rules.renamed, p) or f.name)
+                for f, p in parts if not rules.drops(p) and (only is None or f.name in only)]
+        return F.when(cell.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
+    first, last = rules.of(rules.first, path), rules.of(rules.last, path)
+    if isinstance(kind, T.ArrayType):
+        out = F.transform(cell, lambda x: _inside(x, kind.elementType, path, rules)) if _touched(kind.elementType, path, rules) else cell
+        return _cut(out, first, last)
+    if isinstance(kind, T.MapType):
+        entries = F.map_entries(cell)
+        only = rules.of(rules.only, path)
+        names = [p.rsplit(".", 1)[-1] for p in rules.dropped if _fits(tuple(p.split(".")), (*path, p.rsplit(".", 1)[-1]))]
+        if names:
+            entries = F.filter(entries, lambda e: ~e["key"].isin(names))
+        if only is not None:
+            entries = F.filter(entries, lambda e: e["key"].isin(list(only)))
+        entries = _cut(entries, first, last)
+        below = (*path, "*")
+        if _touched(kind.valueType, below, rules):
+            entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _inside(e["value"], kind.valueType, below, rules).alias("value")))
+        return F.map_from_entries(entries) if names or only is not None or first or last or _touched(kind.valueType, below, rules) else cell
+    return cell
+
+
+def _touched(kind: T.DataType, path: tuple[str, ...], rules: Trimming) -> bool:
+    """Whether a rule may change something of this type below the path."""
+    return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+
+
+def _cut(listed: Column, first: int | None, last: int | None) -> Column:
+    if first is not None:
+        return F.slice(listed, 1, first)
+    if last is not None:
+        return F.slice(listed, F.greatest(F.size(listed) - last + 1, F.lit(1)), F.lit(last))
+    return listed
+
+
+def trim_context(context: DataFrame, rules: Trimming | None = None) -> DataFrame:
+    """The context cut to its rules at any depth: structs, lists of structs, maps, and what they hold.
+
+    A null stays null, a list shorter than its limit stays whole, and a struct of which nothing
+    is left becomes a null.
+    """
+    rules = Trimming() if rules is None else rules
+    kept = [f for f in context.schema.fields if not rules.drops((f.name,))]
+    return context.select(*[_inside(F.col(f"`{f.name}`"), f.dataType, (f.name,), rules).alias(rules.of(rules.renamed, (f.name,)) or f.name)
+                            for f in kept])
+
+
+# The parts of a context record, the name each has in it, and whether a part may
+# carry its content in a field ``structured``, whose explanation is left out.
+CONTEXT_PARTS = {
+    "dataset_summary": ("dataset_summary", False), "kpis": ("kpis", False), "correlations": ("correlations", False),
+    "risk_factors": ("risk_factors", False), "forecast_summary": ("forecast_summary", False),
+    "segment_insights": ("segment_insights_raw", False), "copilot_insights": ("copilot_insights", False),
+    "decision_summary": ("decision_summary", True), "forecast_intelligence": ("forecast_intelligence", True),
+    "risk_intelligence": ("risk_intelligence", True), "scenario_insight": ("scenario_insight", True),
+    "sensitivity_intelligence": ("sensitivity_intelligence", True), "strategic_recommendation": ("strategic_recommendation", True),
+    "insight_drivers": ("key_driver_analysis", True), "segment_intelligence": ("segment_performance", True),
+    "insight_anomalies": ("anomaly_analysis", True), "trend_intelligence": ("trend_analysis", True),
+    "ai_opportunities": ("opportunity_analysis", True), "ai_risk_intelligence": ("risk_profile", True)}
+LISTED_PARTS = ("correlations",)
+
+
+def assemble_context(**parts: DataFrame | None) -> DataFrame:
+    """One row with the given parts of ``CONTEXT_PARTS`` under the names they have in a record.
+
+    A part is a one-row frame; ``correlations`` is a frame of findings and becomes a list in its
+    order of size. Absent parts, and parts without a row, are left out.
+    """
+    unknown = sorted(set(parts) - set(CONTEXT_PARTS))
+    if unknown:
+        raise ValueError(f"no part of a context: {', '.join(unknown)}")
+    named = {}
+    for part, (name, structured) in CONTEXT_PARTS.items():
+        frame = parts.get(part)
+        if frame is None or frame.isEmpty():
+            continue
+        if part in LISTED_PARTS:
+            listed = frame.agg(F.sort_array(F.collect_list(F.struct(*frame.columns))).alias(name))
+            named[name] = listed.select(name)
+            continue
+        if structured and "structured" in frame.columns:
+            frame = frame.select("structured.*")
+        kept = [c for c in frame.columns if not (structured and c == "explanation")]
+        named[name] = frame.select(F.struct(*kept).alias(name))
+    return _one_row(list(named.values()))
 
 
-def trim_context(context: DataFrame) -> DataFrame:
-    """Drop long vectors, also inside structs, and cut lists to their kept length."""
-    out = []
-    for field in context.schema.fields:
-        c = F.col(f"`{field.name}`")
-        if field.name in LONG_VECTORS:
-            continue
-        if isinstance(field.dataType, T.StructType):
-            drop = [n for n in field.dataType.names if n in LONG_VECTORS]
-            c = c.dropFields(*drop) if drop else c
-        elif isinstance(field.dataType, T.ArrayType):
-            if isinstance(field.dataType.elementType, T.StructType):
-                drop = [n for n in field.dataType.elementType.names if n in LONG_VECTORS]
-                c = F.transform(c, lambda s, d=drop: s.dropFields(*d)) if drop else c
-            if field.name in KEPT:
-                c = F.slice(c, 1, KEPT[field.name])
-            elif field.name in KEPT_LAST:
-                keep = KEPT_LAST[field.name]
-                c = F.slice(c, F.greatest(F.size(c) - keep + 1, F.lit(1)), F.lit(keep))
-        out.append(c.alias(field.name))
-    return context.select(*out)
+def _one_row(frames: list[DataFrame]) -> DataFrame:
+    """One-row frames of one column next to each other, whatever their types."""
+    if not frames:
+        raise ValueError("the context has no part")
+    types = {f.columns[0]: f.schema.fields[0].dataType for f in frames}
+    rows = None
+    for frame in frames:
+        aligned = frame.select(*[F.col(c) if c == frame.columns[0] else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+        rows = aligned if rows is None else rows.unionAll(aligned)
+    return rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in types])   # one row per part
 
 
 def merge_context(**parts: DataFrame | None) -> DataFrame:
     """One row whose columns are the given one-row parts as structs; absent parts are left out."""
-    frames = [p.select(F.struct(*p.columns).alias(name)) for name, p in parts.items() if p is not None]
-    return side_by_side(*frames)
+    return _one_row([p.select(F.struct(*p.columns).alias(name)) for name, p in parts.items() if p is not None])

@@ -168,65 +168,121 @@ def risk_signals(df: DataFrame, quality_score: float | None = None, prior: DataF
 
 # --- hidden patterns and watch list --------------------------------------------------------
 
+def measured(**values: Column) -> Column:
+    """The evidence of a finding: every measure it rests on, by name; absent ones are left out."""
+    full = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("double"))])
+    return F.map_filter(full, lambda _, v: v.isNotNull())
+
+
+def worded(text: str, *names: str) -> Column:
+    """A message made from the column's name and measures of the ``evidence``."""
+    return F.format_string(text, "column", *[F.col("evidence")[n] for n in names])
+
+
+def evidence_rows(findings: DataFrame, *keys: str) -> DataFrame:
+    """One row per finding and measure: the keys, ``measure`` and ``amount``."""
+    return findings.select(*keys, F.explode("evidence").alias("measure", "amount"))
+
+
 def hidden_patterns(df: DataFrame, top: int | None = None) -> DataFrame:
-    """Heavy tails, skew, variability, compressed quartiles and near-copies, high severity first."""
+    """Heavy tails, skew, variability, compressed quartiles and near-copies, high severity first.
+
+    ``evidence`` maps each measure of a finding to its value; the ``message`` is made from it.
+    """
     columns = numeric_columns(df)
     qs = exact_quantiles(df, columns, [0.25, 0.75])
     facts = with_quantiles(numeric_profile(df, columns), qs, ["q1", "q3"]).filter(F.col("n") >= 4)
+    c = F.col
     kurt, skew = F.abs("kurtosis"), F.abs("skewness")
     cv = F.coalesce(F.abs(F.try_divide("std", "mean")), F.lit(0.0))
     squeeze = F.try_divide(F.col("q3") - F.col("q1"), F.col("max") - F.col("min"))
-    def pattern(test, kind, metric, value, severe):
+    # fixed values: limits, types and severities
+    def pattern(test, kind, metric, value, severe, message, **evidence):
+        shown = measured(n=c("n"), **evidence)
         return test, {"type": kind if isinstance(kind, Column) else F.lit(kind), "metric": F.lit(metric),
-                      "value": value, "severity": F.when(severe, "high").otherwise("medium")}
+                      "value": value, "severity": F.when(severe, "high").otherwise("medium"), "evidence": shown,
+                      "wording": F.lit(message)}
     rules = [
-        pattern(kurt > 5, "Structural", "kurtosis", F.col("kurtosis"), kurt > 10),
-        pattern(skew > 2, F.when(skew > 4, "Structural").otherwise("Noise"), "skewness", F.col("skewness"), skew > 4),
-        pattern(cv > 1.5, "Noise", "cv", cv, cv > 3),
-        pattern((squeeze < 0.10) & (F.col("n") > 20), "Cyclical", "iqr_range", squeeze, F.lit(False))]
+        pattern(kurt > 5, "Structural", "kurtosis", c("kurtosis"), kurt > 10, "heavy_tails", kurtosis=c("kurtosis"), std=c("std")),
+        pattern(skew > 2, F.when(skew > 4, "Structural").otherwise("Noise"), "skewness", c("skewness"), skew > 4, "skewed",
+                skewness=c("skewness"), mean=c("mean")),
+        pattern(cv > 1.5, "Noise", "cv", cv, cv > 3, "variable", cv=cv, mean=c("mean"), std=c("std")),
+        pattern((squeeze < 0.10) & (c("n") > 20), "Cyclical", "iqr_range", squeeze, F.lit(False), "squeezed",
+                iqr_range=squeeze, iqr=c("q3") - c("q1"), range=c("max") - c("min"))]
     out = fired(facts, rules, keep=["column", "ordinal"])
     if len(columns) >= 2:
         copies = correlation.correlation_pairs(df, columns).filter(F.abs("r") > 0.92).select(
             F.concat("a", F.lit(" × "), "b").alias("column"),
             (F.lit(len(columns)) * (F.col("a_ordinal") + 1) + F.col("b_ordinal")).alias("ordinal"),
             F.lit(len(rules)).alias("rule_no"), F.lit("Structural").alias("type"), F.lit("r").alias("metric"),
-            F.abs("r").alias("value"), F.lit("high").alias("severity"))
+            F.abs("r").alias("value"), F.lit("high").alias("severity"), measured(n=c("n"), r=c("r")).alias("evidence"),
+            F.lit("copies").alias("wording"))
         out = out.unionByName(copies)
     out = out.orderBy(ranked("severity", ["high", "medium", "low"]), "type", "ordinal", "rule_no")
     return ((out.limit(top) if top else out)
-            .select("type", "column", "metric", rounded("value", 4).alias("value"), "severity"))
+            .select("type", "column", "metric", rounded("value", 4).alias("value"), "severity", "evidence",
+                    _message(PATTERN_WORDS).alias("message")))
+
+
+# Our own words for each kind of finding, with the measures they quote.
+PATTERN_WORDS = {
+    "heavy_tails": ("%s: tails far heavier than normal, kurtosis %.2f", "kurtosis"),
+    "skewed": ("%s: lopsided values, skewness %.2f about a mean of %.2f", "skewness", "mean"),
+    "variable": ("%s: deviation is %.2f times the mean", "cv"),
+    "squeezed": ("%s: half of the values lie within %.3f of the range", "iqr_range"),
+    "copies": ("%s: nearly the same column twice, r %.4f over %.0f rows", "r", "n")}
+RISK_WORDS = {
+    "Concentration Risk": ("%s: one value fills %.2f of %.0f cells", "top_share", "filled"),
+    "High Volatility": ("%s: deviation is %.2f times the mean", "cv"),
+    "Anomaly Pressure": ("%s: %.0f values beyond three deviations (%.2f%%), the farthest at %.1f", "n_anomalies", "pct", "max_z"),
+    "Skewed Distribution": ("%s: skewness %.2f pulls the mean away from the middle", "skewness"),
+    "Missing Data": ("%s: %.0f cells missing (%.1f%%)", "missing", "missing_pct")}
+
+
+def _message(words: dict[str, tuple[str, ...]], kind: str = "wording") -> Column:
+    text = F.lit(None).cast("string")
+    for name, (template, *measures) in words.items():
+        text = F.when(F.col(kind) == name, worded(template, *measures)).otherwise(text)
+    return text
 
 
 def risk_watchlist(df: DataFrame, top: int | None = None, text_columns: int | None = None) -> DataFrame:
-    """Concentration, volatility, anomaly, skew and missing-data risks, critical first."""
+    """Concentration, volatility, anomaly, skew and missing-data risks, critical first.
+
+    ``evidence`` maps each measure of a risk to its value; the ``message`` is made from it.
+    """
     level = lambda v, *limits: F.when(v > limits[0], limits[1]).otherwise(
         F.when(v > limits[2], limits[3]).otherwise("medium") if len(limits) > 2 else F.lit("medium"))
-    def risk(frame, part, name, value, severity):
+    def risk(frame, part, name, value, severity, **evidence):
         return frame.select(F.lit(part).alias("part"), "ordinal", F.lit(name).alias("risk"), "column",
-                            rounded(value, 4).alias("value"), severity.alias("severity"))
+                            rounded(value, 4).alias("value"), severity.alias("severity"), measured(**evidence).alias("evidence"))
+    c = F.col
     frames = []
     if string_columns(df):
         share = segments.top_value_share(df, text_columns).filter(F.col("top_share") > 0.5)
-        frames.append(risk(share, 0, "Concentration Risk", F.col("top_share"),
-                           level(F.col("top_share"), 0.80, "critical", 0.65, "high")))
+        frames.append(risk(share, 0, "Concentration Risk", c("top_share"), level(c("top_share"), 0.80, "critical", 0.65, "high"),
+                           top_share=c("top_share"), top_n=c("top_n"), filled=F.round(c("top_n") / c("top_share"))))
     numeric = numeric_columns(df)
     if numeric:
         profile = numeric_profile(df, numeric)
         cv = F.abs(F.try_divide("std", "mean"))
         frames.append(risk(profile.filter((F.col("n") >= 4) & (cv > 1)), 1, "High Volatility", cv,
-                           level(cv, 3, "critical", 2, "high")))
+                           level(cv, 3, "critical", 2, "high"), cv=cv, mean=c("mean"), std=c("std")))
         watch = anomalies.anomaly_watch(df).withColumn("ordinal", ranked("column", numeric))
-        frames.append(risk(watch, 2, "Anomaly Pressure", F.col("pct"), level(F.col("pct"), 5, "high")))
+        frames.append(risk(watch, 2, "Anomaly Pressure", c("pct"), level(c("pct"), 5, "high"),
+                           n_anomalies=c("n_anomalies"), pct=c("pct"), max_z=c("max_z")))
         skew = F.abs("skewness")
-        frames.append(risk(profile.filter(skew > 3), 3, "Skewed Distribution", F.col("skewness"),
-                           level(skew, 6, "high")))
-    gap = percent(F.col("n_rows") - F.col("n"), F.col("n_rows"))
-    frames.append(risk(null_counts(df).filter(gap > 5), 4, "Missing Data", gap,
-                       level(gap, 30, "critical", 15, "high")))
+        frames.append(risk(profile.filter(skew > 3), 3, "Skewed Distribution", c("skewness"), level(skew, 6, "high"),
+                           skewness=c("skewness"), mean=c("mean")))
+    missing = F.col("n_rows") - F.col("n")
+    gap = percent(missing, F.col("n_rows"))
+    frames.append(risk(null_counts(df).filter(gap > 5), 4, "Missing Data", gap, level(gap, 30, "critical", 15, "high"),
+                       missing=missing, missing_pct=gap))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    out = out.orderBy(ranked("severity", ["critical", "high", "medium", "low"]), "part", "ordinal")
+    out = out.withColumn("message", _message(RISK_WORDS, "risk")).orderBy(
+        ranked("severity", ["critical", "high", "medium", "low"]), "part", "ordinal")
     return ((out.limit(top) if top else out)
             .drop("part", "ordinal"))
 

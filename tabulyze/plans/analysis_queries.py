@@ -322,14 +322,17 @@ ORDER_MEANS = """
       select last_day(o_orderdate) as period, avg(o_totalprice) as value from orders group by 1)"""
 
 
-@register("trend_stats", f"""
+TREND_STATS_SQL = f"""
     select periods_analysed, round(slope, 6) as trend_slope,
       case when slope > 0 then 'upward' else 'downward' end as trend_direction,
       round((last - first) / abs(first) * 100, 2) as total_pct_change, peak_period, trough_period,
       round(first, 4) as first_value, round(last, 4) as last_value
     from (select count(*) as periods_analysed, regr_slope(value, i) as slope, arg_min(value, i) as first,
             arg_max(value, i) as last, arg_max(period, value) as peak_period, arg_min(period, value) as trough_period
-          from ({ORDER_MEANS}))""", "trend_slope total_pct_change first_value last_value")
+          from ({ORDER_MEANS}))"""
+
+
+@register("trend_stats", TREND_STATS_SQL, "trend_slope total_pct_change first_value last_value")
 def trend_stats(t):
     return tim.trend_stats(t.orders, "o_orderdate", "o_totalprice")
 

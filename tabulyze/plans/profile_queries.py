@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tabulyze.operators import correlation as cor, descriptive as sta, profiling as prf
+from pyspark.sql import functions as F
+
+from tabulyze.operators import correlation as cor, descriptive as sta, profiling as prf, sketches as ske
+from tabulyze.operators.kernel import distinct_profile
 from tabulyze.plans.registry import (
     DOC_LABEL_NUMERIC, LINEITEM_NUMERIC, long_form, per_column, register)
 
@@ -493,3 +496,16 @@ def scatter_points(t):
       o_totalprice from orders""", "o_orderkey o_custkey o_totalprice")
 def scatter_matrix(t):
     return cor.scatter_matrix(t.orders, "o_orderkey")
+
+
+# --- distinct states ---------------------------------------------------------------------
+
+@register("distinct_states", per_column("events", ["event_id", "user_id", "event_type", "value", "props"], """
+    select {i} as ordinal, '{c}' as "column", count(*) as n_rows, count({c}) as n, count(distinct {c}) as exact, true as within from {t}"""))
+def distinct_states(t):
+    # one state per day and column; the days are united without reading their rows again
+    days = t.events.withColumn("day", F.to_date("ts")).drop("ts")
+    found = ske.estimated(ske.united(ske.distinct_states(days, "day")))
+    exact = distinct_profile(days.drop("day")).select("column", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), F.col("exact") * ske.relative_error())
+    return found.join(F.broadcast(exact), "column").select("ordinal", "column", "n_rows", "n", "exact", near.alias("within"))   # one row per column
