@@ -14,9 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from tabulyze.functions import lookup
 from tabulyze.functions.columns import (
     FLOAT_TYPES, INTEGER_TYPES, col, compact_sql, kind, literal, number_sql, numeric_columns, pick, string_columns, value, value_sql)
 from tabulyze.functions.moments import adjusted_kurtosis_sql, adjusted_skewness_sql
+from tabulyze.functions.storage import written
 
 
 WIDE = 64   # columns unfolded per scan; wider tables take several scans of disjoint columns
@@ -105,14 +107,16 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             .select(pick(columns).alias("column"), "ordinal", "n_rows", "n"))
 
 
+PREFIX = 64   # letters of a text that its group carries; a shorter text is its own key
+
+
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(ordinal, key, value, n) over string columns, counted in one shuffle by compact key.
 
-    ``value`` is the text itself where it is short and null where the key is a digest, so
-    long texts are not shuffled.
+    ``value`` is the text up to ``PREFIX`` letters, so long texts are not shuffled.
     """
     columns = string_columns(df) if columns is None else columns
-    structs = [f"struct({i} as ordinal, {compact_sql(df, c)} as key, if(length({value_sql(df, c)}) > 64, null, {value_sql(df, c)}) as value)"
+    structs = [f"struct({i} as ordinal, {compact_sql(df, c)} as key, left({value_sql(df, c)}, {PREFIX}) as value)"
                for i, c in enumerate(columns)]
     return df.selectExpr(f"inline(array({', '.join(structs)}))").groupBy("ordinal", "key", "value").agg(F.count("*").alias("n"))
 
@@ -121,34 +125,37 @@ def top_values(df: DataFrame, columns: list[str] | None = None,
                include_null: bool = False) -> DataFrame:
     """Per string column: n, n_distinct, top_value (smallest on a tie), top_n.
 
-    The winner is a hash aggregate with map-side partials, not a sort of all
-    distinct values of a column in one task.
+    The table is counted once and its counts are written. The winner is a hash aggregate with
+    map-side partials, not a sort of all distinct values of a column in one task. Where the
+    winner of some column is a long text, the few texts that share its count and its first letters are
+    fetched in one more scan of these columns.
     """
     columns = string_columns(df) if columns is None else columns
     if len(columns) > WIDE:
         return in_batches(columns, lambda batch: top_values(df, batch, include_null))
-    counts = value_counts(df, columns)
+    counts = written(value_counts(df, columns), "value_counts")
     eligible = F.lit(True) if include_null else F.col("key").isNotNull()
+    # a text of PREFIX letters comes before the longer ones that begin with it
+    is_long = F.coalesce(F.length("key") > PREFIX, F.lit(False))
     facts = (counts.groupBy("ordinal")
              .agg(F.sum("n").alias("n_rows"),
                   F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("n"),
                   F.count("key").alias("n_distinct"), F.coalesce(F.max(F.when(eligible, F.col("n"))), F.lit(0)).alias("top_n"),
-                  F.min(F.when(eligible, F.struct((-F.col("n")).alias("neg"), "value", "key"))).alias("top"),
-                  # a digest does not sort like its text: then the text itself must decide among equals
-                  F.max(F.when(eligible & F.col("key").startswith("#"), F.col("n"))).alias("long_n")))
+                  F.min(F.when(eligible, F.struct((-F.col("n")).alias("neg"), "value", is_long.alias("long")))).alias("top")))
     out = facts.select(pick(columns).alias("column"), "ordinal", "n_rows", "n", "n_distinct",
-                       F.col("top.value").alias("top_value"), "top_n", ((F.col("long_n") == F.col("top_n")) & F.col("top.key").isNotNull()).alias("is_long"))
-    undecided = [r["ordinal"] for r in out.filter("is_long").select("ordinal").collect()]   # one row per column
+                       F.col("top.value").alias("top_value"), "top_n", F.col("top.long").alias("is_long"))
+    undecided = out.filter("is_long").select("ordinal", "top_value", "top_n").collect()   # one row per column
     if not undecided:
         return out.drop("is_long")
-    texts = None
-    for i in undecided:
-        c = columns[i]
-        best = counts.filter((F.col("ordinal") == i) & eligible).groupBy("key").agg(F.sum("n").alias("n"))
-        best = best.join(facts.filter(F.col("ordinal") == i).select(F.col("top_n").alias("n")), "n", "left_semi").select("key")
-        cells = df.select(value(df, c).alias("text"), F.expr(compact_sql(df, c)).alias("key"))
-        won = cells.join(best, "key", "left_semi").agg(F.min("text").alias("long_value")).select(F.lit(i).alias("ordinal"), "long_value")
-        texts = won if texts is None else texts.unionAll(won)
+    tied = counts.filter(is_long & functools.reduce(lambda a, b: a | b, [
+        (F.col("ordinal") == r["ordinal"]) & (F.col("value") == r["top_value"]) & (F.col("n") == r["top_n"]) for r in undecided]))
+    tied = tied.select("ordinal", "key")
+    if tied.count() <= lookup.BROADCAST_ROWS:
+        tied = F.broadcast(tied)
+    cells = df.selectExpr("inline(array(" + ", ".join(
+        f"struct({i} as ordinal, {compact_sql(df, columns[i])} as key, {value_sql(df, columns[i])} as text)"
+        for i in (r["ordinal"] for r in undecided)) + "))")
+    texts = cells.join(tied, ["ordinal", "key"], "left_semi").groupBy("ordinal").agg(F.min("text").alias("long_value"))
     joined = out.join(F.broadcast(texts), "ordinal", "left")   # one row per column
     return joined.select("column", "ordinal", "n_rows", "n", "n_distinct",
                          F.coalesce("long_value", "top_value").alias("top_value"), "top_n")

@@ -209,8 +209,8 @@ def mini_profile(df: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def dataset_digest(df: DataFrame, numeric_cap: int | None = None, text_cap: int | None = None) -> DataFrame:
-    """Text lines (line_no, line): shape, column lists, worst missing columns, numeric
-    statistics, strongest correlations, commonest values; the caps keep the first columns."""
+    """Text lines (line_no, line): size, column lists, worst gaps, means and deviations, strongest
+    pairs, commonest value of every other column, dates and booleans too; the caps keep the first columns."""
     from tabulyze.operators.correlation import correlation_pairs
 
     numeric = numeric_columns(df)
@@ -220,32 +220,33 @@ def dataset_digest(df: DataFrame, numeric_cap: int | None = None, text_cap: int
                .select("column", "ordinal", "n_rows", (F.col("n_rows") - F.col("n")).alias("m"))
                .orderBy(F.col("m").desc(), "ordinal").limit(4))
     shape = df.agg(F.count(F.lit(1)).alias("n")).select(F.inline(F.array(
-        _line(1, F.format_string(f"Shape: %,d rows × {len(df.columns)} columns", "n")),
-        _line(2, F.lit(f"Numeric columns ({len(numeric)}): {listed(numeric)}")),
-        _line(3, F.lit(f"Categorical columns ({len(other)}): {listed(other)}")))))
+        _line(1, F.format_string(f"Table of %,d rows and {len(df.columns)} columns", "n")),
+        _line(2, F.lit(f"{len(numeric)} number columns: {listed(numeric)}")),
+        _line(3, F.lit(f"{len(other)} other columns: {listed(other)}")))))
     frames = [shape, _joined(missing.select(
         F.struct((-F.col("m")).alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),
-                 F.format_string("%s: %d (%.1f%%)", "column", "m",
+                 F.format_string("%s lacks %d (%.1f%%)", "column", "m",
                                  F.col("m") / F.col("n_rows") * 100).alias("text")).alias("part")),
-        4, "Columns with missing values: ", "Missing values: none")]
+        4, "Gaps: ", "Gaps: none")]
     if numeric:
         frames.append(_joined(numeric_profile(df, numeric[:numeric_cap], shape=False).select(
             F.struct(F.col("ordinal").cast("long").alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),
-                     F.format_string("%s: mean=%.2f, std=%.2f", "column", "mean", "std")
-                     .alias("text")).alias("part")), 5, "Numeric stats: "))
+                     F.format_string("%s about %.2f, deviation %.2f", "column", "mean", "std")
+                     .alias("text")).alias("part")), 5, "Numbers: "))
     if len(numeric) >= 2:
         pairs = correlation_pairs(df, numeric).orderBy(F.abs("r").desc(), "a_ordinal", "b_ordinal").limit(4)
         frames.append(_joined(pairs.select(
             F.struct((-F.round(F.abs("r") * 1e12).cast("long")).alias("a"), F.col("a_ordinal").alias("b"),
                      F.col("b").alias("c"),
-                     F.format_string("%s ↔ %s: %.2f", "a", "b", F.abs("r")).alias("text")).alias("part")),
-            6, "Top correlations: "))
-    strings = [c for c in other if kind(df.schema[c]) == "string"][:text_cap]
-    if strings:
-        frames.append(_joined(top_values(df, strings).select(
+                     F.format_string("%s with %s %.2f", "a", "b", F.abs("r")).alias("text")).alias("part")),
+            6, "Strongest pairs: "))
+    told = [c for c in other if kind(df.schema[c]) != "other"][:text_cap]
+    if told:
+        texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in told])
+        frames.append(_joined(top_values(texts, told).filter(F.col("top_value").isNotNull()).select(
             F.struct(F.col("ordinal").cast("long").alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),
-                     F.format_string("%s: most common = '%s' (%,d)", "column", "top_value", "top_n")
-                     .alias("text")).alias("part")), 7, "Categorical top values: "))
+                     F.format_string("%s is most often '%s', %,d times", "column", "top_value", "top_n")
+                     .alias("text")).alias("part")), 7, "Values: "))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -259,5 +260,5 @@ def _line(number: int, text: Column) -> Column:
 def _joined(parts: DataFrame, number: int, lead: str, empty: str | None = None) -> DataFrame:
     """Join a handful of per-column parts into one line."""
     texts = F.transform(F.sort_array(F.collect_list("part")), lambda p: p["text"])
-    line = F.when(F.count("part") > 0, F.concat(F.lit(lead), F.array_join(texts, "  |  "))).otherwise(F.lit(empty))
+    line = F.when(F.count("part") > 0, F.concat(F.lit(lead), F.array_join(texts, "; "))).otherwise(F.lit(empty))
     return parts.agg(line.alias("line")).select(F.lit(number).alias("line_no"), "line")

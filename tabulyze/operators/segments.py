@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulyze.functions.columns import col, number, rounded, string_columns
+from tabulyze.functions.storage import written
 from tabulyze.operators.kernel import top_values
 from tabulyze.operators.timeseries import span_days
 
@@ -40,17 +41,27 @@ def _averages(df: DataFrame, segment: str, metric: str) -> DataFrame:
 
 
 def segment_stats(df: DataFrame, segment: str, metric: str, top: int = 5) -> DataFrame:
-    """Mean, count and std of the best and worst segments next to the overall figures."""
-    stats = _averages(df, segment, metric)
-    overall = df.agg(F.struct(F.avg(number(df, metric)).alias("m"), F.stddev_samp(number(df, metric)).alias("s"))
-                     .alias("o")).scalar()
+    """Mean, count and std of the best and worst segments next to the overall figures.
+
+    The table is read once: rows without a segment are a group of their own, and the overall
+    figures are put together from the groups.
+    """
+    v = number(df, metric)
+    groups = written(df.groupBy(col(segment).alias("segment")).agg(
+        F.avg(v).alias("mean"), F.count(v).alias("n"), F.stddev_samp(v).alias("std"), F.var_pop(v).alias("var")), "segments")
+    whole = groups.agg(F.sum("n").alias("n"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"),
+                       F.count("segment").alias("k")).first()
+    mean = F.lit(whole["mean"]).cast("double")
+    spread = groups.agg(F.sum(F.col("n") * (F.col("var") + F.pow(F.col("mean") - mean, 2))).alias("s")).first()["s"]
+    std = (spread / (whole["n"] - 1)) ** 0.5 if spread is not None and whole["n"] > 1 else None
+    stats = groups.filter(F.col("segment").isNotNull())
     best = stats.orderBy(F.col("mean").desc_nulls_last(), "segment").limit(top).withColumn("side", F.lit("top"))
     worst = stats.orderBy(F.col("mean").asc_nulls_first(), F.col("segment").desc()).limit(top).withColumn(
         "side", F.lit("bottom"))
     return best.unionByName(worst).select(
         "side", "segment", rounded("mean", 4).alias("avg"), "n", rounded("std", 4).alias("std_dev"),
-        rounded(overall["m"], 4).alias("overall_mean"), rounded(overall["s"], 4).alias("overall_std"),
-        stats.agg(F.count("*").alias("k")).scalar().alias("total_segments"))
+        rounded(mean, 4).alias("overall_mean"), rounded(F.lit(std).cast("double"), 4).alias("overall_std"),
+        F.lit(whole["k"]).cast("long").alias("total_segments"))
 
 
 def segment_gap(df: DataFrame, segment: str, metric: str, warn_above: int = 120) -> DataFrame:

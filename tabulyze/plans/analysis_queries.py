@@ -404,17 +404,17 @@ def complete_rows(t):
 
 
 @register("iqr_outlier_rows", """
-    select event_id, value from events, (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
+    select events.* from events, (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
       from events) where value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)""", "value")
 def iqr_outlier_rows(t):
-    return ano.iqr_outlier_rows(t.events.select("event_id", "value"), "value")
+    return ano.iqr_outlier_rows(t.events, "value")
 
 
 @register("zscore_outlier_rows", """
-    select event_id, value, abs(value - m) / s as z from events, (select avg(value) as m, stddev_pop(value) as s
+    select events.*, abs(value - m) / s as z from events, (select avg(value) as m, stddev_pop(value) as s
       from events) where abs(value - m) / s > 3""", "value z")
 def zscore_outlier_rows(t):
-    return ano.zscore_outlier_rows(t.events.select("event_id", "value"), "value")
+    return ano.zscore_outlier_rows(t.events, "value")
 
 
 def _z_sql(table, columns, key, ddof="stddev_pop", min_n=10):

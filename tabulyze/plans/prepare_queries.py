@@ -98,11 +98,12 @@ KINDS = {
     "orders": {"o_orderkey": "i", "o_custkey": "i", "o_orderstatus": "s", "o_totalprice": "f",
                "o_orderdate": "t", "o_orderpriority": "s"},
     "documents": {"doc_id": "i", "text": "s", "lang": "s", "source": "s", "n_chars": "i"},
+    "embeddings": {"vec_id": "i", "embedding": "o", "label": "i"},
     "lineitem": {**{c: "i" for c in LINEITEM_NUMERIC[:4]}, **{c: "f" for c in LINEITEM_NUMERIC[4:]},
                  "l_returnflag": "s", "l_linestatus": "s", "l_shipdate": "t"},
 }
-_TYPE_NAMES = {"t": "timestamp_ntz", "s": "string", "f": "double"}
-_INTS = {"c_nationkey": "int", "p_size": "int", "quality": "int", "toxic": "int", "l_linenumber": "int"}
+_TYPE_NAMES = {"t": "timestamp_ntz", "s": "string", "f": "double", "o": "array<float>"}
+_INTS = {"label": "int", "c_nationkey": "int", "p_size": "int", "quality": "int", "toxic": "int", "l_linenumber": "int"}
 
 
 def roles_sql(table):
@@ -110,17 +111,17 @@ def roles_sql(table):
     parts = []
     for i, (c, k) in enumerate(KINDS[table].items()):
         truthy = {"s": f"{c} in ('0','1','yes','no','true','false','Yes','No','True','False')",
-                  "t": "false"}.get(k, f"{c} in (0, 1)")
+                  "t": "false", "o": "false"}.get(k, f"{c} in (0, 1)")
         dtype = _TYPE_NAMES.get(k) or _INTS.get(c, "bigint")
         length = f"avg(length({c}))" if k == "s" else "null::double"
         parts.append(f"""
           select '{c}' as "column", {i} as ordinal, '{dtype}' as dtype_raw, '{k}' as kind,
-            count(*) as n_rows, count({c}) as n, count(distinct {c}) as n_distinct, {length} as avg_len,
+            count(*) as n_rows, count({c}) as n, {"null" if k == "o" else f"count(distinct {c})"} as n_distinct, {length} as avg_len,
             coalesce(bool_and({truthy}), true) as all_truthy from {table}""")
     seg = typ.SEGMENT_NAMES
     return f"""
       select "column", ordinal, dtype_raw,
-        case when kind = 't' then 'datetime'
+        case when kind = 't' then 'datetime' when kind = 'o' then 'text'
           when all_truthy and n_distinct <= 2 then 'boolean'
           when kind = 'i' and n = n_rows and (is_id or ratio >= 0.85) then 'id'
           when kind in ('i', 'f') then 'numeric'
@@ -166,35 +167,25 @@ for _table in ("lineitem", "customer", "part", "doc_labels", "documents", "event
     _register_roles(_table)
 
 
-@register("column_roles_nested")
+@register("column_roles_nested", roles_sql("embeddings"), "missing_pct missing_share")
 def column_roles_nested(t):
     return typ.column_roles(t.embeddings)
 
 
-@register("column_samples", """
-    select 'c_custkey' as "column", string_agg(c_custkey::varchar, '|' order by c_custkey) as samples
-      from (select * from customer order by c_custkey limit 5)
-    union all select 'c_name', string_agg(c_name, '|' order by c_custkey)
-      from (select * from customer order by c_custkey limit 5)
-    union all select 'c_nationkey', string_agg(c_nationkey::varchar, '|' order by c_custkey)
-      from (select * from customer order by c_custkey limit 5)
-    union all select 'c_mktsegment', string_agg(c_mktsegment, '|' order by c_custkey)
-      from (select * from customer order by c_custkey limit 5)""")
+def samples_sql(table, columns, order):
+    return " union all ".join(f"""
+      select '{c}' as "column", string_agg(cell, '|' order by place) as samples
+      from (select {c}::varchar as cell, {order} as place from {table} where {c} is not null order by {order} limit 5)""" for c in columns)
+
+
+@register("column_samples", samples_sql("customer", list(KINDS["customer"]), "c_custkey"))
 def column_samples(t):
-    return (typ.column_samples(t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ["c_custkey"])
-            .withColumn("samples", F.array_join("samples", "|")))
+    return typ.column_samples(t.customer, ["c_custkey"]).withColumn("samples", F.array_join("samples", "|"))
 
 
-@register("column_samples_sparse", """
-    select 'quality' as "column", string_agg(quality::varchar, '|' order by doc_id) as samples
-      from (select * from doc_labels where quality is not null order by doc_id limit 5)
-    union all select 'toxic', string_agg(toxic::varchar, '|' order by doc_id)
-      from (select * from doc_labels where toxic is not null order by doc_id limit 5)
-    union all select 'doc_id', string_agg(doc_id::varchar, '|' order by doc_id)
-      from (select * from doc_labels order by doc_id limit 5)""")
+@register("column_samples_sparse", samples_sql("doc_labels", list(KINDS["doc_labels"]), "doc_id"))
 def column_samples_sparse(t):
-    return (typ.column_samples(t.doc_labels.select("doc_id", "quality", "toxic"), ["doc_id"])
-            .withColumn("samples", F.array_join("samples", "|")))
+    return typ.column_samples(t.doc_labels, ["doc_id"]).withColumn("samples", F.array_join("samples", "|"))
 
 
 @register("infer_primary_metric", metric_sql("events"), "score")
@@ -248,11 +239,11 @@ def suitability_small(t):
 
 @register("use_case_rules", f"""
     select rule, use_case from (
-      select 1 as rule, 'regression and forecasting' as use_case, true as applies
-      union all select 2, 'classification models', true
-      union all select 3, 'customer or behavioral segmentation', (select count(*) from doc_labels) > 1000
-      union all select 4, 'anomaly detection', round({_q_outliers_spread(DL)}, 2) > 2
-      union all select 5, 'business intelligence dashboards', true) where applies""")
+      select 1 as rule, 'predicting and projecting a number' as use_case, true as applies
+      union all select 2, 'telling classes apart', true
+      union all select 3, 'grouping similar rows', (select count(*) from doc_labels) > 1000
+      union all select 4, 'finding odd values', round({_q_outliers_spread(DL)}, 2) > 2
+      union all select 5, 'summary views', true) where applies""")
 def use_case_rules(t):
     return typ.use_case_rules(t.doc_labels)
 
@@ -304,9 +295,9 @@ def cap_outliers(t):
     return cln.cap_outliers(t.lineitem)
 
 
-@register("cap_outliers_skewed", _capped("doc_labels", ["doc_id", "n_chars"], ["lang", "source"]), "doc_id n_chars")
+@register("cap_outliers_skewed", _capped("doc_labels", ["doc_id", "n_chars", "quality"], ["lang", "source", "toxic"]), "doc_id n_chars quality")
 def cap_outliers_skewed(t):
-    return cln.cap_outliers(t.doc_labels.select("doc_id", "n_chars", "lang", "source"))
+    return cln.cap_outliers(t.doc_labels)
 
 
 _EVENTS_NULL_LONG = long_form("events_null", ["event_id", "value"])
@@ -384,9 +375,9 @@ def _parts(c):
 
 
 @register("feat_datetime_parts", f"""
-    select o_orderkey, o_orderdate, {_parts("o_orderdate")} from orders""")
+    select *, {_parts("o_orderdate")} from orders""")
 def feat_datetime_parts(t):
-    return fea.datetime_parts(t.orders.select("o_orderkey", "o_orderdate"))
+    return fea.datetime_parts(t.orders)
 
 
 def _z(columns):
@@ -400,18 +391,18 @@ def feat_zscore(t):
 
 
 @register("feat_log1p", """
-    select o_orderkey, o_custkey, o_totalprice, ln(1 + o_totalprice) as o_totalprice_log from orders""",
+    select *, ln(1 + o_totalprice) as o_totalprice_log from orders""",
           "o_totalprice o_totalprice_log")   # both keys start at 0
 def feat_log1p(t):
-    return fea.log1p_columns(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"))
+    return fea.log1p_columns(t.orders)
 
 
 @register("feat_freq_enc", """
-    select event_id, event_type, case when event_type is not null then
+    select *, case when event_type is not null then
       count(event_type) over (partition by event_type)::double / count(event_type) over () end as event_type_freq_enc
     from events_null""", "event_type_freq_enc")
 def feat_freq_enc(t):
-    return fea.frequency_encode(t.events_null.select("event_id", "event_type"))
+    return fea.frequency_encode(t.events_null)
 
 
 _ORDER_PARTS = ["o_orderdate_year", "o_orderdate_month", "o_orderdate_weekday", "o_orderdate_quarter"]

@@ -218,28 +218,46 @@ def _pairs(table, columns):
     return f"select * from ({' union all '.join(parts)}) where r is not null and not isnan(r)"
 
 
-@register("dataset_digest", f"""
-    select 1 as line_no, 'Shape: ' || format('{{:,}}', count(*)) || ' rows × 6 columns' as line from doc_labels
-    union all select 2, 'Numeric columns (4): doc_id, n_chars, quality, toxic'
-    union all select 3, 'Categorical columns (2): lang, source'
-    union all select 4, 'Columns with missing values: ' || string_agg(part, '  |  ' order by m desc, ordinal) from (
-      select *, printf('%s: %d (%.1f%%)', "column", m, m * 100.0 / n) as part from ({per_column("doc_labels", DOC_LABELS, '''
+def digest_sql(table, columns, numeric, others, moments, pairs):
+    """The lines of a digest; ``others`` are the columns told by their commonest value."""
+    commonest = " union all ".join(f"""select {i} as ordinal, '{c} is most often ''' || v || ''', ' || format('{{:,}}', n) || ' times' as part
+        from (select {c}::varchar as v, count(*) as n from {table} where {c} is not null group by 1 order by n desc, v limit 1)"""
+                                   for i, c in enumerate(others))
+    return f"""
+    select 1 as line_no, 'Table of ' || format('{{:,}}', count(*)) || ' rows and {len(columns)} columns' as line from {table}
+    union all select 2, '{len(numeric)} number columns: {", ".join(numeric)}'
+    union all select 3, '{len(others)} other columns: {", ".join(others)}'
+    union all select 4, coalesce('Gaps: ' || string_agg(part, '; ' order by m desc, ordinal), 'Gaps: none') from (
+      select *, printf('%s lacks %d (%.1f%%)', "column", m, m * 100.0 / n) as part from ({per_column(table, columns, '''
         select '{c}' as "column", {i} as ordinal, count(*) - count({c}) as m, count(*) as n from {t}''')}) where m > 0
       order by m desc, ordinal limit 4)
-    union all select 5, 'Numeric stats: ' || string_agg(part, '  |  ' order by ordinal) from (
-      select ordinal, printf('%s: mean=%.2f, std=%.2f', col, mean, std) as part from ({_DL_MOMENTS}))
-    union all select 6, 'Top correlations: ' || string_agg(part, '  |  ' order by abs(r) desc, ao, bo) from (
-      select *, printf('%s ↔ %s: %.2f', a, b, abs(r)) as part from ({_pairs("doc_labels", DOC_LABEL_NUMERIC)})
+    union all select 5, 'Numbers: ' || string_agg(part, '; ' order by ordinal) from (
+      select ordinal, printf('%s about %.2f, deviation %.2f', col, mean, std) as part from ({moments}))
+    union all select 6, 'Strongest pairs: ' || string_agg(part, '; ' order by abs(r) desc, ao, bo) from (
+      select *, printf('%s with %s %.2f', a, b, abs(r)) as part from ({pairs})
       order by abs(r) desc, ao, bo limit 4)
-    union all select 7, 'Categorical top values: ' || string_agg(part, '  |  ' order by ordinal) from (
-      select 0 as ordinal, 'lang: most common = ''' || lang || ''' (' || format('{{:,}}', n) || ')' as part
-      from (select lang, count(*) as n from doc_labels group by lang order by n desc, lang limit 1)
-      union all select 1, 'source: most common = ''' || source || ''' (' || format('{{:,}}', n) || ')'
-      from (select source, count(*) as n from doc_labels group by source order by n desc, source limit 1))""")
+    union all select 7, 'Values: ' || string_agg(part, '; ' order by ordinal) from ({commonest})"""
+
+
+@register("dataset_digest", digest_sql("doc_labels", DOC_LABELS, DOC_LABEL_NUMERIC, ["lang", "source"], _DL_MOMENTS,
+                                       _pairs("doc_labels", DOC_LABEL_NUMERIC)))
 def dataset_digest(t):
     return prf.dataset_digest(t.doc_labels)
 
 
+_ORDER_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@register("dataset_digest_orders", digest_sql(
+    "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], _ORDER_NUMBERS,
+    ["o_orderstatus", "o_orderdate", "o_orderpriority"],
+    f"select ordinal, col, avg(v) as mean, stddev_samp(v) as std from ({long_form('orders', _ORDER_NUMBERS)}) group by ordinal, col",
+    _pairs("orders", _ORDER_NUMBERS)))
+def dataset_digest_orders(t):
+    # dates are told by their commonest value, too
+    return prf.dataset_digest(t.orders)
+
+
 # --- descriptive statistics ------------------------------------------------------------
 
 @register("numerical_summary", f"""
