@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,8 +36,9 @@ GOOD_NAMES = frozenset("article content main post story entry body text".split()
 COMMENT_TITLES = re.compile(r"^(\d+ )?(comments?|responses|kommentare?|commentaires?|comentarios?)( \(?\d+\)?)?:?$", re.I)
 SENTENCE_END = re.compile(r"[.!?…][\"'”»)]*(\s|$)")
 NAME_PART = re.compile(r"[a-z]+")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-                   r"|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+TAG_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]{0,63})")   # no longer name is known
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 UNIT = 100          # capacities are whole hundredths
 STRONG = 40 * UNIT  # beyond any sum of smoothness edges of one block
@@ -85,16 +87,89 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     return parts, hidden
 
 
+def tag_ends(page: str) -> tuple[list[int], list[int]]:
+    """Places of quotes and of ``>``, and for each where a tag ends that reaches it outside of
+    quotes, -1 where a quote is never closed. From the last to the first, each is looked at once."""
+    places = [m.start() for m in SPECIAL.finditer(page)]
+    ends, later = [-1] * len(places), {}
+    for k in range(len(places) - 1, -1, -1):
+        c = page[places[k]]
+        if c == ">":
+            ends[k] = places[k]
+        else:
+            close = later.get(c)
+            if close is not None and close + 1 < len(places):
+                ends[k] = ends[close + 1]
+            later[c] = k
+    return places, ends
+
+
+class Tokens:
+    """(text, tag, closing, attributes) of a page from front to back in linear time.
+
+    Most pages need one pattern. Where a tag does not end for it, because a quote or the tag
+    itself is left open, the ends of all tags are worked out once; such a tag ends at the next
+    ``>``, and is text where there is none.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.place, self.ends = page, 0, None
+        self.last = page.rfind(">")
+        self.unclosed: set[str] = set()
+
+    def next(self) -> tuple[str, str, bool, str]:
+        match = TOKEN.match(self.page, self.place) if self.ends is None else None
+        if match is None or match[0] == "<":
+            head = TAG_HEAD.match(self.page, self.place)
+            if head:
+                return self._broken(head)
+            match = match or TOKEN.match(self.page, self.place)
+        self.place = match.end()
+        if match[2]:
+            return "", match[2].lower(), bool(match[1]), match[3]
+        return match[0], "", False, ""
+
+    def _broken(self, head: re.Match) -> tuple[str, str, bool, str]:
+        if self.ends is None:
+            self.ends = tag_ends(self.page)
+        places, ends = self.ends
+        k = bisect_left(places, head.end())
+        end = ends[k] if k < len(places) else -1
+        if end < 0:
+            end = self.page.find(">", head.end()) if head.end() <= self.last else -1
+        if end < 0:
+            self.place += 1
+            return "<", "", False, ""
+        self.place = end + 1
+        return "", head[2].lower(), bool(head[1]), self.page[head.end():end]
+
+    def skip(self, tag: str) -> None:
+        """Go on behind the end of an element whose content is no text, if it has one."""
+        if tag not in self.unclosed:
+            end = re.compile(rf"</{tag}\s*+>", re.I).search(self.page, self.place)
+            if tag == "head":
+                # an unclosed head ends where the body begins
+                end = end or re.compile(r"(?=<body\b)", re.I).search(self.page, self.place)
+            if end:
+                self.place = end.end()
+                return
+            self.unclosed.add(tag)      # there is none further on either
+        if tag in RAW:
+            self.place = len(self.page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Open elements close with their parents, and a paragraph or
-    list item also at the next one, as browsers do."""
+    list item also at the next one, as browsers do. The time grows with the page's length only,
+    however broken its markup."""
     root = Element("", 0, 0, None, False)
     elements = [root]
     top, count = root, 0
+    open_: Counter[str] = Counter()
     found: list[Block] = []
     parts: list[str] = []
-    linked, links, skipping = 0, 0, ""
-    place, size = 0, len(page)
+    linked, links = 0, 0
+    tokens, size = Tokens(page), len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -106,26 +181,17 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    while place < size:
-        match = TOKEN.match(page, place)
-        place = match.end()
-        tag = (match[2] or match[5] or "").lower()
+    while tokens.place < size:
+        text, tag, closing, attributes = tokens.next()
         if not tag:
-            token = match[0]
-            if token[0] != "<" or token == "<":
-                parts.append(token)
+            if text[0] != "<" or text == "<":
+                parts.append(text)
                 if links:
-                    linked += len(token)
+                    linked += len(text)
             continue
-        closing, attributes = bool(match[1] or match[4]), match[3] or match[6] or ""
         if not closing and tag in SKIPPED:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, place)
-                if tag == "head":
-                    # an unclosed head ends where the body begins
-                    end = end or re.compile(r"(?=<body\b)", re.I).search(page, place)
-                if end or tag in RAW:
-                    place = end.end() if end else size
+                tokens.skip(tag)
             continue
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
@@ -138,13 +204,15 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         if closing:
             links = 0
-            above = top
-            while above is not root and above.tag != tag:
-                above = above.parent
-            if above is not root:
-                top = above.parent
+            if open_[tag]:
+                while top.tag != tag:
+                    open_[top.tag] -= 1
+                    top = top.parent
+                open_[tag] -= 1
+                top = top.parent
             continue
         if top.tag == "p" or tag == top.tag and tag in ("li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
+            open_[top.tag] -= 1
             top = top.parent
         names, hidden = _names(attributes) if attributes else ((), False)
         out, page_wide = hidden or tag in OUTSIDE, tag in ("html", "body")
@@ -158,6 +226,7 @@ def blocks_of(page: str) -> list[Block]:
         elements.append(element)
         if tag not in VOID:
             top = element
+            open_[tag] += 1
     flush()
     _weigh(elements, found)
     return found

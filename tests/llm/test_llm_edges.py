@@ -373,3 +373,34 @@ def test_rows_that_share_an_id_keep_their_own_bytes(spark, hot):
     got = suffix_dedup.remove_repeats(docs, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == repeats(rows)
     assert {r.n_removed for r in got if r.doc_id == 3} == {0}
+
+
+@pytest.mark.parametrize("unit", ['<a title="', "<a ", "<ab", '<a ">" ', "<select>", "<select </select ", "<div></p>", "<a \"'> <b '\"> ", "<p>x</div>", "< "])
+def test_time_grows_with_broken_markup_only_linearly(unit):
+    import time
+    def seconds(size):
+        start = time.process_time()
+        html_extract.extract(unit * (size // len(unit)))
+        return time.process_time() - start
+    seconds(1000)
+    small, large = seconds(60_000), seconds(480_000)
+    assert large < 8 * 3 * small + 0.5
+
+
+def test_tags_end_where_a_plain_scan_says():
+    rng = random.Random(6)
+    for _ in range(300):
+        page = "".join(rng.choice("a>\"'") for _ in range(rng.randrange(30)))
+        places, ends = html_extract.tag_ends(page)
+        for k, place in enumerate(places):
+            at, quote = place, ""
+            while at < len(page) and (quote or page[at] != ">"):
+                quote = "" if page[at] == quote else page[at] if not quote and page[at] in "\"'" else quote
+                at += 1
+            assert ends[k] == (at if at < len(page) else -1)
+
+
+def test_broken_tags_keep_the_text_round_them():
+    assert html_extract.blocks_of('<p>one <b title="x>two</p><p>three')[0].text == "one two"
+    assert [b.text for b in html_extract.blocks_of("<p>1 < 2 <a")] == ["1 < 2 <a"]
+    assert [b.text for b in html_extract.blocks_of("<div>a</p>b</div></div>c")] == ["a", "b", "c"]
