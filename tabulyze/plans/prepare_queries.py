@@ -295,7 +295,7 @@ def cap_outliers(t):
     return cln.cap_outliers(t.lineitem)
 
 
-@register("cap_outliers_skewed", _capped("doc_labels", ["doc_id", "n_chars", "quality"], ["lang", "source", "toxic"]), "doc_id n_chars quality")
+@register("cap_outliers_skewed", _capped("doc_labels", ["doc_id", "n_chars"], ["lang", "source", "quality", "toxic"]), "doc_id n_chars")
 def cap_outliers_skewed(t):
     return cln.cap_outliers(t.doc_labels)
 
