@@ -251,26 +251,22 @@ def _inside(cell: Column, kind: T.DataType, path: tuple[str, ...], rules: Trimmi
         return F.when(cell.isNotNull(), F.struct(*kept)) if kept else F.lit(None).cast("string")
     first, last = rules.of(rules.first, path), rules.of(rules.last, path)
     if isinstance(kind, T.ArrayType):
-        out = F.transform(cell, lambda x: _inside(x, kind.elementType, path, rules)) if _touched(kind.elementType, path, rules) else cell
-        return _cut(out, first, last)
+        return _cut(F.transform(cell, lambda x: _inside(x, kind.elementType, path, rules)) if _nested(kind.elementType) else cell, first, last)
     if isinstance(kind, T.MapType):
-        entries = F.map_entries(cell)
-        only = rules.of(rules.only, path)
-        names = [p.rsplit(".", 1)[-1] for p in rules.dropped if _fits(tuple(p.split(".")), (*path, p.rsplit(".", 1)[-1]))]
-        if names:
-            entries = F.filter(entries, lambda e: ~e["key"].isin(names))
+        only, below = rules.of(rules.only, path), (*path, "*")
+        dropped = [p.rsplit(".", 1)[-1] for p in rules.dropped]
+        dropped = [name for name in dropped if rules.drops((*path, name))]
+        entries = F.filter(F.map_entries(cell), lambda e: ~e["key"].cast("string").isin(dropped)) if dropped else F.map_entries(cell)
         if only is not None:
             entries = F.filter(entries, lambda e: e["key"].isin(list(only)))
         entries = _cut(entries, first, last)
-        below = (*path, "*")
-        if _touched(kind.valueType, below, rules):
+        if _nested(kind.valueType):
             entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _inside(e["value"], kind.valueType, below, rules).alias("value")))
-        return F.map_from_entries(entries) if names or only is not None or first or last or _touched(kind.valueType, below, rules) else cell
+        return F.map_from_entries(entries)
     return cell
 
 
-def _touched(kind: T.DataType, path: tuple[str, ...], rules: Trimming) -> bool:
-    """Whether a rule may change something of this type below the path."""
+def _nested(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 

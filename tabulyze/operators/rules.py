@@ -61,7 +61,17 @@ def dashboard_facts(facts: TableFacts) -> DataFrame:
 
 def executive_kpis(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """One row: health, concentration, volatility, growth, dominance, pressure, completeness."""
-    return kpis_from(dashboard_facts(TableFacts(df) if facts is None else facts))
+    return kpis_from(_measures(df, facts))
+
+
+def _measures(df: DataFrame, facts: TableFacts | None) -> DataFrame:
+    """The measures of given facts, or of the table's own, which nothing reads any more afterwards."""
+    if facts is not None:
+        return dashboard_facts(facts)
+    own = TableFacts(df)
+    measures = dashboard_facts(own)
+    own.close()
+    return measures
 
 
 def kpis_from(facts: DataFrame) -> DataFrame:
@@ -88,7 +98,7 @@ def volatility_by_column(df: DataFrame, top: int | None = 3) -> DataFrame:
 
 def alerts(df: DataFrame, facts: TableFacts | None = None) -> DataFrame:
     """Threshold alerts on the executive measures, critical first."""
-    return alerts_from(dashboard_facts(TableFacts(df) if facts is None else facts))
+    return alerts_from(_measures(df, facts))
 
 
 def alerts_from(facts: DataFrame) -> DataFrame:
