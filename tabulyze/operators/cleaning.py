@@ -51,6 +51,10 @@ def impute_median_mode(df: DataFrame) -> DataFrame:
     return _filled(df, _medians(df), modes)
 
 
+def _distinct(df: DataFrame) -> DataFrame:
+    return df.select(*[value(df, c).alias(c) for c in df.columns]).dropDuplicates()
+
+
 def dedupe(df: DataFrame) -> DataFrame:
     """Distinct rows; nulls compare equal, and NaN is a null.
 
@@ -66,7 +70,7 @@ def dedupe(df: DataFrame) -> DataFrame:
     if many == 0:
         return df.select(*cells)
     if many > lookup.BROADCAST_ROWS:
-        return df.select(*cells).dropDuplicates()
+        return _distinct(df)
     # rows are hashed as they were given, before NaN becomes a null
     rows = df.select(*cells, *hashes)
     once = rows.join(F.broadcast(repeated), ["__h1", "__h2"], "left_anti").select(*map(col, df.columns))
@@ -99,9 +103,11 @@ def cleaning_dry_run(df: DataFrame) -> DataFrame:
 def clean_strict(df: DataFrame) -> DataFrame:
     """Promote types, impute, drop duplicates, cap outliers.
 
-    The de-duplicated rows are written once: the fences and the result both read them.
+    The de-duplicated rows are written once: the fences and the result both read them. They
+    come out of parsing and imputing, which finding fingerprints first would do twice, so they
+    meet whole.
     """
-    return cap_outliers(written(dedupe(impute_median_unknown(promote_strict(df))), "distinct_rows"))
+    return cap_outliers(written(_distinct(impute_median_unknown(promote_strict(df))), "distinct_rows"))
 
 
 def clean_app(df: DataFrame) -> DataFrame:

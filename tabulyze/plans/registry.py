@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulyze.sources.tables import DERIVED, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# the same without the rounding that only comparing two engines needs
+OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
@@ -52,6 +54,7 @@ def register(name: str, sql: str | None = None, floats: str = ""):
             return settle(fn(Tables(spark, sf_dir)))
         assert name not in QUERIES, name
         QUERIES[name] = run
+        OPERATORS[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
             text = sql
             names = floats.split()
