@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from tabulyze.llm.queries import ORACLES, QUERIES
 
-NEEDED = ("documents", "benchmark", "conversations")
+NEEDED = ("documents", "benchmark", "conversations", "embeddings")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
