@@ -231,7 +231,9 @@ def dataset_digest(df: DataFrame, numeric_cap: int | None = None, text_cap: int
     if numeric:
         frames.append(_joined(numeric_profile(df, numeric[:numeric_cap], shape=False).select(
             F.struct(F.col("ordinal").cast("long").alias("a"), F.col("ordinal").alias("b"), F.lit("").alias("c"),
-                     F.format_string("%s about %.2f, deviation %.2f", "column", "mean", "std")
+                     F.when(F.col("mean").isNull(), F.format_string("%s without values", "column"))
+                     .when(F.col("std").isNull(), F.format_string("%s about %.2f", "column", "mean"))
+                     .otherwise(F.format_string("%s about %.2f, deviation %.2f", "column", "mean", "std"))
                      .alias("text")).alias("part")), 5, "Numbers: "))
     if len(numeric) >= 2:
         pairs = correlation_pairs(df, numeric).orderBy(F.abs("r").desc(), "a_ordinal", "b_ordinal").limit(4)

@@ -277,3 +277,37 @@ def test_a_cell_meets_one_date_pattern(spark):
     many = spark.createDataFrame([(f"{d:02d}/{m:02d}/2024", "yes") for d in range(1, 29) for m in (1, 2)], "day string, x string")
     assert dict(typing.promote_strict(many).dtypes)["day"] == "timestamp_ntz"
     assert typing.promote_strict(many).agg(F.max("day")).first()[0] == dt.datetime(2024, 2, 28)
+
+
+# ---------------------------------------------------------------- commonest texts and segments
+
+@pytest.mark.parametrize("texts", [["x" * 64 + "b", "x" * 64 + "a", "x" * 64], ["x" * 64 + "b", "x" * 64 + "a"], ["y" * 70, "y" * 69, "z"],
+                                   [None, None, "q"], ["é" * 80 + "b", "é" * 80 + "a"] * 2, ["#" + "a" * 64, "#" + "a" * 64, "b"]])
+def test_long_texts_that_begin_alike(spark, texts):
+    df = spark.createDataFrame([(t, "short") for t in texts], "t string, s string")
+    got = {r["column"]: r for r in kernel.top_values(df).collect()}
+    filled = [t for t in texts if t is not None]
+    want = min(filled, key=lambda t: (-filled.count(t), t))
+    assert (got["t"]["top_value"], got["t"]["top_n"], got["t"]["n_distinct"]) == (want, filled.count(want), len(set(filled)))
+    assert got["s"]["top_value"] == "short" and got["s"]["top_n"] == len(texts)
+
+
+def test_overall_figures_come_from_the_groups(spark, work):
+    df = spark.range(3000).selectExpr("if(id % 7 = 0, null, id % 50) as s", "if(id % 11 = 0, null, id * id * 1.0D) as v")
+    stored = written(df)
+    with work:
+        got = segments.segment_stats(stored, "s", "v").collect()
+    assert work.rows_read <= 3000 + 12 * 60
+    whole = df.selectExpr("round(avg(v), 4) as m", "round(stddev(v), 4) as d").first()
+    assert len(got) == 10
+    for r in got:
+        assert (r["overall_mean"], r["overall_std"], r["total_segments"]) == (whole["m"], pytest.approx(whole["d"], rel=1e-9), 50)
+    assert segments.segment_stats(df.where("false"), "s", "v").count() == 0
+    nothing = segments.segment_stats(df.selectExpr("s", "cast(null as double) as v"), "s", "v").first()
+    assert nothing["overall_mean"] is None and nothing["n"] == 0
+
+
+def test_a_digest_of_one_row(spark):
+    from tabulyze.operators import profiling
+    lines = [r["line"] for r in profiling.dataset_digest(spark.sql("select true as a, 1 as b, cast(null as int) as c")).collect()]
+    assert "Numbers: b about 1.00; c without values" in lines and "Values: a is most often 'true', 1 times" in lines
