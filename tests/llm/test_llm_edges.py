@@ -102,6 +102,49 @@ def test_mix_hits_targets(spark):
         assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 37
 
 
+def test_inclusion_follows_the_wanted_probabilities(spark):
+    # each source draws the same 60 lengths with keys of its own: 400 draws in one job
+    lengths = [3 + 7 * k for k in range(60)]
+    rows = [(s * 100 + k, " ".join("w" * n), f"s{s}") for s in range(400) for k, n in enumerate(lengths)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)
+    got = mixing.mix_copies(docs, cycle=(1.0,), share=0.4).collect()
+    n, wanted = collections.Counter(), {}
+    for r in got:
+        n[r.size] += r.copies
+        wanted[r.size] = r.expected
+    assert all(abs(n[k] / 400 - wanted[k]) < 0.11 for k in lengths)
+    assert abs(sum(n[k] / 400 - wanted[k] for k in lengths)) < 0.6
+    assert sum(wanted[k] * k for k in lengths) == pytest.approx(0.4 * sum(lengths))
+    assert wanted[lengths[-1]] / wanted[3] == pytest.approx(9 / 2)       # binary digits of 416 and of 3
+    assert n[lengths[-1]] / 400 > 2 * n[10] / 400
+    # the probabilities decide, not the random numbers alone
+    one = [r for r in got if r.source == "s7"]
+    u = {r.doc_id: u for r, u in zip(one, (x.u for x in spark.createDataFrame([(str(r.doc_id),) for r in one], "k string").select(
+        mixing.uniform(F.col("k"), 42).alias("u")).collect()))}
+    taken = [u[r.doc_id] for r in one if r.copies]
+    assert max(taken) > min(u[r.doc_id] for r in one if not r.copies)
+
+
+@pytest.mark.parametrize("share", [1e-4, 0.001, 0.5, 0.999])
+def test_rank_buckets_are_even(spark, share):
+    docs = spark.range(40_000).select(F.col("id").cast("string").alias("key"), F.lit("s").alias("source"),
+                                      (F.col("id") % 500 + 1).alias("size"))
+    docs = docs.select("*", mixing.weight_of(F.col("size")).alias("weight"))
+    ranked = mixing.drawn(docs, mixing.expected_copies(docs, share=share), 42, 100)
+    counts = [r["count"] for r in ranked.groupBy("bucket").count().collect()]
+    assert len(counts) == 100 and max(counts) < 520       # 400 each
+
+
+def test_heaviest_weights_fill_first(spark):
+    docs = spark.createDataFrame([("a", 1, 1.0), ("a", 100, 7.0), ("a", 1000, 10.0), ("b", 0, 1.0), (None, 8, 4.0)],
+                                 "source string, size long, weight double")
+    got = {(r.source, r.weight): r.expected for r in mixing.expected_copies(docs, cycle=(1.0,), share=1.95).collect()}
+    # 1.95 x 1109 words: the null source is full with 16, source a gets 2146.55 of at most 2202
+    level = (2146.55 - 2000) / (100 * 7 + 1)
+    assert got[("a", 10.0)] == 2.0 and got[(None, 4.0)] == 2.0 and got[("b", 1.0)] == 0.0
+    assert got[("a", 7.0)] == pytest.approx(level * 7) and got[("a", 1.0)] == pytest.approx(level)
+
+
 LAYOUTS = [('{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "yo"}]}', [("user", "hi"), ("assistant", "yo")]),
            ('{"conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}', [("user", "hi"), ("assistant", "yo")]),
            ('{"completion": "yo", "prompt": "hi"}', [("user", "hi"), ("assistant", "yo")]),
