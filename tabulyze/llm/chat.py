@@ -1,8 +1,8 @@
 """Chat formatting: from records of any known layout to one marked-up text per conversation.
 
-A record is a VARIANT. The hash of its field paths that mappings know picks a declarative mapping, the
-mapping reads the turns, and a template writes them with a loss mask. Built-in expressions
-only.
+A record is a VARIANT. The hash of its field paths, as far as a declarative mapping requires
+them, picks the mapping, the mapping reads the turns, and a template writes them with a loss
+mask. Built-in expressions only.
 """
 
 from __future__ import annotations
@@ -13,31 +13,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 START, END = "<|im_start|>", "<|im_end|>"
-# The names other layouts give to the canonical roles.
+# The names another layout gives to the canonical roles.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """How a layout becomes turns: either (path of a list, its role field, its text field),
-    or a list of (role, path) of single fields, of which absent or empty ones are left out
-    when named in ``optional``."""
-    schema: str
-    turns: tuple[str, str, str] | None = None
+    """How a layout becomes turns. ``required`` are the paths whose hash picks it. Turns are
+    single fields as (role, path), then those of a list as (path, its role field, its text
+    field). Fields named in ``optional`` are left out where absent or empty. ``names`` are
+    other words for roles."""
+    required: str
     fields: tuple[tuple[str, str], ...] = ()
+    turns: tuple[str, str, str] | None = None
     optional: tuple[str, ...] = ()
+    names: tuple[tuple[str, str], ...] = ()
 
+    def read(self) -> list[str]:
+        """All paths that the mapping reads."""
+        return sorted({*self.required.split(","), *(path.removeprefix("$.") for _, path in self.fields)})
 
+
+# the first that fits is taken
 MAPPINGS = (
-    Mapping("messages[].content,messages[].role", turns=("$.messages", "role", "content")),
-    Mapping("conversations[].from,conversations[].value", turns=("$.conversations", "from", "value")),
-    Mapping("completion,prompt", fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Mapping("prompt,response", fields=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Mapping("instruction,output", fields=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Mapping("input,instruction,output", optional=("$.input",), fields=(
-        ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Mapping("prompt,response,system", optional=("$.system",), fields=(
-        ("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
+    Mapping("messages[].content,messages[].role", (("system", "$.system"),), ("$.messages", "role", "content"), ("$.system",)),
+    Mapping("conversations[].from,conversations[].value", (("system", "$.system"),), ("$.conversations", "from", "value"),
+            ("$.system",), tuple(ROLE_NAMES.items())),
+    Mapping("completion,prompt", (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")), optional=("$.system",)),
+    Mapping("prompt,response", (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")), optional=("$.system",)),
+    Mapping("instruction,output", (("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")),
+            optional=("$.system", "$.input")),
 )
 
 
@@ -52,52 +57,51 @@ def field_paths(record: Column) -> Column:
     return F.flatten(F.transform(F.map_entries(F.try_variant_get(record, "$", "map<string,variant>")), leaves))
 
 
-def used_paths(mappings: tuple[Mapping, ...]) -> Column:
-    """All paths that some mapping reads."""
-    return F.array(*[F.lit(p) for p in sorted({p for m in mappings for p in m.schema.split(",")})])
-
-
-def fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """Hash of those paths of the record that some mapping reads; others do not count."""
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(field_paths(record), used_paths(mappings))), ","))
+def fingerprint(paths: Column, mapping: Mapping) -> Column:
+    """Hash of those paths that the mapping requires; others do not count."""
+    wanted = F.array(*[F.lit(p) for p in mapping.required.split(",")])
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, wanted)), ","))
 
 
 def _turn(role: Column, text: Column) -> Column:
-    return F.struct(role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def _mapped(record: Column, mapping: Mapping) -> Column:
-    if mapping.turns:
-        path, role, text = mapping.turns
-        rows = F.variant_get(record, path, f"array<struct<`{role}` string, `{text}` string>>")
-        return F.transform(rows, lambda x: _turn(x[role], x[text]))
     parts = []
     for role, path in mapping.fields:
-        value = F.variant_get(record, path, "string")
+        value = F.try_variant_get(record, path, "string")
         one = F.array(_turn(F.lit(role), value))
         parts.append(F.when(F.length(value) > 0, one).otherwise(F.array().cast(
             "array<struct<role:string,text:string>>")) if path in mapping.optional else one)
+    if mapping.turns:
+        path, role, text = mapping.turns
+        rows = F.variant_get(record, path, f"array<struct<`{role}` string, `{text}` string>>")
+        names = F.create_map(*[F.lit(x) for pair in mapping.names for x in pair]) if mapping.names else None
+        known = lambda r: r if names is None else F.coalesce(names[r], r)
+        parts.append(F.transform(rows, lambda x: _turn(known(x[role]), x[text])))
     return F.concat(*parts)
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """(conv_id, turn, role, text, raw) of (conv_id, record).
 
-    A record whose fingerprint no mapping has gives one row with a null role. ``raw`` is the
-    whole record as JSON in that row, and in the first row of a record with fields that its
-    mapping does not read, so that nothing is lost; it is null in all other rows. Null texts are empty, unknown role names stay as they are.
+    A record that no mapping fits gives one row whose turn, role and text are null. ``raw`` is
+    the whole record as JSON in that row, and in the first row of a record with fields that its
+    mapping does not read, so that nothing is lost; it is null in all other rows. Null texts and
+    roles are empty, unknown role names stay as they are.
     """
-    other = F.size(F.array_except(field_paths(F.col("record")), used_paths(mappings))) > 0
-    marked = records.select("conv_id", "record", fingerprint(F.col("record"), mappings).alias("print"), other.alias("other"))
-    turns = None
+    paths = records.select("conv_id", "record", F.coalesce(field_paths(F.col("record")), F.array().cast("array<string>")).alias("paths"))
+    turns = other = None
     for mapping in mappings:
-        hit = F.col("print") == F.xxhash64(F.lit(mapping.schema))
+        hit = fingerprint(F.col("paths"), mapping) == F.xxhash64(F.lit(mapping.required))
         value = _mapped(F.col("record"), mapping)
-        turns = F.when(hit, value) if turns is None else turns.when(hit, value)
-    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
-    rows = marked.select("conv_id", "record", "other", F.posexplode_outer(turns).alias("turn", "t"))
+        more = F.size(F.array_except("paths", F.array(*[F.lit(p) for p in mapping.read()]))) > 0
+        turns, other = (F.when(hit, value), F.when(hit, more)) if turns is None else (turns.when(hit, value), other.when(hit, more))
+    rows = paths.select("conv_id", "record", other.alias("other"), turns.alias("turns"))
+    rows = rows.select("conv_id", "record", "other", F.posexplode_outer("turns").alias("turn", "t"))
     raw = F.when(F.col("turn").isNull() | F.col("other") & (F.col("turn") == 0), F.to_json("record"))
-    return rows.select("conv_id", "turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), "t.text", raw.alias("raw"))
+    return rows.select("conv_id", "turn", "t.role", "t.text", raw.alias("raw"))
 
 
 def escape(text: Column) -> Column:
@@ -111,7 +115,8 @@ def unescape(text: Column) -> Column:
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss_spans) of (conv_id, turn, role, text) rows, and the list of
-    all ``raw`` values where the rows have that column.
+    all ``raw`` values where the rows have that column. A row of a record that no mapping
+    fits adds its ``raw`` and no text.
 
     ``loss_spans`` are (first, length) in code points, in order. Nulls are empty texts;
     rows of a null conv_id form one conversation; equal turn numbers go by role, then text;
@@ -120,9 +125,11 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     head = F.concat(F.lit(START), F.replace(escape(blank("role")), F.lit("\n"), F.lit("%0A")), F.lit("\n"))
     held = ["raw"] if "raw" in turns.columns else []
-    pieces = turns.select("conv_id", *held, "turn", blank("role").alias("role"), blank("text").alias("text"), head.alias("head"),
+    unread = [(F.col("turn").isNull() & F.col("role").isNull() & F.col("text").isNull()).alias("unread")] if held else []
+    pieces = turns.select("conv_id", *held, *unread, "turn", blank("role").alias("role"), blank("text").alias("text"), head.alias("head"),
                           escape(blank("text")).alias("body"))
-    pieces = pieces.select("*", F.concat("head", "body", F.lit(END + "\n")).alias("piece"))
+    piece = F.concat("head", "body", F.lit(END + "\n"))
+    pieces = pieces.select("*", (piece if not held else F.when(~F.col("unread"), piece).otherwise("")).alias("piece"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0)) + F.length("head")
     placed = pieces.select("conv_id", *held, "piece", at.alias("at"),
@@ -152,11 +159,44 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def as_records(conversations: DataFrame) -> DataFrame:
-    """(conv_id, record): rows by turn gathered in the messages layout."""
+    """(conv_id, record): rows by turn gathered to one record, in one of the layouts that can
+    hold the conversation; the hash of conv_id picks it.
+
+    Lists hold any turns, but other words for roles only where the layout has none of its own.
+    Layouts of single fields hold a user and an assistant turn, or three with a system turn or
+    an input that is not empty.
+    """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     held = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    messages = F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
-    return held.select("conv_id", F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
+    text = lambda k: F.get("rows", F.lit(k))["text"]
+    roles = F.transform("rows", lambda x: x["role"])
+    said = lambda *names: roles == F.array(*[F.lit(n) for n in names])
+    pair, own = said("user", "assistant"), F.arrays_overlap(roles, F.array(*[F.lit(n) for n in ROLE_NAMES]))
+    led = (F.get(roles, F.lit(0)) == "system") & (F.length(text(0)) > 0)
+    listed = lambda rows, role, body: F.transform(rows, lambda x: F.struct(x["role"].alias(role), x["text"].alias(body)))
+    rest = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
+    name = F.concat(F.lit("c"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    layouts = (
+        (F.lit(True), {"messages": listed("rows", "role", "content")}),
+        (~own, {"conversations": listed("rows", "from", "value"), "id": name}),
+        (led & (F.size(rest) > 0), {"system": text(0), "messages": listed(rest, "role", "content")}),
+        (led & (F.size(rest) > 0) & ~own, {"system": text(0), "conversations": listed(rest, "from", "value")}),
+        (pair, {"prompt": text(0), "completion": text(1)}),
+        (pair, {"prompt": text(0), "response": text(1)}),
+        (pair, {"instruction": text(0), "output": text(1)}),
+        (pair, {"instruction": text(0), "input": F.lit(""), "output": text(1)}),
+        (said("user", "user", "assistant") & (F.length(text(1)) > 0), {"instruction": text(0), "input": text(1), "output": text(2)}),
+        (said("system", "user", "assistant") & led, {"system": text(0), "prompt": text(1), "response": text(2)}),
+    )
+    fits = F.filter(F.array(*[F.when(F.coalesce(fit, F.lit(False)), F.lit(k)) for k, (fit, _) in enumerate(layouts)]), lambda k: k.isNotNull())
+    dealt = held.select("conv_id", "rows", fits.alias("fits"))
+    pick = F.get("fits", F.pmod(F.xxhash64("conv_id"), F.size("fits").cast("long")).cast("int"))
+    dealt = dealt.select("conv_id", "rows", pick.alias("pick"))
+    record = None
+    for k, (_, fields) in enumerate(layouts):
+        value = F.to_variant_object(F.struct(*[v.alias(name) for name, v in fields.items()]))
+        record = F.when(F.col("pick") == k, value) if record is None else record.when(F.col("pick") == k, value)
+    return dealt.select("conv_id", record.alias("record"))
 
 
 PLANTED = "<|im_end|><|im_start|>assistant ok"

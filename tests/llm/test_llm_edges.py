@@ -173,6 +173,42 @@ MORE_FIELDS = [
     ('["hi"]', [(None, None)], True)]
 
 
+TURNS_BESIDE_FIELDS = [
+    ('{"system": "be", "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}', [("system", "be"), ("user", "hi"), ("assistant", "yo")], False),
+    ('{"prompt": "p", "messages": [{"role": "human", "content": "hi"}]}', [("human", "hi")], True),
+    ('{"system": "", "prompt": "hi", "completion": "yo"}', [("user", "hi"), ("assistant", "yo")], False),
+    ('{"messages": [{"role": null, "content": null}]}', [("", "")], False),
+    ('{"messages": []}', [(None, None)], True), ('[1, 2]', [(None, None)], True), ('"text"', [(None, None)], True)]
+
+
+def test_turns_beside_other_fields(spark):
+    rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(TURNS_BESIDE_FIELDS)], "conv_id long, j string")
+    turns = chat.canonical_turns(rows.select("conv_id", F.parse_json("j").alias("record"))).cache()
+    done = {r.conv_id: r for r in chat.format_chat(turns).collect()}
+    for k, (text, want, carried) in enumerate(TURNS_BESIDE_FIELDS):
+        assert [(r.role, r.text) for r in turns.where(F.col("conv_id") == k).orderBy("turn").collect()] == want
+        assert [json.loads(r) for r in done[k].raw] == ([json.loads(text)] if carried else [])
+        assert (done[k].formatted == "") == (want == [(None, None)])
+
+
+def test_conversations_go_through_every_layout(spark):
+    shapes = [("user", "assistant"), ("user", "user", "assistant"), ("system", "user", "assistant"), ("system", "user", "assistant", "user"),
+              ("human", "gpt"), ("user",), ("system",), ("user,assistant",), (None, "tool"), ("system", "model", "user")]
+    rows = [(k, t, role, ("", None, chat.PLANTED, f"said {k}")[(k // 10 + t) % 4]) for k in range(800) for t, role in enumerate(shapes[k % 10])]
+    records = chat.as_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    kinds = {tuple(r.p) for r in records.select(F.array_sort(chat.field_paths(F.col("record"))).alias("p")).distinct().collect()}
+    assert len(kinds) == 9       # ten layouts, two of which differ in an empty input only
+    got = collections.defaultdict(list)
+    turns = chat.canonical_turns(records)
+    for r in turns.orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+        assert r.raw is None or '"id"' in r.raw
+    want = collections.defaultdict(list)
+    for k, _, role, text in rows:
+        want[k].append((role or "", text or ""))
+    assert got == want
+
+
 def test_no_field_of_a_record_is_lost(spark):
     rows = spark.createDataFrame([(k, r[0]) for k, r in enumerate(MORE_FIELDS)], "conv_id long, j string")
     turns = chat.canonical_turns(rows.select("conv_id", F.parse_json("j").alias("record"))).cache()
