@@ -39,10 +39,9 @@ MAPPINGS = (
     Mapping("messages[].content,messages[].role", (("system", "$.system"),), ("$.messages", "role", "content"), ("$.system",)),
     Mapping("conversations[].from,conversations[].value", (("system", "$.system"),), ("$.conversations", "from", "value"),
             ("$.system",), tuple(ROLE_NAMES.items())),
-    Mapping("completion,prompt", (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.completion")), optional=("$.system",)),
+    Mapping("completion,prompt", (("user", "$.prompt"), ("assistant", "$.completion"))),
     Mapping("prompt,response", (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response")), optional=("$.system",)),
-    Mapping("instruction,output", (("system", "$.system"), ("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")),
-            optional=("$.system", "$.input")),
+    Mapping("instruction,output", (("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")), optional=("$.input",)),
 )
 
 
@@ -57,10 +56,16 @@ def field_paths(record: Column) -> Column:
     return F.flatten(F.transform(F.map_entries(F.try_variant_get(record, "$", "map<string,variant>")), leaves))
 
 
-def fingerprint(paths: Column, mapping: Mapping) -> Column:
-    """Hash of those paths that the mapping requires; others do not count."""
-    wanted = F.array(*[F.lit(p) for p in mapping.required.split(",")])
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, wanted)), ","))
+def told_by(mapping: Mapping, mappings: tuple[Mapping, ...]) -> list[str]:
+    """The paths that tell whether the mapping fits: those of its list, whatever lies beside
+    it; for single fields all that some mapping reads, since another one may be a turn too."""
+    known = mapping.required.split(",") if mapping.turns else {p for m in mappings for p in m.read()}
+    return sorted(set(known) - {path.removeprefix("$.") for path in mapping.optional})
+
+
+def fingerprint(paths: Column, known: list[str]) -> Column:
+    """Hash of those paths of a record that are ``known``; others do not count."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*[F.lit(p) for p in known]))), ","))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -94,7 +99,7 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     paths = records.select("conv_id", "record", F.coalesce(field_paths(F.col("record")), F.array().cast("array<string>")).alias("paths"))
     turns = other = None
     for mapping in mappings:
-        hit = fingerprint(F.col("paths"), mapping) == F.xxhash64(F.lit(mapping.required))
+        hit = fingerprint(F.col("paths"), told_by(mapping, mappings)) == F.xxhash64(F.lit(mapping.required))
         value = _mapped(F.col("record"), mapping)
         more = F.size(F.array_except("paths", F.array(*[F.lit(p) for p in mapping.read()]))) > 0
         turns, other = (F.when(hit, value), F.when(hit, more)) if turns is None else (turns.when(hit, value), other.when(hit, more))

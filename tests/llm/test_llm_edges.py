@@ -176,7 +176,7 @@ MORE_FIELDS = [
 TURNS_BESIDE_FIELDS = [
     ('{"system": "be", "conversations": [{"from": "human", "value": "hi"}, {"from": "gpt", "value": "yo"}]}', [("system", "be"), ("user", "hi"), ("assistant", "yo")], False),
     ('{"prompt": "p", "messages": [{"role": "human", "content": "hi"}]}', [("human", "hi")], True),
-    ('{"system": "", "prompt": "hi", "completion": "yo"}', [("user", "hi"), ("assistant", "yo")], False),
+    ('{"system": "", "prompt": "hi", "response": "yo"}', [("user", "hi"), ("assistant", "yo")], False),
     ('{"messages": [{"role": null, "content": null}]}', [("", "")], False),
     ('{"messages": []}', [(None, None)], True), ('[1, 2]', [(None, None)], True), ('"text"', [(None, None)], True)]
 
