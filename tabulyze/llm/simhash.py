@@ -253,7 +253,8 @@ def simhash_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     prints = stored(fingerprints(docs, doc_id, text, width), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct_prints")
-    edges = stored(close_prints(top_nodes(distinct, bits, most), bits), "print_links")
+    # read once, by a job that writes them in few files; written here they would be a small file per partition
+    edges = close_prints(top_nodes(distinct, bits, most), bits)
     joined = components(edges).join(distinct.select(F.col("fp").alias("node"), "least"), "node")
     joined = stored(joined, "print_classes")
     first = stored(joined.groupBy("component").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "first_ids")

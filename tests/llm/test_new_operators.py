@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tabulyze.functions import storage
 from tabulyze.llm import simhash, spelling, vector_codes
 from tabulyze.llm.queries import QUERIES
 
@@ -181,6 +182,23 @@ def test_split_nodes_lose_no_link(spark, most, monkeypatch):
     assert (label == classes_by_hand(values)).all()
 
 
+def test_links_are_not_written_by_partition(spark, monkeypatch, tmp_path):
+    values = close_values(600, 4)
+    rows = [(k, int(v)) for k, v in enumerate(values.view(np.int64))]
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(rows, "doc_id long, fp long").coalesce(1))
+    monkeypatch.setattr(storage, "shared_folder", lambda _: str(tmp_path))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        got = {r.doc_id: r.component_id for r in simhash.simhash_classes(docs(spark, [])).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert [got[k] for k in range(len(values))] == classes_by_hand(values).tolist()
+    # every file costs an executor two forked commands; a table of a thousand rows needs no file per partition
+    files = {path.name: len(list(path.glob("part-*"))) for path in tmp_path.iterdir()}
+    assert files and max(files.values()) <= 8, files
+
+
 def test_gray_rank(spark):
     codes = [k ^ k >> 1 for k in (0, 1, 2, 3, 1000, (1 << 64) - 1)]
     frame = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
