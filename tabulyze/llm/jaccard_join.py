@@ -4,6 +4,7 @@ Two sets with similarity t share at least l of the first |x| - ceil(t |x|) + l t
 each, whatever the order of all tokens. One order filters documents, then pairs, by such
 prefixes in Spark; a second order is intersected with it next to the sets themselves, where
 the remaining pairs are verified. Documents with equal sets count as one throughout.
+Families too large for one comparison are searched again in a third order, common tokens last.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql.window import Window
 
 from tabulyze.llm.graph import components
 from tabulyze.llm.quality import NOT_SPACE
-from tabulyze.llm.stores import drop_stored, stored
+from tabulyze.llm.stores import drop_stored, shuffles_dropped, stored
 from tabulyze.llm.words import mix, shingle_rows
 
 SMALL = 16                  # tokens of at most so many sets give pairs, others join families
 BLOCK_SHINGLES = 1_000_000  # sets compared in one task hold about twice as many
 FILTER_BITS = 1 << 26       # size of the broadcast filter of set keys, whatever the input
+LEVEL_BITS = 24             # size of the broadcast table of common tokens, as a power of 2, whatever the input
 
 
 @dataclass(frozen=True)
@@ -128,6 +130,83 @@ def candidate_edges(matched: DataFrame, sizes: DataFrame, rule: Rule) -> DataFra
     return kept.unionAll(stars.distinct())
 
 
+def families_of(once: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(k, n, family) from the stored tokens (k, token, sets) that prefixes share, which are
+    deleted. Two similar sets are of one family."""
+    alive = living(once, sizes, rule)
+    twice = matched_tokens(once.join(alive, "k", "left_semi").select("k", "token"), "matched")
+    drop_stored(once)
+    alive = stored(living(twice, sizes, rule), "alive")
+    last = matched_tokens(twice.join(alive, "k", "left_semi").select("k", "token"), "matched")
+    drop_stored(twice)
+    found = components(candidate_edges(last, alive, rule)).select(F.col("node").alias("k"), F.col("component").alias("family"))
+    found = stored(found.join(alive, "k").select("k", "n", "family"), "families")
+    drop_stored(last, alive)
+    return found
+
+
+def token_levels(tokens: DataFrame, bits: int = LEVEL_BITS) -> np.ndarray:
+    """How common tokens are, by their last bits: 0 for tokens of at most ``SMALL`` sets, one
+    more for each doubling. Tokens that share a place have the level of the most common one;
+    whatever the levels are, they put tokens in an order, and any order does."""
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > SMALL)
+    level = F.least(F.lit(15), F.floor(F.log2(F.col("sets") / F.lit(float(SMALL)))) + 1).cast("long")
+    places = common.groupBy(F.col("token").bitwiseAND(F.lit((1 << bits) - 1)).alias("place")).agg(F.max(level).alias("level"))
+    places = stored(places, "levels")
+    words = places.select(F.expr("place div 8").alias("word"), F.expr("shiftleft(level, cast(place % 8 as int) * 4)").alias("levels"))
+    table = words.groupBy("word").agg(F.bit_or("levels").alias("levels")).toArrow()      # at most 2**bits / 8 rows
+    drop_stored(places)
+    out = np.zeros(1 << bits - 3, np.uint32)
+    out[table.column("word").to_numpy()] = table.column("levels").to_numpy().astype(np.uint32)
+    return out
+
+
+def level_of(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    place = tokens & np.uint64(len(levels) * 8 - 1)
+    return levels[place >> np.uint64(3)] >> ((place & np.uint64(7)) * np.uint64(4)).astype(np.uint32) & np.uint32(15)
+
+
+def common_last(sets: DataFrame, levels: np.ndarray, rule: Rule) -> DataFrame:
+    """(k, prefix) of sets (k, tokens) in the order of level and token."""
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, prefix = batch.column("tokens"), []
+            ends, values = tokens.offsets.to_numpy(), tokens.values.to_numpy().view(np.uint64)
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                own = values[a:b]                         # in the order of tokens
+                prefix.append(_signed(own[np.argsort(level_of(own, levels), kind="stable")[:rule.prefix(len(own))]]))
+            sizes = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), lists], ["k", "prefix"])
+    return sets.mapInArrow(ordered, "k long, prefix array<long>")
+
+
+def in_parts(members: DataFrame, block_shingles: int) -> DataFrame:
+    """The members (k, n, family) with the number of parts that their family is compared in."""
+    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(float(block_shingles))).cast("int").alias("parts"))
+    return members.join(parts, "family").select("k", "n", "family", "parts")
+
+
+def split_families(members: DataFrame, rows: DataFrame, rule: Rule, block_shingles: int) -> DataFrame:
+    """The members (k, n, family, parts), with smaller families in place of those of several parts.
+
+    What many documents have, as a licence, connects documents that are not similar, so such a
+    family grows with the input, and comparing its parts with each other grows with the square.
+    With common tokens last, they are in the prefix of those sets only that hold little else.
+    """
+    members = stored(in_parts(members, block_shingles), "members")
+    large = members.where("parts > 1").select("k", "n")
+    if large.isEmpty():
+        return members
+    sets = sets_of(rows, key_filter(large.select("k")), rule)
+    levels = token_levels(sets.select(F.explode("tokens").alias("token")))
+    prefixes = stored(common_last(sets, levels, rule), "prefixes")
+    once = matched_tokens(prefixes.select("k", F.explode("prefix").alias("token")), "matched")
+    drop_stored(prefixes)
+    split = in_parts(families_of(once, large, rule), block_shingles)
+    return stored(members.where("parts = 1").unionAll(split), "members")
+
+
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A bit set of hashed keys. Its size is fixed, so it may be sent to every task; it lets
     all keys of the table through, and few others while the table is much smaller."""
@@ -265,37 +344,33 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rule = Rule(percent, width)
     spark = docs.sparkSession
-    rows = keyed_rows(docs, doc_id, text).select("k", "id", "text")
-    signed = stored(signatures(rows, rule), "signatures")
-    classes = signed.where("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("id", "k")).alias("at"), F.min("n").alias("n"))
-    classes = stored(classes.select("g1", "g2", F.col("at.k").alias("rep"), F.col("at.id").alias("least"), "n"), "classes")
-    sizes = classes.select(F.col("rep").alias("k"), "n")
-    once = matched_tokens(signed.select("k", F.explode("prefix").alias("token")), "matched")
-    alive = living(once, sizes, rule)
-    twice = matched_tokens(once.join(alive, "k", "left_semi").select("k", "token"), "matched")
-    drop_stored(once)
-    alive = stored(living(twice, sizes, rule), "alive")
-    last = matched_tokens(twice.join(alive, "k", "left_semi").select("k", "token"), "matched")
-    drop_stored(twice)
-    families = stored(components(candidate_edges(last, alive, rule)), "families")
-    drop_stored(last)
-    sets = sets_of(rows, key_filter(families.select(F.col("node").alias("k"))), rule)
-    members = families.select(F.col("node").alias("k"), F.col("component").alias("family")).join(alive, "k")
-    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / F.lit(float(block_shingles))).cast("int").alias("parts"))
-    members = members.join(parts, "family").select("k", "family", "parts", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("own"))
-    # the set of a slice goes to the comparison with every slice of its family
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    placed = sets.join(members, "k").select("k", "tokens", "family", "own", other)
-    placed = placed.select("k", "tokens", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           F.col("own").alias("side"))
-    links = stored(verified_links(placed, rule, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
-    joined = components(links).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep")
-    first = joined.groupBy("component").agg(F.min(F.struct("least", "rep")).alias("at"))
-    joined = joined.join(first, "component").select("rep", "at")
-    named = classes.join(joined, "rep", "left").select("g1", "g2", F.coalesce("at", F.struct("least", "rep")).alias("at"))
-    out = signed.select("k", "id", "n", "g1", "g2").join(named, ["g1", "g2"], "left")
-    return out.select("k", F.when(F.col("id") < F.lit(1 << 62), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                      F.coalesce("at.least", "id").alias("component_id"), F.coalesce("at.rep", "k").alias("stay"))
+    with shuffles_dropped(spark):
+        rows = keyed_rows(docs, doc_id, text).select("k", "id", "text")
+        signed = stored(signatures(rows, rule), "signatures")
+        classes = signed.where("n > 0").groupBy("g1", "g2").agg(F.min(F.struct("id", "k")).alias("at"), F.min("n").alias("n"))
+        classes = stored(classes.select("g1", "g2", F.col("at.k").alias("rep"), F.col("at.id").alias("least"), "n"), "classes")
+        sizes = classes.select(F.col("rep").alias("k"), "n")
+        copies = signed.where("n > 0").join(classes.select("g1", "g2", "rep"), ["g1", "g2"]).where("k <> rep").select("k")
+        single = signed.join(stored(copies, "copies"), "k", "left_anti")
+        once = matched_tokens(single.select("k", F.explode("prefix").alias("token")), "matched")
+        whole, signed = signed, stored(signed.select("k", "id", "n", "g1", "g2"), "signatures")
+        drop_stored(whole)                            # the prefixes are the most of it
+        members = split_families(families_of(once, sizes, rule), rows, rule, block_shingles)
+        sets = sets_of(rows, key_filter(members.select("k")), rule)
+        members = members.select("k", "family", "parts", F.pmod(F.xxhash64("k"), "parts").cast("int").alias("own"))
+        # the set of a slice goes to the comparison with every slice of its family
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        placed = sets.join(members, "k").select("k", "tokens", "family", "own", other)
+        placed = placed.select("k", "tokens", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                               F.col("own").alias("side"))
+        links = stored(verified_links(placed, rule, int(spark.conf.get("spark.sql.shuffle.partitions"))), "links")
+        joined = components(links).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "least"), "rep")
+        first = joined.groupBy("component").agg(F.min(F.struct("least", "rep")).alias("at"))
+        joined = joined.join(first, "component").select("rep", "at")
+        named = classes.join(joined, "rep", "left").select("g1", "g2", F.coalesce("at", F.struct("least", "rep")).alias("at"))
+        out = signed.join(named, ["g1", "g2"], "left")
+        return out.select("k", F.when(F.col("id") < F.lit(1 << 62), F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"),
+                          F.coalesce("at.least", "id").alias("component_id"), F.coalesce("at.rep", "k").alias("stay"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **rules) -> DataFrame:
